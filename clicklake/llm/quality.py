@@ -53,12 +53,17 @@ def _line(line: str, repeated: bool) -> tuple[np.ndarray, int]:
     ends, item = bool(_END.search(line)), bool(_ITEM.match(line))
     odd = len(_ODD.findall(line)) / n
     long = letters / w > 14 if w else True
-    tags = len(_TAG.findall(line))
+    tags = min(12 * len(_TAG.findall(line)) / (w + 1), 4)
+    low = [x.lower() for x in words]
+    threes = list(zip(low, low[1:], low[2:]))
+    loop = 1 - len(set(threes)) / len(threes) if w > 20 else 0.0
     alpha = letters / n
-    prose = 5.0 * min(common, 0.35) + 1.0 * ends + 0.8 * (w >= 8) - 1.6 * item - 0.8 * min(hard, 3) - 6 * odd - 2.0 * (digits / n > 0.25) - 1.5 * (alpha < 0.6) - 1.2 * tags - 3.0 * repeated - 2 * long
+    solid = max(map(len, line.split()), default=0) > 34
+    bare = w > 8 and common < 0.06
+    prose = 5.0 * min(common, 0.35) + 1.0 * ends + 0.8 * (w >= 8) - 1.6 * item - 0.8 * min(hard, 3) - 6 * odd - 2.0 * (digits / n > 0.25) - 1.5 * (alpha < 0.6) - 1.2 * tags - 3.0 * repeated - 5.0 * loop - 2 * long - 4 * solid - 3 * bare
     lists = 1.6 * item + 1.2 * (w <= 8) - 4.0 * min(common, 0.25) + 0.6 * (not ends) + 0.6 * caps - 0.6 * min(hard, 3) - 4 * odd - 1.5 * long
     tables = 1.1 * min(hard, 3) + 1.5 * (digits / n > 0.2) + 0.5 * min(cells, 4) * (common < 0.15) - 2.0 * ends * (common > 0.1) - 0.5 - 3 * odd
-    junk = 6 * min(odd, 0.4) + 1.2 * min(tags, 4) + 2.6 * long + 3.0 * repeated + 1.0 * (alpha < 0.5) + 1.2 * (w > 12 and common < 0.05) - 3.0 * min(common, 0.3) - 0.5
+    junk = 6 * min(odd, 0.4) + 1.2 * tags + 5.0 * loop + 2.6 * long + 3.0 * repeated + 1.0 * (alpha < 0.5) + 3.0 * solid + 2.0 * bare - 3.0 * min(common, 0.3) - 0.5
     return np.array([prose, lists, tables, junk]), n
 
 
@@ -128,7 +133,7 @@ def text_statistics(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def prior(x: np.ndarray) -> np.ndarray:
     """Log-odds of "not prose" from the line labels alone, where a classifier starts."""
     share = x[:, FEATURES.index("prose")]
-    return np.clip(4.0 * (0.5 - share), -2, 2)
+    return 8.0 * (0.5 - share)
 
 
 def fit(stats: DataFrame, labels: DataFrame, doc_id: str, is_prose: str, sample: int = 20_000) -> Boosted:
