@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("operators.rolling", "operators.sessions", "operators.asof_intervals")
+MODULES = ("operators.rolling", "operators.sessions", "operators.asof_intervals", "operators.lists", "operators.features", "operators.windows", "operators.bias", "operators.evaluation", "operators.lexical")
 
 
 def registered(what: str) -> dict:
