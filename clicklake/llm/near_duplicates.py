@@ -105,12 +105,46 @@ def table_keys(symbols: np.ndarray) -> np.ndarray:
     return _mix(each.sum(axis=2, dtype=U, keepdims=True) - each + place).reshape(len(symbols), SYMBOLS)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, 1024):
-            part = b.slice(i, 1024)
-            keys = table_keys(_symbols(part.column(1))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), SYMBOLS))], ["key", "rep"])
+def _keys(chunk: int):
+    """Table entries (key, rep) of each fingerprint. Of entries that share a key within a chunk one goes to the key's
+    partition with a mark that it has company; the others are sure to be shared and go anywhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, chunk):
+                part = b.slice(i, chunk)
+                keys = table_keys(_symbols(part.column(1))).reshape(-1)
+                reps = np.repeat(part.column(0).to_numpy(), SYMBOLS)
+                order = np.argsort(keys, kind="stable")
+                keys, reps = keys[order], reps[order]
+                again = np.concatenate([[False], keys[1:] == keys[:-1]])
+                company = again | np.concatenate([again[1:], [False]])
+                place = np.where(again, _mix(reps.view(U) ^ keys), keys)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (place, keys, reps)] + [pa.array(company)], ["place", "key", "rep", "company"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by key, those with company: within their chunk, or of a neighbour here."""
+    held: pa.RecordBatch | None = None
+    before: int | None = None
+    for b in _then_none(batches):
+        if b is not None and not b.num_rows:
+            continue
+        if held is not None:
+            keys = held.column(1).to_numpy()
+            after = b.column(1)[0].as_py() if b is not None else None
+            same = np.concatenate([[before == int(keys[0]) if before is not None else False], keys[1:] == keys[:-1], [after == int(keys[-1]) if after is not None else False]])
+            keep = held.column(3).to_numpy(zero_copy_only=False) | same[1:] | same[:-1]
+            before = int(keys[-1])
+            yield held.select([1, 2]).filter(pa.array(keep))
+        held = b
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _close(least: float):
@@ -126,20 +160,25 @@ def _close(least: float):
 
 def _exact(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets: dict[str, np.ndarray] = {}
-
-            def stretches(t: str) -> np.ndarray:
-                if t not in sets:
-                    if len(sets) > 2000:
-                        sets.clear()
-                    sets[t] = np.unique(stretch_hashes([normal(t)])[0])
-                return sets[t]
+        sets: dict[str, set[str]] = {}
+        held = 0
+
+        def stretches(t: str) -> set[str]:
+            nonlocal held
+            if t not in sets:
+                if held > 2_000_000:
+                    sets.clear()
+                    held = 0
+                n = normal(t)
+                sets[t] = {n[i : i + STRETCH] for i in range(len(n) - STRETCH + 1)}
+                held += len(sets[t])
+            return sets[t]
 
+        for b in batches:
             keep = []
             for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = stretches(s), stretches(t)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = len(x & y)
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -210,9 +249,10 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float =
     reps = cut(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("copied")), "reps")
     own = sketched.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "symbols")
     own = cut(own, "prints")
-    keys = own.select("rep", "symbols").mapInArrow(_keys, "key bigint, rep bigint")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
-    entries = cut(keys.join(sizes, "key"), "entries")
+    keys = own.select("rep", "symbols").mapInArrow(_keys(2048), "place bigint, key bigint, rep bigint, company boolean")
+    shared = cut(keys.repartition("place").sortWithinPartitions("key").mapInArrow(_shared, "key bigint, rep bigint"), "shared")
+    sizes = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"))
+    entries = cut(shared.join(sizes, "key"), "entries")
     prints = cut(own.mapInArrow(_bytes, "id bigint, print binary"), "bytes")
 
     lists = entries.where(F.col("n") <= hot).groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct()
