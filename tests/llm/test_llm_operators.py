@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from clicklake.llm.boosting import Boosted
 from clicklake.llm.bpe import Encoder, tokenizer_path
 from clicklake.llm.elias_fano import EliasFano, SeenSet
-from clicklake.llm.near_duplicates import components, group_pairs, near_duplicates
+from clicklake.llm.near_duplicates import group_pairs, near_duplicates
 from clicklake.llm.packing import make_plan, pack_items, step_of
 from clicklake.llm.quality import FEATURES, fit, label_lines, not_prose, statistics, text_statistics
 from clicklake.llm.seen_before import seen_before
 from clicklake.llm.term_counts import term_counts
 from clicklake.llm.tokens import token_counts, token_ids
 from clicklake.llm.top_n import top_n
+from clicklake.plans.graph import components
 
 
 def rows(df):
