@@ -31,9 +31,11 @@ _END = regex.compile(r"""[.!?…:]["'”’»«)\]]*\s*$""")
 _SENTENCE = regex.compile(r"(?<=[.!?…])[\s\"'”’»]+")
 _TAG = regex.compile(r"</?\w[^>]*>|[{}\[\]]|\"\s*:")
 _ODD = regex.compile(r"[^\p{L}\p{N}\s.,;:!?'\"()\-–—»«„“”’%&/]")
+_DIGIT = regex.compile(r"\p{Nd}")
+_UPPER = regex.compile(r"\p{Lu}")
 #: Transitions: lines mostly go on as the line before.
-_STAY = np.log(np.array([[0.91, 0.03, 0.03, 0.03], [0.05, 0.87, 0.04, 0.04], [0.04, 0.03, 0.90, 0.03], [0.04, 0.03, 0.03, 0.90]]))
-_START = np.log(np.array([0.7, 0.1, 0.1, 0.1]))
+_STAY = np.log([[0.91, 0.03, 0.03, 0.03], [0.05, 0.87, 0.04, 0.04], [0.04, 0.03, 0.90, 0.03], [0.04, 0.03, 0.03, 0.90]]).tolist()
+_START = np.log([0.7, 0.1, 0.1, 0.1]).tolist()
 
 FEATURES = (
     "words", "mean_word", "symbol_ratio", "end_share", "common_share", "prose", "list", "table", "junk", "digit_ratio", "upper_ratio", "distinct_lines", "distinct_threes", "line_words",
@@ -41,12 +43,11 @@ FEATURES = (
 )
 
 
-def _line(line: str, repeated: bool) -> tuple[np.ndarray, int]:
-    """Log-likelihood of a line's statistics under each state, up to a constant, and its number of characters."""
-    words = WORD.findall(line)
+def _line(line: str, words: list[str], repeated: bool) -> tuple[float, float, float, float]:
+    """Log-likelihood of a line's statistics under each state, up to a constant."""
     n, w = len(line), len(words)
     letters = sum(map(len, words))
-    digits = sum(c.isdigit() for c in line)
+    digits = len(_DIGIT.findall(line))
     common = sum(x.lower() in COMMON for x in words) / max(w, 1)
     caps = sum(x[0].isupper() for x in words) / max(w, 1)
     cells, hard = len(_CELL.findall(line)), len(_HARD.findall(line))
@@ -64,26 +65,27 @@ def _line(line: str, repeated: bool) -> tuple[np.ndarray, int]:
     lists = 1.6 * item + 1.2 * (w <= 8) - 4.0 * min(common, 0.25) + 0.6 * (not ends) + 0.6 * caps - 0.6 * min(hard, 3) - 4 * odd - 1.5 * long
     tables = 1.1 * min(hard, 3) + 1.5 * (digits / n > 0.2) + 0.5 * min(cells, 4) * (common < 0.15) - 2.0 * ends * (common > 0.1) - 0.5 - 3 * odd
     junk = 6 * min(odd, 0.4) + 1.2 * tags + 5.0 * loop + 2.6 * long + 3.0 * repeated + 1.0 * (alpha < 0.5) + 3.0 * solid + 2.0 * bare - 3.0 * min(common, 0.3) - 0.5
-    return np.array([prose, lists, tables, junk]), n
+    return prose, lists, tables, junk
 
 
-def label_lines(lines: list[str]) -> list[int]:
+def label_lines(lines: list[str], words: list[list[str]] | None = None) -> list[int]:
     """The most likely state of each line, by Viterbi's algorithm."""
     seen: set[str] = set()
-    best, back = None, []
-    for line in lines:
+    best: list[float] | None = None
+    back: list[list[int]] = []
+    for line, own in zip(lines, words or map(WORD.findall, lines)):
         key = line.strip().lower()
-        e, _ = _line(line, key in seen and len(key) > 20)
+        e = _line(line, own, key in seen and len(key) > 20)
         seen.add(key)
         if best is None:
-            best = _START + e
+            best = [s + x for s, x in zip(_START, e)]
         else:
-            step = best[:, None] + _STAY
-            back.append(step.argmax(axis=0))
-            best = step.max(axis=0) + e
-    out = [int(best.argmax())]
+            come = [max(range(4), key=lambda i, j=j: best[i] + _STAY[i][j]) for j in range(4)]
+            best = [best[i] + _STAY[i][j] + e[j] for j, i in enumerate(come)]
+            back.append(come)
+    out = [best.index(max(best))]
     for b in reversed(back):
-        out.append(int(b[out[-1]]))
+        out.append(b[out[-1]])
     return out[::-1]
 
 
@@ -93,26 +95,27 @@ def statistics(text: str) -> list[float]:
     if not lines:
         return [0.0] * len(FEATURES)
     n = sum(map(len, lines))
-    words = WORD.findall(text)
+    by_line = [WORD.findall(x) for x in lines]
+    words = [x for own in by_line for x in own]
     low = [x.lower() for x in words]
     w = max(len(words), 1)
     letters = sum(map(len, words))
     solid = sum(len(x.replace(" ", "").replace("\t", "")) for x in lines)
-    label = np.bincount(label_lines(lines), [len(x) for x in lines], 4) / n
-    digits = sum(c.isdigit() for c in text)
-    upper = sum(c.isupper() for c in text)
+    label = np.bincount(label_lines(lines, by_line), [len(x) for x in lines], 4) / n
+    digits = len(_DIGIT.findall(text))
+    upper = len(_UPPER.findall(text))
+    small = text.lower()
     threes = list(zip(low, low[1:], low[2:]))
     sentences = [x for x in _SENTENCE.split(text) if len(x) > 10]
     common = [x in COMMON for x in low]
     tokens = [len(x) for x in text.split()]
     raw = text.encode("utf-8", "replace")
-    by_line = [[x.lower() in COMMON for x in WORD.findall(line)] for line in lines]
     return [
         float(len(words)), letters / w, (solid - letters - digits) / max(solid, 1), sum(bool(_END.search(x)) for x in lines) / len(lines), sum(common) / w, *map(float, label), digits / max(solid, 1), upper / max(letters, 1),
         len({x.strip().lower() for x in lines}) / len(lines), len(set(threes)) / max(len(threes), 1) if threes else 1.0, w / len(lines), w / max(len(sentences), 1), sum(len(_CELL.findall(x)) for x in lines) / w,
         len(_TAG.findall(text)) / w, float(min(max(tokens, default=0), 500)), sum(x[0].isupper() for x in words) / w, sum(bool(_ITEM.match(x)) for x in lines) / len(lines),
-        sum(min(len(_HARD.findall(x)), 3) for x in lines) / len(lines), len(set(sentences)) / max(len(sentences), 1) if sentences else 1.0, len(zlib.compress(raw, 1)) / (len(raw) + 11), sum(any(x) for x in by_line) / len(lines),
-        sum(text.count(c) for c in ".!?") / w, sum(c in "aeiouyåäöæøüé" for c in text.lower()) / max(letters, 1), len(_ODD.findall(text)) / max(solid, 1), letters / max(solid, 1), float(len(lines)), float(len(text.strip())),
+        sum(min(len(_HARD.findall(x)), 3) for x in lines) / len(lines), len(set(sentences)) / max(len(sentences), 1) if sentences else 1.0, len(zlib.compress(raw, 1)) / (len(raw) + 11), sum(any(x.lower() in COMMON for x in own) for own in by_line) / len(lines),
+        sum(text.count(c) for c in ".!?") / w, sum(map(small.count, "aeiouyåäöæøüé")) / max(letters, 1), len(_ODD.findall(text)) / max(solid, 1), letters / max(solid, 1), float(len(lines)), float(len(text.strip())),
     ]
 
 
