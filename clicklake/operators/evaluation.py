@@ -104,7 +104,8 @@ def list_diversity(lists: DataFrame, vectors: DataFrame) -> DataFrame:
     With unit vectors the mean over pairs is (|sum|^2 - n) / (n (n - 1)), so a list of n items takes n steps, not n^2. The
     vectors are added per dimension, which combines before the shuffle.
     """
-    unit = vectors.select("article_idx", F.transform("vector", lambda x: x / F.greatest(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12))).alias("unit"))
+    length = F.greatest(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12))
+    unit = vectors.select("article_idx", F.transform(F.array(length), lambda n: F.transform("vector", lambda x: x / n))[0].alias("unit"))
     opened = lists.select("imp", "article_idx").join(unit, "article_idx").select("imp", F.posexplode("unit").alias("d", "x"))
     sums = opened.groupBy("imp", "d").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
     whole = sums.groupBy("imp").agg(F.sum(F.col("s") * F.col("s")).alias("all"), F.sum("q").alias("own"), F.max("n").alias("n"))

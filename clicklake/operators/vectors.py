@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,9 +23,8 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """The vector at length 1; a zero vector stays zero."""
-    length = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x / length)
+    """The vector at length 1; a zero vector stays zero. The length is bound once, outside the lambda over the elements."""
+    return F.transform(F.array(F.greatest(norm(v), F.lit(1e-12))), lambda n: F.transform(v, lambda x: x / n))[0]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,11 +32,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def pooled(rows: DataFrame, key: str, vector: str, weight: str | None = None) -> DataFrame:
-    """(key, vector): the weighted mean of a group's vectors, at length 1; sums combine per dimension before the shuffle."""
+    """(key, vector): the weighted mean of a group's vectors, at length 1; whole vectors are added before the shuffle and after."""
     w = F.lit(1.0) if weight is None else F.col(weight)
-    opened = rows.select(key, w.alias("w"), F.posexplode(vector).alias("d", "x"))
-    sums = opened.groupBy(key, "d").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
-    whole = sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vector"))
+    mean = Summarizer.mean(array_to_vector(F.col("v")), F.col("w"))
+    whole = rows.where(F.col(vector).isNotNull()).select(key, w.alias("w"), F.col(vector).alias("v")).groupBy(key).agg(vector_to_array(mean).alias("vector"))
     return whole.select(key, unit(F.col("vector")).alias("vector"))
 
 
@@ -168,7 +168,7 @@ def recall_by_score(got: DataFrame, exact: DataFrame, k: int = 10) -> DataFrame:
 def quantised(v: Column, levels: int = 127) -> Column:
     """Integers of a vector scaled by its greatest absolute value."""
     top = F.greatest(F.array_max(F.transform(v, F.abs)), F.lit(1e-12))
-    return F.transform(v, lambda x: F.round(x / top * levels).cast("int"))
+    return F.transform(F.array(top), lambda t: F.transform(v, lambda x: F.round(x / t * levels).cast("int")))[0]
 
 
 def projection(size: int, to: int, seed: int = 3) -> list[list[float]]:
