@@ -121,7 +121,7 @@ def overlap(lists: DataFrame, source: str, a: str, b: str, k: int = 10) -> DataF
 
 
 def _test(spark, folder):
-    return impressions(spark, folder).where(F.col("time") >= at(CUTOFF))
+    return impressions(spark, folder, F.col("time") >= at(CUTOFF))
 
 
 def _lists(spark, folder, k=20):

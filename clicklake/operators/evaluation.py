@@ -123,7 +123,7 @@ def popular_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def position_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return pair_table(impressions(spark, folder).where(F.col("time") >= at(CUTOFF))).withColumn("score", -F.col("position").cast("double"))
+    return pair_table(impressions(spark, folder, F.col("time") >= at(CUTOFF))).withColumn("score", -F.col("position").cast("double"))
 
 
 METRICS = ("auc", "mrr", "mrr_first", "ndcg_5", "ndcg_10", "hit_5", "hit_10")
@@ -210,7 +210,7 @@ def ild_q(spark, folder):
 
 def pop_oracle_q(spark, folder):
     """The leaky control: scores are the clicks within the very split."""
-    imp = impressions(spark, folder).where(F.col("time") >= at(CUTOFF))
+    imp = impressions(spark, folder, F.col("time") >= at(CUTOFF))
     inside = popularity(clicks(imp)).select("article_idx", F.col("clicks").cast("double").alias("score"))
     scored = pair_table(imp).join(inside, "article_idx", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return rank_metrics(scored).agg(F.count("*").alias("impressions"), F.round(F.avg("auc"), 6).alias("auc"), F.round(F.avg("mrr_first"), 6).alias("mrr_first"))

@@ -114,7 +114,7 @@ def category_recency(weights: DataFrame, article: DataFrame) -> DataFrame:
 
 
 def _shown_before(spark: SparkSession, folder: str) -> DataFrame:
-    return exposures(impressions(spark, folder).where(F.col("time") < at(CUTOFF)))
+    return exposures(impressions(spark, folder, F.col("time") < at(CUTOFF)))
 
 
 def exposures_q(spark, folder):

@@ -148,7 +148,7 @@ def bm25_search_q(spark, folder):
 
 def score_pairs_q(spark, folder):
     i = article_index(spark, folder)
-    shown = pair_table(impressions(spark, folder).where("user_idx % 50 = 0")).select("user_idx", F.col("article_idx").alias("doc_id"))
+    shown = pair_table(impressions(spark, folder, "user_idx % 50 = 0")).select("user_idx", F.col("article_idx").alias("doc_id"))
     return score_pairs(shown, history_queries(_users(spark, folder), i.postings), i.weights()).withColumn("score", F.round("score", 5))
 
 

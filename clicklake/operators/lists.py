@@ -124,14 +124,14 @@ def explode_two(spark: SparkSession, folder: str) -> DataFrame:
 def list_setops(spark: SparkSession, folder: str) -> DataFrame:
     c, k = F.col("candidates"), F.coalesce("clicked", F.array().cast("array<bigint>"))
     text = lambda x: F.array_join(F.array_sort(x).cast("array<string>"), ",")
-    return impressions(spark, folder).where("candidates is not null").select(
+    return impressions(spark, folder, "candidates is not null").select(
         "src_row", text(F.array_intersect(c, k)).alias("shown_clicked"), text(F.array_except(c, k)).alias("passed"), F.array_join(F.slice(F.concat(c, k), 1, 3).cast("array<string>"), ",").alias("head"),
         F.size(c).alias("n"), F.array_max(c).alias("greatest"), F.size(F.array_distinct(F.array_compact(c))).alias("n_distinct"), F.coalesce(F.array_contains(k, F.get(c, F.lit(0))), F.lit(False)).alias("first_clicked"))
 
 
 def _list_scores(spark: SparkSession, folder: str) -> DataFrame:
     """A score with many ties for each candidate: its id modulo 7."""
-    return impressions(spark, folder).where("size(candidates) > 0").select("src_row", F.transform("candidates", lambda x: (x % 7).cast("double")).alias("scores"))
+    return impressions(spark, folder, "size(candidates) > 0").select("src_row", F.transform("candidates", lambda x: (x % 7).cast("double")).alias("scores"))
 
 
 def list_rank_q(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,11 +161,11 @@ def text_concat(spark: SparkSession, folder: str) -> DataFrame:
 
 def time_window(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("time")
-    return impressions(spark, folder).where((t >= at(VAL_FROM)) & (t < at(TEST_FROM))).select("src_row", "impression_id", "user_idx", "time")
+    return impressions(spark, folder, (t >= at(VAL_FROM)) & (t < at(TEST_FROM))).select("src_row", "impression_id", "user_idx", "time")
 
 
 def stable_uniform(spark: SparkSession, folder: str) -> DataFrame:
-    rows = impressions(spark, folder).where("user_idx is not null").select("user_idx", F.explode("candidates").alias("article_idx")).where("article_idx is not null").distinct()
+    rows = impressions(spark, folder, "user_idx is not null").select("user_idx", F.explode("candidates").alias("article_idx")).where("article_idx is not null").distinct()
     return rows.select("user_idx", "article_idx", uniform(F.col("user_idx"), F.col("article_idx"), 7).alias("u"))
 
 
@@ -200,7 +200,7 @@ def scalar_string(spark: SparkSession, folder: str) -> DataFrame:
 
 def scalar_date(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("time")
-    rows = impressions(spark, folder).where("time is not null")
+    rows = impressions(spark, folder, "time is not null")
     return rows.groupBy(F.to_date(t).alias("d")).agg(F.count("*").alias("n"), F.min(t).alias("first"), F.max(t).alias("last"), F.sum(F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), t)).alias("epochs")).select(F.date_format("d", "yyyy-MM-dd").alias("day"), "n", "first", "last", "epochs")
 
 
@@ -215,7 +215,7 @@ def json_entities(spark: SparkSession, folder: str) -> DataFrame:
 
 def split_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """The spelling `N1-1 N2-0` of shown and clicked candidates, written and taken apart again."""
-    imp = impressions(spark, folder).where("size(candidates) > 0 and clicked is not null")
+    imp = impressions(spark, folder, "size(candidates) > 0 and clicked is not null")
     rows = imp.select("src_row", F.array_join(F.transform("candidates", lambda x: F.concat(F.lit("N"), x.cast("string"), F.when(F.array_contains("clicked", x), "-1").otherwise("-0"))), " ").alias("line"))
     items = F.split("line", " ")
     return rows.select("src_row", F.array_join(F.transform(items, lambda x: F.substring(x, F.lit(1), F.length(x) - 2)), " ").alias("candidates"), F.array_join(F.transform(F.filter(items, lambda x: x.endswith("-1")), lambda x: F.substring(x, F.lit(1), F.length(x) - 2)), " ").alias("clicked"))
@@ -224,7 +224,7 @@ def split_candidates(spark: SparkSession, folder: str) -> DataFrame:
 def parse_datetime(spark: SparkSession, folder: str) -> DataFrame:
     """US 12-hour times: written from the log's and read again."""
     text = F.date_format("time", "M/d/yyyy h:mm:ss a")
-    return impressions(spark, folder).where("time is not null").select("src_row", F.to_timestamp_ntz(text, F.lit("M/d/yyyy h:mm:ss a")).alias("time"))
+    return impressions(spark, folder, "time is not null").select("src_row", F.to_timestamp_ntz(text, F.lit("M/d/yyyy h:mm:ss a")).alias("time"))
 
 
 QUERIES = {

@@ -105,7 +105,7 @@ def sort_multi_q(spark, folder):
 
 def limit_slice_q(spark, folder):
     """Rows 100 to 149 by id, by range of the id, not by physical order."""
-    return impressions(spark, folder).where("src_row >= 100 and src_row < 150").select("src_row", "impression_id", "n_candidates")
+    return impressions(spark, folder, "src_row >= 100 and src_row < 150").select("src_row", "impression_id", "n_candidates")
 
 
 def topk_partial_q(spark, folder):
@@ -159,7 +159,7 @@ def stage1_q(spark, folder):
 
 def queueing_q(spark, folder):
     """Load and mean waits of single servers fed by each device's read times, by the textbook formulas for M/M/1 and M/D/1."""
-    rows = impressions(spark, folder).where("read_time is not null and not isnan(read_time) and time is not null and device_type is not null")
+    rows = impressions(spark, folder, "read_time is not null and not isnan(read_time) and time is not null and device_type is not null")
     span = F.timestamp_diff("SECOND", F.min("time"), F.max("time"))
     by = rows.groupBy("device_type").agg(F.avg(F.col("read_time").cast("double")).alias("service"), (F.count("*") / span).alias("rate"))
     rho = F.col("rate") * F.col("service")

@@ -222,7 +222,7 @@ def count_sketch_q(spark, folder):
 
 def hyperloglog_q(spark, folder):
     """Users a day: exact, and whether the sketch is within four of its standard errors."""
-    days = impressions(spark, folder).where("time is not null and user_idx is not null").groupBy(F.date_format("time", "yyyy-MM-dd").alias("day"))
+    days = impressions(spark, folder, "time is not null and user_idx is not null").groupBy(F.date_format("time", "yyyy-MM-dd").alias("day"))
     return days.agg(F.count_distinct("user_idx").alias("users"), (F.abs(F.approx_count_distinct("user_idx", 0.02) - F.count_distinct("user_idx")) <= F.greatest(0.08 * F.count_distinct("user_idx"), F.lit(1.0))).alias("close"))
 
 

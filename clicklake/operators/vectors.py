@@ -144,7 +144,7 @@ def _cells(centres: np.ndarray, probe: int):
     return run
 
 
-def knn_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int = 32, probe: int = 8, size: int = 64, block: int = 1024) -> DataFrame:
+def knn_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int = 32, probe: int = 24, size: int = 64, block: int = 1024) -> DataFrame:
     """The same from the `probe` cells nearest to each query; every vector is indexed in the cell of its nearest centre.
 
     Centres come from a bounded sample (see fit_cells). A crowded cell is many blocks, so no task holds a whole cell.
@@ -230,7 +230,7 @@ def knn_cells_q(spark, folder):
 def ann_recall_q(spark, folder):
     exact = cut(knn_exact(_queries(spark, folder), _vectors(spark, folder)), "exact")
     every = None
-    for probe in (2, 8, 16):
+    for probe in (8, 16, 24):
         one = recall_by_score(knn_cells(_queries(spark, folder), _vectors(spark, folder), probe=probe), exact).select(F.lit(probe).alias("probe"), F.round("recall", 6).alias("recall"), "queries")
         every = one if every is None else every.unionByName(one)
     return every

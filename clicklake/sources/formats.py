@@ -189,7 +189,7 @@ def sink_parquet_q(spark, folder):
 
 
 def _ranked(spark, folder):
-    rows = impressions(spark, folder).where("size(candidates) > 0")
+    rows = impressions(spark, folder, "size(candidates) > 0")
     ranks = list_rank(F.transform("candidates", lambda x: (x % 7).cast("double")))
     return rows.select("src_row", "candidates", ranks.alias("ranks")).withColumn("line", ranked_line(F.col("src_row"), F.col("ranks")))
 
@@ -205,7 +205,7 @@ def sink_ranked_text_q(spark, folder):
 
 def sink_checks_q(spark, folder):
     got = _ranked(spark, folder)
-    return checked(got, impressions(spark, folder).where("size(candidates) > 0"), "src_row", "ranks", F.size("candidates"))
+    return checked(got, impressions(spark, folder, "size(candidates) > 0"), "src_row", "ranks", F.size("candidates"))
 
 
 def codec_sweep_q(spark, folder):
@@ -231,7 +231,7 @@ def stage_cache_q(spark, folder):
 def segments_q(spark, folder):
     """Daily segments appended, then compacted: the same rows in fewer files."""
     root = _scratch(spark)
-    rows = cut(impressions(spark, folder).where("time is not null").select("src_row", F.date_format("time", "yyyy-MM").alias("month")), "months")
+    rows = cut(impressions(spark, folder, "time is not null").select("src_row", F.date_format("time", "yyyy-MM").alias("month")), "months")
     for m in [r[0] for r in rows.select("month").distinct().collect()]:
         append_segment(rows.where(F.col("month") == m), f"{root}/in", m)
     whole = compact(spark, f"{root}/in", f"{root}/out", 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,9 +18,13 @@ def at(text: str):
     return F.expr(f"timestamp_ntz'{text}'")
 
 
-def impressions(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per `src_row`: rows delivered twice are alike, so any of them will do."""
-    return table(spark, folder, "impressions").dropDuplicates(["src_row"])
+def impressions(spark: SparkSession, folder: str, condition: Column | str | None = None) -> DataFrame:
+    """One row per `src_row`: rows delivered twice are alike, so any of them will do.
+
+    A condition is applied before they are counted once, where it reaches the scan; after, it could not pass the aggregate.
+    """
+    rows = table(spark, folder, "impressions")
+    return (rows if condition is None else rows.where(condition)).dropDuplicates(["src_row"])
 
 
 def pair_table(imp: DataFrame, *keep: str) -> DataFrame:
