@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicklake.operators.evaluation import rank_metrics
+from clicklake.operators.features import ORACLES as _FEATURES
 from clicklake.operators.features import article_features, category_profile, category_recency, exposures, history_recency, hours, user_features
-from clicklake.operators.lists import zscore_within
+from clicklake.operators.lists import UNIFORM_SQL, zscore_within
+from clicklake.operators.windows import ORACLES as _WINDOWS
 from clicklake.operators.windows import asof_before, article_dwell, dwell_features, rolling_article_stats, session_features
 from clicklake.plans.cut import cut
-from clicklake.sources.logs import CUTOFF, VAL_FROM, articles, at, clicks, histories, impressions, pair_table
+from clicklake.sources.logs import ARTICLES, CUTOFF, PAIRS, VAL_FROM, articles, at, clicks, histories, impressions, pair_table
 
 #: Families of feature columns; a run uses those of them that the table has.
 FAMILIES = {
@@ -90,15 +92,22 @@ def _features(spark: SparkSession, folder: str, since: str | None, until: str |
     return attach_features(pair_table(own), imp, histories(spark, folder), articles(spark, folder), until or CUTOFF)
 
 
+#: Decimals of the feature columns in query results.
+DIGITS = {"position_frac": 9, "art_read_time": 5, "prior_read_time": 5, "prior_scroll": 5}
+
+
 def attach_features_q(spark, folder):
     got = _features(spark, folder, CUTOFF, None)
-    floats = [c for c, t in got.dtypes if t == "double"]
-    return got.withColumns({c: F.round(c, 5) for c in floats}).drop("time")
+    return got.withColumns({c: F.round(c, DIGITS.get(c, 6)) for c, t in got.dtypes if t == "double"}).drop("time")
+
+
+WEIGHTS = {"roll_ctr": 1.0, "ctr_smoothed": 0.5, "cat_recency_share": 0.3, "art_read_time": 0.2}
 
 
 def linear_fusion_q(spark, folder):
-    got = linear_fusion(_features(spark, folder, CUTOFF, None), {"roll_ctr": 1.0, "ctr_smoothed": 0.5, "cat_recency_share": 0.3, "age_hours": -0.2})
-    return rank_metrics(got.select("imp", "article_idx", "position", "label", "score")).agg(F.count("*").alias("impressions"), *(F.round(F.avg(c), 5).alias(c) for c in ("auc", "mrr_first", "ndcg_10")))
+    """Ranking metrics of a weighted sum of z-scores."""
+    got = linear_fusion(attach_features_q(spark, folder), WEIGHTS)
+    return rank_metrics(got.select("imp", "article_idx", "position", "label", "score")).agg(F.count("*").alias("impressions"), *(F.round(F.avg(c), 4).alias(c) for c in ("auc", "mrr_first", "ndcg_10")))
 
 
 def gbdt_ranker_q(spark, folder):
@@ -133,7 +142,7 @@ def ablation_q(spark, folder):
 
 def coverage_profile_q(spark, folder):
     """Share of nulls and zeros and number of values of each feature, in one pass."""
-    got = _features(spark, folder, CUTOFF, None)
+    got = attach_features_q(spark, folder)
     names = columns_of(got, tuple(FAMILIES))
     stats = F.array(*(F.struct(F.lit(c).alias("feature"), F.round(F.avg(F.col(c).isNull().cast("double")), 6).alias("nulls"), F.round(F.avg(F.coalesce(F.col(c) == 0, F.lit(False)).cast("double")), 6).alias("zeros")) for c in names))
     return got.agg(stats.alias("s")).select(F.inline("s"))
@@ -142,4 +151,22 @@ def coverage_profile_q(spark, folder):
 QUERIES = {"attach_features": attach_features_q, "linear_fusion": linear_fusion_q, "gbdt_ranker": gbdt_ranker_q, "importances": importances_q, "ablation": ablation_q, "coverage_profile": coverage_profile_q}
 
 
-ORACLES: dict[str, str] = {}
+_ATTACHED = f"""WITH b AS (WITH {PAIRS} SELECT * FROM pairs WHERE time >= TIMESTAMP '{CUTOFF}'), sf AS ({_WINDOWS["session_features"]}), dw AS ({_WINDOWS["dwell_features"]}), st AS ({_WINDOWS["rolling_article_stats"]}), ad AS ({_WINDOWS["article_dwell"]}),
+af AS ({_FEATURES["article_features"]}), uf AS ({_FEATURES["user_features"]}), cp AS ({_FEATURES["category_profile"]}), cr AS ({_FEATURES["category_recency"]}), a AS (WITH {ARTICLES} SELECT idx, topic, coalesce(published_time, first_seen_time) AS born FROM art),
+b1 AS (SELECT b.*, roll_inview, roll_clicks, roll_ctr FROM b ASOF LEFT JOIN st ON b.article_idx = st.article_idx AND b.time > st.time), b2 AS (SELECT b1.*, art_read_time FROM b1 ASOF LEFT JOIN ad ON b1.article_idx = ad.article_idx AND b1.time > ad.time),
+ft AS (SELECT b2.imp, b2.user_idx, b2.article_idx, CAST(b2.position AS INT) AS position, round(b2.position / greatest(b2.n_candidates - 1, 1), 9) AS position_frac, CAST(b2.n_candidates AS INT) AS n_candidates, label, coalesce(roll_inview, 0) AS roll_inview, coalesce(roll_clicks, 0) AS roll_clicks,
+ coalesce(roll_ctr, 0) AS roll_ctr, art_read_time, session_rank, session_seconds, secs_since_prev, prior_read_time, prior_scroll, prior_impressions, coalesce(clicks_decayed, 0) AS clicks_decayed, coalesce(ctr_smoothed, 0) AS ctr_smoothed, n_hist, clicks_24h, clicks_7d, hours_since_last_click,
+ top_category_share, n_categories, category_entropy, coalesce(cat_share, 0) AS cat_share, coalesce(cat_recency_share, 0) AS cat_recency_share, round(date_sub('second', born, b2.time) / 3600.0, 6) AS age_hours
+ FROM b2 LEFT JOIN sf ON sf.imp = b2.imp LEFT JOIN dw ON dw.imp = b2.imp LEFT JOIN a ON a.idx = b2.article_idx LEFT JOIN af ON af.article_idx = b2.article_idx LEFT JOIN uf ON uf.user_idx = b2.user_idx
+ LEFT JOIN cp ON cp.user_idx = b2.user_idx AND cp.topic = a.topic LEFT JOIN cr ON cr.user_idx = b2.user_idx AND cr.topic = a.topic)"""
+_Z = ", ".join(f"coalesce(round((coalesce({c}, NULL) - avg({c}) OVER w) / coalesce(nullif(stddev_samp({c}) OVER w, 0), 1), 9), 0) AS z{i}" for i, c in enumerate(WEIGHTS))
+_FUSED = _ATTACHED + f""", z AS (SELECT imp, article_idx, position, label, {_Z} FROM ft WINDOW w AS (PARTITION BY imp)), sc AS (SELECT imp, article_idx, position, label, round({" + ".join(f"{w} * z{i}" for i, w in enumerate(WEIGHTS.values()))}, 9) AS score FROM z),
+uu AS (SELECT *, {UNIFORM_SQL.format(a="imp", b="article_idx", seed=17)} AS u FROM sc), rk AS (SELECT *, row_number() OVER (PARTITION BY imp ORDER BY score DESC, u DESC, position) AS rank FROM uu)"""
+
+ORACLES = {
+    "attach_features": _ATTACHED + " SELECT * FROM ft",
+    "linear_fusion": _FUSED + """, au AS (SELECT a.imp, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS auc FROM rk a JOIN rk b ON a.imp = b.imp AND a.label AND NOT b.label GROUP BY 1),
+        g AS (SELECT imp, count(*) FILTER (label) AS p, min(rank) FILTER (label) AS first, sum(1 / log2(rank + 1)) FILTER (label AND rank <= 10) AS d FROM rk GROUP BY 1), il AS (SELECT p, sum(1 / log2(i + 1)) AS ideal FROM range(1, 60) a(p), range(1, 11) b(i) WHERE i <= p GROUP BY 1)
+        SELECT count(*) AS impressions, round(avg(auc), 4) AS auc, round(avg(coalesce(1.0 / first, 0)), 4) AS mrr_first, round(avg(coalesce(d, 0) / coalesce(ideal, 1)), 4) AS ndcg_10 FROM g LEFT JOIN au ON au.imp = g.imp LEFT JOIN il ON il.p = g.p""",
+    "coverage_profile": _ATTACHED + " " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(CAST({c} IS NULL AS INT)), 6) AS nulls, round(avg(CAST(coalesce({c} = 0, false) AS INT)), 6) AS zeros FROM ft" for f in FAMILIES for c in FAMILIES[f]),
+}

@@ -79,13 +79,15 @@ def asof_before(left: DataFrame, right: DataFrame, by: str, on: str, values: Seq
     b = right.where(f"{by} is not null and {on} is not null").select(F.col(by).alias("k"), micros(F.col(on)).alias("t"), payload.alias("v"))
     bucket = F.floor(F.col("t") / width)
     stacked = a.withColumn("v", F.lit(None).cast(b.schema["v"].dataType)).unionByName(b.withColumn("side", F.lit(1)), allowMissingColumns=True).withColumn("bucket", bucket)
-    last = b.withColumn("bucket", bucket).groupBy("k", "bucket").agg(F.max_by("v", "t").alias("end"))
-    # the buckets a left row may lie in, each with the last value of the buckets before it
-    frame = stacked.groupBy("k", "bucket").agg(F.lit(1).alias("one")).join(last, ["k", "bucket"], "left")
-    carried = frame.select("k", "bucket", F.last("end", ignorenulls=True).over(strictly_before("k", "bucket")).alias("carry"))
+    # the last right value of each bucket, and the buckets left rows lie in, which carry what earlier buckets end with
+    ends = b.groupBy("k", bucket.alias("bucket")).agg(F.max_by("v", "t").alias("end")).withColumn("asks", F.lit(False))
+    asked = a.where("k is not null and t is not null").select("k", bucket.alias("bucket")).distinct().withColumn("asks", F.lit(True))
+    earlier = W.partitionBy("k").orderBy("bucket").rangeBetween(W.unboundedPreceding, -1)
+    frame = ends.unionByName(asked, allowMissingColumns=True).withColumn("carry", F.last("end", ignorenulls=True).over(earlier))
+    carried = frame.where("asks").select("k", "bucket", "carry")
     w = W.partitionBy("k", "bucket").orderBy("t", "side").rowsBetween(W.unboundedPreceding, -1)
     inside = stacked.withColumn("near", F.last("v", ignorenulls=True).over(w)).where("side = 0").select("row", "k", "bucket", "near")
-    met = inside.join(carried, inside.k.eqNullSafe(carried.k) & inside.bucket.eqNullSafe(carried.bucket), "left").select("row", F.when(inside.k.isNull() | inside.bucket.isNull(), None).otherwise(F.coalesce("near", "carry")).alias("v"))
+    met = inside.join(carried, ["k", "bucket"], "left").select("row", F.when(F.col("k").isNotNull() & F.col("bucket").isNotNull(), F.coalesce("near", "carry")).alias("v"))
     return met.select(*(F.col("row")[c].alias(c) for c in kept), *(F.col("v")[c].alias(c) for c in values))
 
 
