@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("operators.rolling", "operators.sessions", "operators.asof_intervals", "operators.lists", "operators.features", "operators.windows", "operators.bias", "operators.evaluation", "operators.lexical", "operators.vectors", "operators.candidates", "operators.sketches", "operators.postings", "operators.ranking", "operators.relational", "streaming.counters", "sources.formats")
+MODULES = ("operators.rolling", "operators.sessions", "operators.asof_intervals", "operators.lists", "operators.features", "operators.windows", "operators.bias", "operators.evaluation", "operators.lexical", "operators.vectors", "operators.candidates", "operators.sketches", "operators.postings", "operators.ranking", "operators.relational", "operators.matching", "streaming.counters", "sources.formats")
 
 
 def registered(what: str) -> dict:

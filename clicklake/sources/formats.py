@@ -8,10 +8,12 @@ import json
 import time
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,21 +68,36 @@ def row_index(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(id, vector) of a two-dimensional `.npy` file or a folder of them, each file being one record's worth of bytes.
-
-    Ids count rows within a file; a large matrix belongs into many files, which then are read in parallel.
-    """
+def decode_npy(files: DataFrame) -> DataFrame:
+    """(path, id, vector) of files (path, content) that each hold a two-dimensional `.npy` matrix; ids count its rows."""
 
-    def rows(batches):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, data in zip(b["path"], b["content"]):
                 m = np.load(io.BytesIO(data)).astype(np.float32)
-                import pandas as pd
-
                 yield pd.DataFrame({"path": p, "id": np.arange(len(m)), "vector": list(m)})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "path string, id bigint, vector array<float>")
+    return files.select("path", "content").mapInPandas(rows, "path string, id bigint, vector array<float>")
+
+
+def encode_npy(vectors: DataFrame, vector: str, rows_a_file: int = 4096) -> DataFrame:
+    """(path, content): the vectors of each partition as matrices of at most so many rows, named by partition and number."""
+
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, k = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for i in range(0, len(b), rows_a_file):
+                data = io.BytesIO()
+                np.save(data, np.array(b[vector].iloc[i : i + rows_a_file].tolist(), np.float32))
+                yield pd.DataFrame({"path": [f"{part}-{k}.npy"], "content": [data.getvalue()]})
+                k += 1
+
+    return vectors.select(vector).mapInPandas(files, "path string, content binary")
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """The vectors of a `.npy` file or a folder of them, one file being one task's work: a large matrix belongs into many."""
+    return decode_npy(spark.read.format("binaryFile").load(path))
 
 
 def write_ranked_text(lines: DataFrame, path: str, row_id: str = "src_row", line: str = "line") -> None:
@@ -94,8 +111,8 @@ def checked(lines: DataFrame, expected: DataFrame, row_id: str, ranks: str, size
     return both.agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("size").isNull()).alias("unexpected"), F.count_if(F.col("n") > 1).alias("twice"), F.count_if((F.col("size") != F.col("got"))).alias("wrong_size"))
 
 
-def zip_text(spark: SparkSession, folder: str, target: str, inner: str) -> None:
-    """The part files of a text table, in order, as one member of an archive; streamed through the driver, never held whole."""
+def zip_text(spark: SparkSession, folder: str, target: str | io.BytesIO, inner: str) -> None:
+    """The part files of a text table, in order, as one member of an archive; lines stream through the driver."""
     jvm = spark.sparkContext._jvm
     files = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*"))
     names = sorted(f.getPath().toString() for f in files)
@@ -165,17 +182,10 @@ def scan_tsv_q(spark, folder):
 
 
 def scan_npy_q(spark, folder):
-    """The first vectors, written as a matrix file by the driver and read back: a round trip of a bounded piece."""
-    path = _scratch(spark)
-    rows = table(spark, folder, "embeddings").orderBy("vec_id").limit(256).select("embedding").toPandas()
-    data = io.BytesIO()
-    np.save(data, np.array(rows["embedding"].tolist(), np.float32))
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/part.npy")
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
-    out.write(bytearray(data.getvalue()))
-    out.close()
-    return read_npy(spark, path).select("id", F.size("vector").alias("n"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+    """All vectors as matrix files and back, the id going along as a first column."""
+    rows = table(spark, folder, "embeddings").select(F.concat(F.array(F.col("vec_id").cast("float")), F.col("embedding").cast("array<float>")).alias("v"))
+    back = decode_npy(encode_npy(rows, "v"))
+    return back.select(F.col("vector")[0].cast("bigint").alias("id"), (F.size("vector") - 1).alias("n"), F.round(F.col("vector")[1].cast("double"), 6).alias("first"))
 
 
 def row_index_q(spark, folder):
@@ -203,6 +213,22 @@ def sink_ranked_text_q(spark, folder):
     return order.agg(F.sum("n").alias("lines"), F.count_if(F.col("least") > F.col("greatest")).alias("disordered"))
 
 
+def sink_zip_q(spark, folder):
+    """The ranked lines as an archive: its member, and its lines read back."""
+    path, target = _scratch(spark), io.BytesIO()
+    write_ranked_text(_ranked(spark, folder), path)
+    zip_text(spark, path, target, "predictions.txt")
+    with zipfile.ZipFile(target) as z:
+        rows = [(n, sum(1 for _ in z.open(n))) for n in z.namelist()]
+    return spark.createDataFrame(rows, "member string, lines bigint")
+
+
+def raw_fingerprint_q(spark, folder):
+    """Two fingerprints of the same files are equal, one of other files is not."""
+    a, b, c = (raw_fingerprint(spark, folder, p) for p in ("a*.parquet", "a*.parquet", "b*.parquet"))
+    return spark.createDataFrame([(a == b, a == c)], "same boolean, other boolean")
+
+
 def sink_checks_q(spark, folder):
     got = _ranked(spark, folder)
     return checked(got, impressions(spark, folder, "size(candidates) > 0"), "src_row", "ranks", F.size("candidates"))
@@ -239,17 +265,19 @@ def segments_q(spark, folder):
 
 
 QUERIES = {
-    "scan_parquet": scan_parquet_q, "scan_tsv": scan_tsv_q, "scan_npy": scan_npy_q, "row_index": row_index_q, "sink_parquet": sink_parquet_q, "sink_ranked_text": sink_ranked_text_q, "sink_checks": sink_checks_q, "codec_sweep": codec_sweep_q,
+    "scan_parquet": scan_parquet_q, "scan_tsv": scan_tsv_q, "scan_npy": scan_npy_q, "row_index": row_index_q, "sink_parquet": sink_parquet_q, "sink_ranked_text": sink_ranked_text_q, "sink_checks": sink_checks_q, "sink_zip": sink_zip_q, "raw_fingerprint": raw_fingerprint_q, "codec_sweep": codec_sweep_q,
     "stage_cache": stage_cache_q, "segments": segments_q,
 }
 
 ORACLES = {
     "scan_parquet": "SELECT idx, src_id, lang FROM articles WHERE lang = 'en'",
     "scan_tsv": f"WITH {ARTICLES} SELECT src_id AS news_id, topic AS category, nullif(regexp_replace(title, '[\\t\\r\\n]+', ' ', 'g'), '') AS title, nullif(regexp_replace(abstract, '[\\t\\r\\n]+', ' ', 'g'), '') AS abstract FROM art",
-    "scan_npy": "SELECT vec_id - (SELECT min(vec_id) FROM embeddings) AS id, CAST(len(embedding) AS INT) AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings ORDER BY vec_id LIMIT 256",
+    "scan_npy": "SELECT vec_id AS id, CAST(len(embedding) AS INT) AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings",
     "row_index": "SELECT file_row_number AS row, r_regionkey, r_name FROM (SELECT row_number() OVER () - 1 AS file_row_number, * FROM region)",
     "sink_parquet": f"WITH {ARTICLES} SELECT idx, title FROM art",
     "sink_ranked_text": f"WITH {IMP} SELECT count(*) AS lines, CAST(0 AS BIGINT) AS disordered FROM imp WHERE len(candidates) > 0",
+    "sink_zip": f"WITH {IMP} SELECT 'predictions.txt' AS member, count(*) AS lines FROM imp WHERE len(candidates) > 0",
+    "raw_fingerprint": "SELECT true AS same, false AS other",
     "sink_checks": "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unexpected, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS wrong_size",
     "stage_cache": "SELECT CAST(run AS INT) AS run, run = 1 AS reused, (SELECT count(DISTINCT idx) FROM articles) AS rows FROM range(3) t(run)",
     "segments": f"WITH {IMP} SELECT strftime(time, '%Y-%m') AS month, count(*) AS n, max(src_row) AS last FROM imp WHERE time IS NOT NULL GROUP BY 1",
