@@ -279,8 +279,8 @@ def quantise_q(spark, folder):
 
 
 def jl_projection_q(spark, folder):
-    m = projection(64, 32)
-    rows = _vectors(spark, folder).select("id", norm(unit(F.col("vector"))).alias("length"), norm(projected(unit(F.col("vector")), m)).alias("small"))
+    units = _vectors(spark, folder).where("vector is not null").select("id", unit(F.col("vector")).alias("u"))
+    rows = units.withColumn("p", projected(F.col("u"), projection(64, 32))).select(norm(F.col("u")).alias("length"), norm(F.col("p")).alias("small"))
     return rows.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("small") - F.col("length"))), 6).alias("mean_error"), F.round(F.max("small"), 6).alias("greatest"))
 
 
