@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicklake.plans.cut import cut, spread
+from clicklake.plans.cut import cut, drop, spread
 from clicklake.plans.graph import components
 from clicklake.sources.tables import table
 
@@ -186,7 +186,7 @@ def _exact(threshold: float):
     return run
 
 
-def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, threshold: float, keep=cut) -> DataFrame:
     """Of candidate pairs (a, b), those whose texts are as similar as `threshold`.
 
     Complete fingerprints come first: pairs four standard deviations of the estimate under the threshold are dropped.
@@ -194,7 +194,7 @@ def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, threshold: f
     sd = (threshold * (1 - threshold) / SYMBOLS) ** 0.5
     x, y = prints.toDF("a", "print_a"), prints.toDF("b", "print_b")
     close = pairs.join(x, "a").join(y, "b").select("a", "b", "print_a", "print_b").mapInArrow(_close(threshold - 4 * sd), "a bigint, b bigint")
-    close = cut(close, "close")
+    close = keep(close, "close")
     ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
     used = texts.join(ids, "id", "left_semi")
     met = close.join(used.toDF("a", "text_a"), "a").join(used.toDF("b", "text_b"), "b")
@@ -212,36 +212,46 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float =
     A table entry of up to `hot` texts gives all its pairs. Of a larger one, all are first held against the smallest; what
     links then connect needs no more pairs, and the texts outside the entry's largest group are held against all the
     others not of their own group. So no link between groups is lost and no large family is spelled out in pairs.
+    The tables between the stages are deleted as soon as the result is written.
     """
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(cut(df, name))
+        return made[-1]
+
     rows = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null"))
-    sketched = cut(rows.mapInArrow(_sketch, "doc_id bigint, digest binary, symbols binary"), "sketch")
-    reps = cut(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("copied")), "reps")
+    sketched = keep(rows.mapInArrow(_sketch, "doc_id bigint, digest binary, symbols binary"), "sketch")
+    reps = keep(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("copied")), "reps")
     own = sketched.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "symbols")
-    own = cut(own, "prints")
+    own = keep(own, "prints")
     keys = own.select("rep", "symbols").mapInArrow(_keys(2048), "place bigint, key bigint, rep bigint, company boolean")
-    shared = cut(keys.repartition("place").sortWithinPartitions("key").mapInArrow(_shared, "key bigint, rep bigint"), "shared")
+    shared = keep(keys.repartition("place").sortWithinPartitions("key").mapInArrow(_shared, "key bigint, rep bigint"), "shared")
     sizes = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"))
-    entries = cut(shared.join(sizes, "key"), "entries")
-    prints = cut(own.mapInArrow(_bytes, "id bigint, print binary"), "bytes")
+    entries = keep(shared.join(sizes, "key"), "entries")
+    prints = keep(own.mapInArrow(_bytes, "id bigint, print binary"), "bytes")
 
     lists = entries.where(F.col("n") <= hot).groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct()
     pairs = lists.select(F.explode(F.expr("flatten(transform(reps, (x, i) -> transform(slice(reps, i + 2, size(reps)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
     spokes = entries.where((F.col("n") > hot) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    edges = cut(verified(pairs.union(spokes).distinct(), prints, rows, threshold), "links")
-    labels = cut(components(edges), "labels")
+    edges = keep(verified(pairs.union(spokes).distinct(), prints, rows, threshold, keep), "links")
+    labels = keep(components(edges), "labels")
 
     big = entries.where(F.col("n") > hot).select("key", "rep")
     if not big.isEmpty():
-        big = cut(big.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "big")
+        big = keep(big.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "big")
         main = big.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
         few = big.join(main, "key").where("label <> main").select("key", F.col("rep").alias("x"), F.col("label").alias("of"))
         rest = big.join(few, "key").where("label <> of").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-        more = verified(rest, prints, rows, threshold)
-        labels = cut(components(more.union(labels.where("node <> label").toDF("a", "b"))), "labels")
+        more = verified(rest, prints, rows, threshold, keep)
+        labels = keep(components(more.union(labels.where("node <> label").toDF("a", "b"))), "labels")
 
     classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("copied or label is not null").select("digest", F.coalesce("label", "rep").alias("canonical"))
     found = sketched.select("doc_id", "digest").join(classes, "digest").select("doc_id", "canonical").distinct()
-    return cut(found, "groups")
+    out = cut(found, "groups")
+    for t in made:
+        drop(t)
+    return out
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
