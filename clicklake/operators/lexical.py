@@ -83,9 +83,12 @@ def search(queries: DataFrame, weights: DataFrame, k: int = 10, universe: DataFr
 
 
 def score_pairs(pairs: DataFrame, queries: DataFrame, weights: DataFrame) -> DataFrame:
-    """(user_idx, doc_id, score) of given pairs only, 0 where no term is shared: the work follows the pairs, not the corpus."""
+    """(user_idx, doc_id, score) of given pairs only, 0 where no term is shared: the work follows the pairs, not the corpus.
+
+    The terms of the pairs are many times the queries, so the queries' part is hashed and the terms are never sorted.
+    """
     pairs = pairs.select("user_idx", "doc_id").distinct()
-    met = pairs.join(weights, "doc_id").join(queries, ["user_idx", "term"]).groupBy("user_idx", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
+    met = pairs.join(weights, "doc_id").join(queries.hint("shuffle_hash"), ["user_idx", "term"]).groupBy("user_idx", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
     return pairs.join(met, ["user_idx", "doc_id"], "left").select("user_idx", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -147,9 +150,10 @@ def bm25_search_q(spark, folder):
 
 
 def score_pairs_q(spark, folder):
+    """Every user on every article they were shown; rows without a user are no pairs."""
     i = article_index(spark, folder)
-    shown = pair_table(impressions(spark, folder, "user_idx % 50 = 0")).select("user_idx", F.col("article_idx").alias("doc_id"))
-    return score_pairs(shown, history_queries(_users(spark, folder), i.postings), i.weights()).withColumn("score", F.round("score", 5))
+    shown = pair_table(impressions(spark, folder, "user_idx is not null")).select("user_idx", F.col("article_idx").alias("doc_id"))
+    return score_pairs(shown, history_queries(histories(spark, folder), i.postings), i.weights()).withColumn("score", F.round("score", 5))
 
 
 def explain_q(spark, folder):

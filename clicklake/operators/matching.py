@@ -13,24 +13,32 @@ from clicklake.operators.evaluation import _SCORED, popular_scores, rank_metrics
 from clicklake.operators.lexical import article_index, history_queries, score_pairs, tokens
 from clicklake.operators.lexical import ORACLES as _LEXICAL
 from clicklake.operators.lists import UNIFORM_SQL, uniform
-from clicklake.operators.vectors import _UV, _V, _article_vectors, dot, knn_exact, unit, user_vectors
+from clicklake.operators.vectors import _UV, _V, _article_vectors, dot, knn_exact, norm, unit, user_vectors
 from clicklake.operators.vectors import ORACLES as _VECTORS
 from clicklake.plans.cut import cut
 from clicklake.sources.logs import ARTICLES, HISTORY, PAIRS, articles, histories, history_clicks, impressions, pair_table
 
 
 def matching_features(pairs: DataFrame, history: DataFrame, vectors: DataFrame, queries: DataFrame, weights: DataFrame, halflife: float = 10.0) -> DataFrame:
-    """(user_idx, article_idx, bm25, emb_cos, emb_recent, emb_max) of the distinct pairs; 0 where user or article is unknown."""
+    """(user_idx, article_idx, bm25, emb_cos, emb_recent, emb_max) of the distinct pairs; 0 where user or article is unknown.
+
+    Vectors travel with pairs of known articles only, once for all three cosines, raw with their length beside them.
+    """
     pairs = pairs.select("user_idx", "article_idx").where("user_idx is not null and article_idx is not null").distinct()
     v = vectors.select("article_idx", unit(F.col("vector")).alias("v"))
+    known = pairs.join(vectors.select("article_idx", "vector", F.greatest(norm(F.col("vector")), F.lit(1e-12)).alias("n")), "article_idx").select("user_idx", "article_idx", "vector", "n")
+    cosine = lambda c: dot(F.col("vector"), F.col(c)) / F.col("n")
     mean = user_vectors(history, vectors).withColumnRenamed("vector", "mean")
     recent = user_vectors(history, vectors, halflife).withColumnRenamed("vector", "recent")
     read = history_clicks(history).select("user_idx", "article_idx").distinct().join(v, "article_idx").select("user_idx", F.col("v").alias("h"))
-    best = pairs.join(v, "article_idx").join(read, "user_idx").groupBy("user_idx", "article_idx").agg(F.max(dot(F.col("v"), F.col("h"))).alias("emb_max"))
+    best = known.join(read, "user_idx").groupBy("user_idx", "article_idx").agg(F.max(cosine("h")).alias("emb_max"))
+    users = mean.join(recent, "user_idx", "full")
+    cosines = known.join(users, "user_idx").select("user_idx", "article_idx", cosine("mean").alias("emb_cos"), cosine("recent").alias("emb_recent"))
     bm25 = score_pairs(pairs.select("user_idx", F.col("article_idx").alias("doc_id")), queries, weights).select("user_idx", F.col("doc_id").alias("article_idx"), F.col("score").alias("bm25"))
-    out = pairs.join(v, "article_idx", "left").join(mean, "user_idx", "left").join(recent, "user_idx", "left").join(bm25, ["user_idx", "article_idx"], "left").join(best, ["user_idx", "article_idx"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.select("user_idx", "article_idx", zero(F.col("bm25")).alias("bm25"), zero(dot(F.col("mean"), F.col("v"))).alias("emb_cos"), zero(dot(F.col("recent"), F.col("v"))).alias("emb_recent"), zero(F.col("emb_max")).alias("emb_max"))
+    out = pairs
+    for part in (bm25, cosines, best):
+        out = out.join(part, ["user_idx", "article_idx"], "left")
+    return out.select("user_idx", "article_idx", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("bm25", "emb_cos", "emb_recent", "emb_max")))
 
 
 def slates(pairs: DataFrame, negatives: int = 4, seed: int = 23) -> DataFrame:
@@ -83,10 +91,11 @@ def _users(spark, folder):
 
 
 def matching_features_q(spark, folder):
-    """For the stated query set of users, on all they were shown."""
+    """For every user, on all they were shown."""
     i = article_index(spark, folder)
-    shown = pair_table(impressions(spark, folder, "user_idx % 50 = 0"))
-    got = matching_features(shown, _users(spark, folder), _article_vectors(spark, folder), history_queries(_users(spark, folder), i.postings), i.weights())
+    shown = pair_table(impressions(spark, folder, "user_idx is not null"))
+    history = histories(spark, folder)
+    got = matching_features(shown, history, _article_vectors(spark, folder), history_queries(history, i.postings), i.weights())
     return got.select("user_idx", "article_idx", *(F.round(c, 4).alias(c) for c in ("bm25", "emb_cos", "emb_recent", "emb_max")))
 
 
