@@ -136,11 +136,11 @@ def query_from_history_q(spark, folder):
 
 
 def decayed_query_q(spark, folder):
-    return history_queries(_users(spark, folder), article_index(spark, folder).postings, last=20, halflife=5.0).withColumn("q", F.round("q", 6))
+    return history_queries(histories(spark, folder), article_index(spark, folder).postings, last=20, halflife=5.0).withColumn("q", F.round("q", 6))
 
 
 def query_saturation_q(spark, folder):
-    q = history_queries(_users(spark, folder), article_index(spark, folder).postings)
+    q = history_queries(histories(spark, folder), article_index(spark, folder).postings)
     return q.select("user_idx", "term", F.round(saturated(F.col("q"), 2.0), 6).alias("q2"), F.round(saturated(F.col("q"), 0.0), 6).alias("q0"))
 
 
