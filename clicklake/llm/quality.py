@@ -1,183 +1,186 @@
-"""Statistics of text quality, and prose told from lists, tables and junk by a hidden Markov model over lines."""
+"""Statistics of text quality, and prose told from other content by the labels a hidden Markov model gives to lines."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicklake.llm.boosting import Boosted
-from clicklake.plans.cut import cut, spread
+from clicklake.llm.line_model import LABELS, LineModel, estimate
+from clicklake.llm.lines import BINS, Lines, measure, word_hashes
+from clicklake.plans.cut import spread
 from clicklake.sources.tables import table
 
 #: Frequent function words of English, Danish, Swedish and German. Fixed values.
-COMMON = frozenset(
+COMMON = tuple(
     """the of and to in a is that for it was on are as with be has had at by from have been this which not or an said who when will his her their its they would more than were but what
     og i at det er en den til af som på de med han for ikke der var et sig har om vi så blev efter hvor siden fra nu skal mere hvem ingen sådan
     och att det är som på den av med för har ett till från blev när om efter bara eller ska men enligt vem nu inte
     und der die das in den von zu mit sich ist des ein eine nicht auf dem es an als auch nach wie bei aus wurde wer was sie sind hat wenn war jetzt einem""".split()
 )
-STATES = ("prose", "list", "table", "junk")
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’\-]*")
-_ITEM = regex.compile(r"^\s*(?:[-–—*•·+>]\s|\(?\d{1,3}[.)]\s|\d{1,2}:\d{2}\b|<li\b|Q:|A:)")
-_CELL = regex.compile(r"\t| {2,}|[|;,]\s?")
-_HARD = regex.compile(r"\t|\s[|;]\s|\s{3,}|[|;]")
-_END = regex.compile(r"""[.!?…:]["'”’»«)\]]*\s*$""")
-_SENTENCE = regex.compile(r"(?<=[.!?…])[\s\"'”’»]+")
-_TAG = regex.compile(r"</?\w[^>]*>|[{}\[\]]|\"\s*:")
-_ODD = regex.compile(r"[^\p{L}\p{N}\s.,;:!?'\"()\-–—»«„“”’%&/]")
-_DIGIT = regex.compile(r"\p{Nd}")
-_UPPER = regex.compile(r"\p{Lu}")
-#: Transitions: lines mostly go on as the line before.
-_STAY = np.log([[0.91, 0.03, 0.03, 0.03], [0.05, 0.87, 0.04, 0.04], [0.04, 0.03, 0.90, 0.03], [0.04, 0.03, 0.03, 0.90]]).tolist()
-_START = np.log([0.7, 0.1, 0.1, 0.1]).tolist()
-
-FEATURES = (
-    "words", "mean_word", "symbol_ratio", "end_share", "common_share", "prose", "list", "table", "junk", "digit_ratio", "upper_ratio", "distinct_lines", "distinct_threes", "line_words",
-    "sentence_words", "cells_per_word", "tags_per_word", "longest_word", "caps_words", "item_share", "hard_cells", "distinct_sentences", "zip_ratio", "common_lines", "mark_per_word", "vowel_ratio", "odd_ratio", "word_share", "lines", "chars",
-)
-
-
-def _line(line: str, words: list[str], repeated: bool) -> tuple[float, float, float, float]:
-    """Log-likelihood of a line's statistics under each state, up to a constant."""
-    n, w = len(line), len(words)
-    letters = sum(map(len, words))
-    digits = len(_DIGIT.findall(line))
-    common = sum(x.lower() in COMMON for x in words) / max(w, 1)
-    caps = sum(x[0].isupper() for x in words) / max(w, 1)
-    cells, hard = len(_CELL.findall(line)), len(_HARD.findall(line))
-    ends, item = bool(_END.search(line)), bool(_ITEM.match(line))
-    odd = len(_ODD.findall(line)) / n
-    long = letters / w > 14 if w else True
-    tags = min(12 * len(_TAG.findall(line)) / (w + 1), 4)
-    low = [x.lower() for x in words]
-    threes = list(zip(low, low[1:], low[2:]))
-    loop = 1 - len(set(threes)) / len(threes) if w > 20 else 0.0
-    alpha = letters / n
-    solid = max(map(len, line.split()), default=0) > 34
-    bare = w > 8 and common < 0.06
-    prose = 5.0 * min(common, 0.35) + 1.0 * ends + 0.8 * (w >= 8) - 1.6 * item - 0.8 * min(hard, 3) - 6 * odd - 2.0 * (digits / n > 0.25) - 1.5 * (alpha < 0.6) - 1.2 * tags - 3.0 * repeated - 5.0 * loop - 2 * long - 4 * solid - 3 * bare
-    lists = 1.6 * item + 1.2 * (w <= 8) - 4.0 * min(common, 0.25) + 0.6 * (not ends) + 0.6 * caps - 0.6 * min(hard, 3) - 4 * odd - 1.5 * long
-    tables = 1.1 * min(hard, 3) + 1.5 * (digits / n > 0.2) + 0.5 * min(cells, 4) * (common < 0.15) - 2.0 * ends * (common > 0.1) - 0.5 - 3 * odd
-    junk = 6 * min(odd, 0.4) + 1.2 * tags + 5.0 * loop + 2.6 * long + 3.0 * repeated + 1.0 * (alpha < 0.5) + 3.0 * solid + 2.0 * bare - 3.0 * min(common, 0.3) - 0.5
-    return prose, lists, tables, junk
-
-
-def label_lines(lines: list[str], words: list[list[str]] | None = None) -> list[int]:
-    """The most likely state of each line, by Viterbi's algorithm."""
-    seen: set[str] = set()
-    best: list[float] | None = None
-    back: list[list[int]] = []
-    for line, own in zip(lines, words or map(WORD.findall, lines)):
-        key = line.strip().lower()
-        e = _line(line, own, key in seen and len(key) > 20)
-        seen.add(key)
-        if best is None:
-            best = [s + x for s, x in zip(_START, e)]
-        else:
-            come = [max(range(4), key=lambda i, j=j: best[i] + _STAY[i][j]) for j in range(4)]
-            best = [best[i] + _STAY[i][j] + e[j] for j, i in enumerate(come)]
-            back.append(come)
-    out = [best.index(max(best))]
-    for b in reversed(back):
-        out.append(b[out[-1]])
-    return out[::-1]
-
-
-def statistics(text: str) -> list[float]:
-    """The values of FEATURES for a text; all 0 for one without a character other than blanks."""
-    lines = [x for x in regex.split(r"\r\n|\r|\n", text) if x.strip()]
-    if not lines:
-        return [0.0] * len(FEATURES)
-    n = sum(map(len, lines))
-    by_line = [WORD.findall(x) for x in lines]
-    words = [x for own in by_line for x in own]
-    low = [x.lower() for x in words]
-    w = max(len(words), 1)
-    letters = sum(map(len, words))
-    solid = sum(len(x.replace(" ", "").replace("\t", "")) for x in lines)
-    label = np.bincount(label_lines(lines, by_line), [len(x) for x in lines], 4) / n
-    digits = len(_DIGIT.findall(text))
-    upper = len(_UPPER.findall(text))
-    small = text.lower()
-    threes = list(zip(low, low[1:], low[2:]))
-    sentences = [x for x in _SENTENCE.split(text) if len(x) > 10]
-    common = [x in COMMON for x in low]
-    tokens = [len(x) for x in text.split()]
-    raw = text.encode("utf-8", "replace")
-    return [
-        float(len(words)), letters / w, (solid - letters - digits) / max(solid, 1), sum(bool(_END.search(x)) for x in lines) / len(lines), sum(common) / w, *map(float, label), digits / max(solid, 1), upper / max(letters, 1),
-        len({x.strip().lower() for x in lines}) / len(lines), len(set(threes)) / max(len(threes), 1) if threes else 1.0, w / len(lines), w / max(len(sentences), 1), sum(len(_CELL.findall(x)) for x in lines) / w,
-        len(_TAG.findall(text)) / w, float(min(max(tokens, default=0), 500)), sum(x[0].isupper() for x in words) / w, sum(bool(_ITEM.match(x)) for x in lines) / len(lines),
-        sum(min(len(_HARD.findall(x)), 3) for x in lines) / len(lines), len(set(sentences)) / max(len(sentences), 1) if sentences else 1.0, len(zlib.compress(raw, 1)) / (len(raw) + 11), sum(any(x.lower() in COMMON for x in own) for own in by_line) / len(lines),
-        sum(text.count(c) for c in ".!?") / w, sum(map(small.count, "aeiouyåäöæøüé")) / max(letters, 1), len(_ODD.findall(text)) / max(solid, 1), letters / max(solid, 1), float(len(lines)), float(len(text.strip())),
-    ]
-
-
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, 512):
-            part = b.slice(i, 512)
-            rows = np.array([statistics(t) if t else [0.0] * len(FEATURES) for t in part.column(1).to_pylist()], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in rows.T)], ["id", *FEATURES])
-
+STATISTICS = ("words", "mean_word", "symbol_ratio", "end_share", "common_share", "lines", "chars")
+#: Texts are measured together up to so many characters; a longer one in blocks, cut at a line end or a blank.
+TOGETHER = 1 << 20
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray, int, int]]:
+    """Groups of texts as (parts, the text of each part, first text, texts); only a text above TOGETHER has several parts."""
+    i = 0
+    while i < len(texts):
+        parts, owner, size, j = [], [], 0, i
+        while j < len(texts) and (j == i or size + len(texts[j] or "") <= TOGETHER):
+            t = texts[j] or ""
+            at = 0
+            while at < len(t) or at == 0:
+                end = at + TOGETHER
+                if end < len(t):
+                    cut = max(t.rfind("\n", at, end), t.rfind("\r", at, end))
+                    cut = cut if cut > at else t.rfind(" ", at, end)
+                    end = cut if cut > at else end
+                parts.append(t[at:end])
+                owner.append(j - i)
+                at = max(end, 1)
+            size += len(t)
+            j += 1
+        yield parts, np.array(owner), i, j - i
+        i = j
+
+
+def measured(texts: list[str | None], familiar: np.ndarray | None = None) -> Iterator[tuple[int, int, Lines, np.ndarray]]:
+    """(first text, texts, lines, statistics) of consecutive groups; the lines' `doc` counts from the group's first text."""
+    common = word_hashes(COMMON)
+    for parts, owner, first, n in _parts(texts):
+        m = measure(parts, common, common if familiar is None else familiar)
+        sums = {c: np.bincount(owner, getattr(m, c), n) for c in ("words", "word_chars", "common", "solid", "symbols", "lines", "ended")}
+        m.doc = owner[m.doc]
+        one = lambda c: np.maximum(sums[c], 1)
+        chars = np.array([len((t or "").strip()) for t in texts[first : first + n]], float)
+        yield first, n, m, np.column_stack([sums["words"], sums["word_chars"] / one("words"), sums["symbols"] / one("solid"), sums["ended"] / one("lines"), sums["common"] / one("words"), sums["lines"], chars])
+
+
+def statistics(text: str | None) -> list[float]:
+    """The values of STATISTICS for one text."""
+    return next(measured([text]))[3][0].tolist()
+
+
+def _measure(model: LineModel | None, familiar: np.ndarray | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, n, m, stats in measured(b.column(1).to_pylist(), familiar):
+                columns, names = list(stats.T), list(STATISTICS)
+                if model is not None:
+                    columns += list(model.shares(n, m.doc, m.codes, m.weight).T)
+                    names += LABELS
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["id", *names])
 
-def text_statistics(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, *FEATURES) of every row, computed where it lies; null, empty and blank texts have 0 everywhere."""
-    rows = spread(docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")))
-    return rows.mapInArrow(_measure, f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"{c} double" for c in FEATURES))
+    return run
 
 
-def prior(x: np.ndarray) -> np.ndarray:
-    """Log-odds of "not prose" from the line labels alone, where a classifier starts."""
-    share = x[:, FEATURES.index("prose")]
-    return 8.0 * (0.5 - share)
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, doc_id: str, is_prose: str, sample: int = 20_000) -> Boosted:
-    """Boosted trees over the statistics of at most `sample` labelled documents (those of the smallest hashes of their ids).
+def text_statistics(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, *STATISTICS) of every row, computed where it lies; null, empty and blank texts have 0 everywhere.
 
-    Rows labelled twice count once, contradictory or null labels not at all. Without labels the line labels decide.
+    A word starts with a letter and goes on over letters, marks, hyphens and apostrophes. `symbol_ratio` is the share of
+    characters other than blanks that belong to no word and are no digits; lines of blanks alone are none; a line ends in
+    punctuation if a stop, a question or exclamation mark, an ellipsis or a colon ends it, up to two closing quotes or
+    brackets aside; `common_share` counts the words of COMMON; `chars` is the length without outer blanks.
     """
-    labels = labels.select(F.col(doc_id).alias("id"), F.col(is_prose).cast("boolean").alias("y")).where("id is not null and y is not null")
-    labels = labels.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = stats.join(labels.select("id", "y"), "id").orderBy("id").select(*FEATURES, "y").toPandas()
-    x = rows[list(FEATURES)].to_numpy(np.float64)
-    return Boosted.fit(x, 1.0 - rows["y"].to_numpy(np.float64), prior(x))
+    rows = spread(_rows(docs, doc_id, text))
+    return rows.mapInArrow(_measure(None, None), f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"{c} double" for c in STATISTICS))
 
 
-def _score(model: Boosted):
+def label_shares(docs: DataFrame, doc_id: str, text: str, model: LineModel, familiar: np.ndarray) -> DataFrame:
+    """(id, *STATISTICS, prose, list, table, junk) of every row: the statistics, and the labels' shares in its characters."""
+    rows = spread(_rows(docs, doc_id, text))
+    return rows.mapInArrow(_measure(model, familiar), f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"{c} double" for c in (*STATISTICS, *LABELS)))
+
+
+def _coded(familiar: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x = np.column_stack([b.column(i + 1).to_numpy() for i in range(len(FEATURES))])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-model.margin(x, prior(x)))))], ["id", "not_prose"])
+            for first, n, m, _ in measured(b.column(1).to_pylist(), familiar):
+                at = np.searchsorted(m.doc, np.arange(n + 1))
+                codes = [m.codes[x:y].tobytes() for x, y in zip(at, at[1:])]
+                weights = [m.weight[x:y].astype(np.int64).tobytes() for x, y in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(2).slice(first, n), pa.array(codes, pa.binary()), pa.array(weights, pa.binary())], ["id", "y", "codes", "weights"])
 
     return run
 
 
-def not_prose(stats: DataFrame, model: Boosted) -> DataFrame:
-    """(id, not_prose), the model's probability, for each row of statistics."""
-    return stats.select("id", *FEATURES).mapInArrow(_score(model), f"id {dict(stats.dtypes)['id']}, not_prose double")
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, is_prose: str, sample: int = 20_000, words: int = 2_000) -> tuple[LineModel, np.ndarray]:
+    """The line model, and hashes of the familiar words, from at most `sample` judged documents (of the smallest hashes of ids).
+
+    Rows judged twice count once, contradictory or null verdicts not at all. Familiar words are the at most `words` commonest
+    in the prose documents, each in a hundredth and three of them at least; so any language the judges met is known. Without
+    verdicts as many documents without any are taken, COMMON is what is familiar, and half the characters must be prose.
+    What comes to the driver are a few bytes a line of the sample.
+    """
+    labels = labels.select(F.col(doc_id).alias("id"), F.col(is_prose).cast("double").alias("y")).where("id is not null and y is not null")
+    labels = labels.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "y")
+    rows = _rows(docs, doc_id, text).where("text is not null")
+    judged = rows.join(F.broadcast(labels), "id").select("id", "text", "y")  # at most `sample` ids
+    prose = judged.where("y = 1")
+    seen = prose.select("id", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '(\\p{L}[\\p{L}\\p{M}\'’\\-]*)', 1)"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    found = seen.orderBy(F.desc("n"), "word").limit(words).collect()
+    if found:
+        n = prose.count()
+        familiar = word_hashes(r["word"] for r in found if r["n"] >= max(3, 0.01 * n))
+    else:
+        familiar = word_hashes(COMMON)
+    schema = f"id {dict(rows.dtypes)['id']}, y double, codes binary, weights binary"
+    coded = judged.mapInArrow(_coded(familiar), schema).toArrow()
+    if not coded.num_rows:
+        judged = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "text", F.lit(None).cast("double").alias("y"))
+        coded = judged.mapInArrow(_coded(familiar), schema).toArrow()
+    coded = coded.sort_by([("id", "ascending"), ("codes", "ascending")]).to_pydict()
+    weights = [np.frombuffer(w, np.int64) for w in coded["weights"]]
+    sizes = [len(w) for w in weights]
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    codes = np.frombuffer(b"".join(coded["codes"]), np.uint8)
+    y = np.array([np.nan if v is None else v for v in coded["y"]])
+    return estimate(doc, codes.reshape(len(doc), -1) if len(doc) else np.zeros((0, len(BINS)), np.uint8), np.concatenate(weights) if weights else np.zeros(0, np.int64), y[doc] if len(doc) else np.zeros(0)), familiar
+
+
+def not_prose(shares: DataFrame, model: LineModel, least_chars: int = 40) -> DataFrame:
+    """The rows of `label_shares` of so many characters in which prose has less than the model's least share."""
+    return shares.where((F.col("chars") >= least_chars) & (F.col("prose") < model.least))
+
+
+def _labelled(spark: SparkSession, folder: str) -> tuple[DataFrame, LineModel]:
+    docs = table(spark, folder, "documents")
+    model, familiar = fit(docs, table(spark, folder, "text_labels"), "doc_id", "text", "is_prose")
+    return label_shares(docs, "doc_id", "text", model, familiar), model
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of 40 characters or more that aren't running prose."""
-    stats = cut(text_statistics(table(spark, folder, "documents"), "doc_id", "text"), "stats")
-    model = fit(stats, table(spark, folder, "text_labels"), "doc_id", "is_prose")
-    return not_prose(stats.where("chars >= 40"), model).where("not_prose > 0.5").select(F.col("id").alias("doc_id")).distinct()
+    return not_prose(*_labelled(spark, folder)).select(F.col("id").alias("doc_id")).distinct()
 
 
 def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """The statistics of every document."""
+    """The plain statistics of every document."""
     stats = text_statistics(table(spark, folder, "documents"), "doc_id", "text")
-    return stats.select(F.col("id").alias("doc_id"), *(F.round(c, 6).alias(c) for c in FEATURES))
+    return stats.select(F.col("id").alias("doc_id"), *(F.round(c, 6).alias(c) for c in STATISTICS))
+
+
+def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of the line labels of every document."""
+    shares, _ = _labelled(spark, folder)
+    return shares.select(F.col("id").alias("doc_id"), *(F.round(c, 6).alias(c) for c in LABELS))
 
 
-QUERIES = {"p10_found": p10_found, "p10_stats": p10_stats}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p10_found": p10_found, "p10_stats": p10_stats, "p10_labels": p10_labels}
+_BLANKS = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
+ORACLES = {
+    "p10_stats": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), p AS (SELECT doc_id, text, regexp_extract_all(text, '\p{{L}}[\p{{L}}\p{{M}}''’\-]*') AS w,
+        list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: length(regexp_replace(x, '{_BLANKS}', '', 'g')) > 0) AS l, length(regexp_replace(text, '{_BLANKS}', '', 'g')) AS solid, length(regexp_replace(text, '[^\p{{Nd}}]', '', 'g')) AS digits FROM t),
+        q AS (SELECT *, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS wc, len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{w}'" for w in sorted(set(COMMON)))}))) AS c, len(list_filter(l, lambda x: regexp_matches(x, '[.!?…:]["''”’»«)\]]{{0,2}}{_BLANKS}*$'))) AS e FROM p)
+        SELECT doc_id, CAST(len(w) AS DOUBLE) AS words, round(wc / greatest(len(w), 1), 6) AS mean_word, round((solid - wc - digits) / greatest(solid, 1), 6) AS symbol_ratio, round(e / greatest(len(l), 1), 6) AS end_share, round(c / greatest(len(w), 1), 6) AS common_share,
+        CAST(len(l) AS DOUBLE) AS lines, CAST(length(regexp_replace(text, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')) AS DOUBLE) AS chars FROM q""",
+}
