@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clicklake.llm.bpe import Encoder, tokenizer_path
 from clicklake.llm.elias_fano import EliasFano, SeenSet
 from clicklake.llm.near_duplicates import group_pairs, near_duplicates
-from clicklake.llm.packing import make_plan, pack_items, step_of
+from clicklake.llm.packing import make_plan, pack_items, step_of, tiers_of
 from clicklake.llm.line_model import LABEL_OF, estimate
 from clicklake.llm.lines import BINS, measure, word_hashes
 from clicklake.llm.quality import COMMON, STATISTICS, TOGETHER, fit, label_shares, not_prose, statistics, text_statistics
@@ -222,15 +222,17 @@ def test_token_ids_of_dirty_rows(spark):
 # packing
 
 
-def test_packing_covers_every_item_once(spark):
+@pytest.mark.parametrize("tiers", [None, [64, 16, 4], [64, 32, 8]])
+def test_packing_covers_every_item_once(spark, tiers):
     rng = random.Random(10)
     items = [(i, rng.choice([None, 0, 1, 1, 7, rng.randint(1, 64), rng.randint(1, 300)])) for i in range(3000)] + [(9000, 64), (9001, 128), (9002, 129)]
     df = spark.createDataFrame(items, "id long, n long").withColumn("rank", F.lit(0))
-    got = pack_items(df, 64, 10).collect()
+    got = pack_items(df, 64, 10, tiers=tiers).collect()
     inside, pieces = defaultdict(list), defaultdict(list)
     for r in got:
         inside[r.container].append((r.offset, r.tokens))
         pieces[r.id].append((r.piece, r.tokens))
+        assert r.tokens <= r.tier <= r.window
     for held in inside.values():
         at = 0
         for offset, n in sorted(held):
@@ -256,6 +258,23 @@ def test_plan_on_its_own():
     assert plan.containers == 3 + 5 + -(-(100 - 1 - 4 * 0 - (1 * 2)) // 6) or plan.containers <= 25
     assert sum(r.count for r in plan.runs) == plan.containers
     assert make_plan({}, 64).containers == 0
+    assert tiers_of(2048) == [2048, 512, 128] and tiers_of(64) == [64] and tiers_of(1024, 2, 100) == [1024, 512, 256, 128]
+
+
+def test_tiers_make_the_plan():
+    # two windows of 16, each of its own tier's items and of a shorter one in the gap, go into what the long items leave
+    plan = make_plan({40: 2, 11: 2, 3: 2, 8: 6}, 64, [64, 16, 4])
+    assert plan.containers == 3 and [j for j in plan.joins if j] and {t for _, _, t, _, _ in plan.ranges} >= {0, 1}
+    rng = random.Random(14)
+    histogram = Counter(min(2048, max(1, int(rng.lognormvariate(5.2, 1)))) for _ in range(20000))
+    histogram.pop(2048, None)
+    tokens = sum(s * k for s, k in histogram.items())
+    plans = [make_plan(histogram, 2048, t) for t in ([2048], [2048, 512, 128], [2048, 1024, 256])]
+    assert len({tuple(p.ranges) for p in plans}) == 3
+    for p in plans:
+        assert p.containers <= 1.01 * tokens / 2048 + 1 and sum(r.count for r in p.runs) == p.containers
+        assert sum(r.count * (2048 - r.left) for r in p.runs) == tokens
+    assert plans[1].containers <= 1.005 * tokens / 2048 + 1
     assert sorted(Counter(step_of(np.arange(10), 10, 4).tolist()).values()) == [3, 3, 4]
 
 
