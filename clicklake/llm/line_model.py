@@ -131,34 +131,48 @@ def estimate(doc: np.ndarray, codes: np.ndarray, weight: np.ndarray, prose: np.n
     return model
 
 
-def _sharpen(model: LineModel, doc: np.ndarray, codes: np.ndarray, prose: np.ndarray, against: list[np.ndarray], rounds: int, rate: float = 0.3, hold: float = 0.01) -> None:
-    """Gradient steps, each number at its own pace, with a pull of `hold` towards where they began."""
+def _sharpen(model: LineModel, doc: np.ndarray, codes: np.ndarray, prose: np.ndarray, against: list[np.ndarray], rounds: int, rate: float = 0.3, hold: float = 0.01, look: int = 5) -> None:
+    """Gradient steps, each number at its own pace, with a pull of `hold` towards where they began.
+
+    Documents whose verdict is certain add nothing; every `look` rounds all are judged anew, the rounds between take the others.
+    """
     first_emit, first_move = model.emit.copy(), model.move.copy()
-    pace_emit, pace_move = np.full_like(model.emit, 1.0), np.full_like(model.move, 1.0)
-    own, other = (np.where(prose[:, None] == v, against[v][None, :], against[1 - v][None, :]) if v else np.where(prose[:, None] == 1, against[0][None, :], against[1][None, :]) for v in (1, 0))
-    for _ in range(rounds):
-        e = model.likelihood(codes)
-        blocks = list(_steps(doc))
-        at = [_expect(model, blocks, e + x) for x in (own, other)]
-        wrong = 1 / (1 + np.exp(np.clip(at[0][3] - at[1][3], -500, 500)))  # by document, how much the other verdict weighs
-        by_line = np.zeros(len(doc))
-        moves = np.zeros_like(model.move)
-        k = 0
-        for rows, live in blocks:
-            n = live[0]
-            for r, m in zip(rows, live):
-                by_line[r] = wrong[k : k + m]
-            k += n
-        each = [_expect(model, blocks, e + x, wrong) for x in (own, other)]
-        moves = each[0][1] - each[1][1]
-        step = _counts(codes, (each[0][2] - each[1][2]) * by_line[:, None]) - hold * (model.emit - first_emit)
-        moves = moves - hold * (model.move - first_move)
+    pace_emit, pace_move = np.ones_like(model.emit), np.ones_like(model.move)
+    own, other = np.where(prose[:, None] == 1, against[1], against[0]), np.where(prose[:, None] == 1, against[0], against[1])
+    every = np.arange(len(doc))
+    for i in range(rounds):
+        at = every if i % look == 0 else live
+        blocks = list(_steps(doc[at]))
+        e = model.likelihood(codes[at])
+        logs = [_expect(model, blocks, e + x[at]) for x in (own, other)]
+        wrong = 1 / (1 + np.exp(np.clip(logs[0][3] - logs[1][3], -500, 500)))  # by document, how much the other verdict weighs
+        by_line = _by_line(blocks, wrong, len(at))
+        if i % look == 0:
+            live = every[by_line > 1e-4]
+            if not len(live):
+                return
+            near = by_line > 1e-4
+            blocks, e, at, by_line = list(_steps(doc[live])), e[near], live, by_line[near]
+            wrong = np.concatenate([by_line[rows[0]] for rows, _ in blocks])
+        each = [_expect(model, blocks, e + x[at], wrong) for x in (own, other)]
+        step = _counts(codes[at], (each[0][2] - each[1][2]) * by_line[:, None]) - hold * (model.emit - first_emit)
+        moves = each[0][1] - each[1][1] - hold * (model.move - first_move)
         pace_emit += step**2
         pace_move += moves**2
         model.emit += rate * step / np.sqrt(pace_emit)
         model.move += rate * moves / np.sqrt(pace_move)
 
 
+def _by_line(blocks: list, of_doc: np.ndarray, n: int) -> np.ndarray:
+    """What documents have, in the blocks' order, at each of their lines."""
+    out, k = np.zeros(n), 0
+    for rows, live in blocks:
+        for r, m in zip(rows, live):
+            out[r] = of_doc[k : k + m]
+        k += live[0]
+    return out
+
+
 def _threshold(model, doc, codes, weight, prose) -> float:
     at = np.unique(doc, return_inverse=True)[1]
     n = at.max() + 1

@@ -23,7 +23,7 @@ COMMON = tuple(
 )
 STATISTICS = ("words", "mean_word", "symbol_ratio", "end_share", "common_share", "lines", "chars")
 #: Texts are measured together up to so many characters; a longer one in blocks, cut at a line end or a blank.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 
 def _parts(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray, int, int]]:
