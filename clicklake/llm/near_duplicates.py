@@ -1,11 +1,12 @@
 """Groups of texts that differ by small edits, by multi-index hashing of min-hash fingerprints.
 
-A fingerprint is a string of 192 symbols, each the smallest hash of the text's character stretches under another hash
-function; two texts agree in a symbol with the probability of their similarity, so the Hamming distance of fingerprints
-tells it. The fingerprint is cut into 32 segments of 6 symbols. Over symbols of 32 bits the Hamming ball of radius 1 about a
-segment is enumerated by leaving out each of its symbols in turn: texts within distance 1 in some segment share a table
-entry. Matches of the tables are verified by the distance of the complete fingerprints, then by the exact similarity.
-At similarity 0.6 a segment is hit with probability 0.23, one of 32 with 0.9998; at 0.1 with 0.002.
+A fingerprint is a string of 144 symbols. One hash of each of the text's character stretches deals them over 144 bins, and a
+symbol is the smallest hash in its bin; an empty bin takes the symbol of another, the same for every text. Two texts agree
+in a symbol with the probability of their similarity, so the Hamming distance of fingerprints tells it. The fingerprint is
+cut into 24 segments of 6 symbols. Over symbols of 16 bits the Hamming ball of radius 1 about a segment is enumerated by
+leaving out each of its symbols in turn: texts within distance 1 in some segment share a table entry. Matches of the tables
+are verified by the distance of the complete fingerprints, then by the exact similarity. At similarity 0.6 a segment is hit
+with probability 0.23, one of 24 with 0.998; at 0.1 with 0.001.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from clicklake.plans.cut import cut, drop, spread
 from clicklake.plans.graph import components
 from clicklake.sources.tables import table
 
-STRETCH, SEGMENTS, WIDTH = 9, 32, 6
+STRETCH, SEGMENTS, WIDTH = 9, 24, 6
 SYMBOLS = SEGMENTS * WIDTH
 U = np.uint64
 
@@ -34,8 +35,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_ODD = (_mix(np.arange(1, SYMBOLS + 1, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
-_XOR = (_mix(np.arange(1001, SYMBOLS + 1001, dtype=U)) >> U(32)).astype(np.uint32)
+#: For each bin the bins it asks in turn when empty, and where it starts to go round when those are empty too.
+_ASKED = (_mix(np.arange(1, 33 * SYMBOLS + 1, dtype=U)).reshape(33, SYMBOLS) % U(SYMBOLS)).astype(np.int64)
 _BLANKS = re.compile("[ \t\r\n]+")
 
 
@@ -62,8 +63,8 @@ def stretch_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
-    """A row of symbols for each text."""
-    out = np.empty((len(texts), SYMBOLS), np.uint32)
+    """A row of symbols for each text, each of 9 characters at least."""
+    out = np.empty((len(texts), SYMBOLS), np.uint16)
     i = 0
     while i < len(texts):
         j, size = i, 0
@@ -71,14 +72,32 @@ def fingerprints(texts: list[str]) -> np.ndarray:
             size += len(texts[j])
             j += 1
         h, starts = stretch_hashes(texts[i:j])
-        h = (h >> U(32)).astype(np.uint32)
-        for k in range(SYMBOLS):
-            out[i:j, k] = np.minimum.reduceat((h ^ _XOR[k]) * _ODD[k], starts)
+        owner = np.repeat(np.arange(j - i), np.diff(np.append(starts, len(h))))
+        least = np.full((j - i) * SYMBOLS, 0xFFFFFFFF, np.uint32)
+        np.minimum.at(least, owner * SYMBOLS + ((h >> U(48)) * U(SYMBOLS) >> U(16)).astype(np.int64), (h & U(0xFFFFFFFF)).astype(np.uint32))
+        out[i:j] = _mix(_filled(least.reshape(j - i, SYMBOLS)).astype(U)) >> U(48)
         i = j
     return out
 
 
+def _filled(least: np.ndarray) -> np.ndarray:
+    """Empty bins take what the first filled bin they ask has; every row has a filled one."""
+    out, empty = least.copy(), np.uint32(0xFFFFFFFF)
+    row, at = np.nonzero(least == empty)
+    for step in range(len(_ASKED) - 1 + SYMBOLS):
+        if not len(row):
+            break
+        asked = _ASKED[min(step, len(_ASKED) - 1), at]
+        asked = asked if step < len(_ASKED) else (asked + step - len(_ASKED) + 1) % SYMBOLS
+        got = least[row, asked]
+        out[row, at] = got
+        still = got == empty
+        row, at = row[still], at[still]
+    return out
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, digest, symbols); of copies within a batch the first has the symbols."""
     for b in batches:
         ids, texts, digests, at = [], [], [], {}
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -86,42 +105,62 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(t) >= STRETCH:
                 d = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 if d not in at:
-                    at[d] = len(texts)
+                    at[d] = len(ids)
                     texts.append(t)
                 ids.append(i)
                 digests.append(d)
         if ids:
-            symbols = fingerprints(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([symbols[at[d]].tobytes() for d in digests], pa.binary())], ["doc_id", "digest", "symbols"])
+            symbols: list[bytes | None] = [None] * len(ids)
+            for k, row in zip(at.values(), fingerprints(texts)):
+                symbols[k] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(symbols, pa.binary())], ["doc_id", "digest", "symbols"])
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SYMBOLS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
 
 def table_keys(symbols: np.ndarray) -> np.ndarray:
-    """For each fingerprint the keys of the radius-1 balls of all its segments."""
+    """For each fingerprint the keys of the radius-1 balls of all its segments; the low 5 bits of a key are its segment."""
     place = _mix(np.arange(SYMBOLS, dtype=U) + U(7)).reshape(SEGMENTS, WIDTH)
     each = _mix(symbols.reshape(-1, SEGMENTS, WIDTH).astype(U) ^ place)
-    return _mix(each.sum(axis=2, dtype=U, keepdims=True) - each + place).reshape(len(symbols), SYMBOLS)
+    keys = _mix(each.sum(axis=2, dtype=U, keepdims=True) - each + place) & ~U(31)
+    return (keys | np.arange(SEGMENTS, dtype=U)[:, None]).reshape(len(symbols), SYMBOLS)
+
+
+def _entries(keys: np.ndarray, reps: np.ndarray) -> pa.RecordBatch:
+    """Table entries (key, rep) sorted by key. Of those that share a key here, all are sure to have `company`, and all but the
+    first may be sent anywhere (`again`), so that a hot key fills no partition."""
+    order = np.argsort(keys, kind="stable")
+    keys, reps = keys[order], reps[order]
+    again = np.concatenate([[False], keys[1:] == keys[:-1]])
+    company = again | np.concatenate([again[1:], [False]])
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(reps), pa.array(company), pa.array(again)], ["key", "rep", "company", "again"])
 
 
 def _keys(chunk: int):
-    """Table entries (key, rep) of each fingerprint. Of entries that share a key within a chunk one goes to the key's
-    partition with a mark that it has company; the others are sure to be shared and go anywhere."""
+    """The entries of each fingerprint (rep, symbols), `chunk` of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, chunk):
                 part = b.slice(i, chunk)
-                keys = table_keys(_symbols(part.column(1))).reshape(-1)
-                reps = np.repeat(part.column(0).to_numpy(), SYMBOLS)
-                order = np.argsort(keys, kind="stable")
-                keys, reps = keys[order], reps[order]
-                again = np.concatenate([[False], keys[1:] == keys[:-1]])
-                company = again | np.concatenate([again[1:], [False]])
-                place = np.where(again, _mix(reps.view(U) ^ keys), keys)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (place, keys, reps)] + [pa.array(company)], ["place", "key", "rep", "company"])
+                yield _entries(table_keys(_symbols(part.column(1))).reshape(-1), np.repeat(part.column(0).to_numpy(), SYMBOLS))
+
+    return run
+
+
+def _finer(chunk: int):
+    """The entries of (rep, symbols, key) with each ball of a later segment than the key's own beside that key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, chunk):
+                part = b.slice(i, chunk)
+                balls, key = table_keys(_symbols(part.column(1))), part.column(2).to_numpy().view(U)
+                later = (balls & U(31)) > (key & U(31))[:, None]
+                both = _mix(_mix(key)[:, None] ^ balls) & ~U(31) | balls & U(31)
+                yield _entries(both[later], np.repeat(part.column(0).to_numpy(), later.sum(axis=1)))
 
     return run
 
@@ -134,15 +173,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if b is not None and not b.num_rows:
             continue
         if held is not None:
-            keys = held.column(1).to_numpy()
-            after = b.column(1)[0].as_py() if b is not None else None
+            keys = held.column(0).to_numpy()
+            after = b.column(0)[0].as_py() if b is not None else None
             same = np.concatenate([[before == int(keys[0]) if before is not None else False], keys[1:] == keys[:-1], [after == int(keys[-1]) if after is not None else False]])
-            keep = held.column(3).to_numpy(zero_copy_only=False) | same[1:] | same[:-1]
+            keep = held.column(2).to_numpy(zero_copy_only=False) | same[1:] | same[:-1]
             before = int(keys[-1])
-            yield held.select([1, 2]).filter(pa.array(keep))
+            yield held.select([0, 1]).filter(pa.array(keep))
         held = b
 
 
+def _company(entries: DataFrame) -> DataFrame:
+    """(key, rep) of the entries that share their key."""
+    to = F.when(F.col("again"), F.xxhash64("rep", "key")).otherwise(F.col("key"))
+    return entries.repartition(to).sortWithinPartitions("key").mapInArrow(_shared, "key bigint, rep bigint")
+
+
 def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -152,35 +197,36 @@ def _close(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SYMBOLS) for c in (2, 3))
-                keep = (x == y).mean(axis=1) >= least
+                keep = (_symbols(b.column(2)) == _symbols(b.column(3))).mean(axis=1) >= least
                 yield b.select([0, 1]).filter(pa.array(keep))
 
     return run
 
 
-def _exact(threshold: float):
+def _exact(threshold: float, hold: int = 2_000_000):
+    """Pairs (a, b, text_a, text_b) of at least this similarity; stretches are told apart by their 64-bit hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, set[str]] = {}
+        sets: dict[int, np.ndarray] = {}
         held = 0
 
-        def stretches(t: str) -> set[str]:
+        def stretches(i: int, t: str) -> np.ndarray:
             nonlocal held
-            if t not in sets:
-                if held > 2_000_000:
+            if i not in sets:
+                if held > hold:
                     sets.clear()
                     held = 0
-                n = normal(t)
-                sets[t] = {n[i : i + STRETCH] for i in range(len(n) - STRETCH + 1)}
-                held += len(sets[t])
-            return sets[t]
+                sets[i] = np.unique(stretch_hashes([normal(t)])[0])
+                held += len(sets[i])
+            return sets[i]
 
         for b in batches:
             keep = []
-            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = stretches(s), stretches(t)
-                both = len(x & y)
-                keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+            for i, j, s, t in zip(*(c.to_pylist() for c in b.columns)):
+                x, y = stretches(i, s), stretches(j, t)
+                both = np.sort(np.concatenate([x, y]))
+                n = int((both[1:] == both[:-1]).sum())
+                keep.append(n >= threshold * (len(both) - n) - 1e-9)
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -189,11 +235,11 @@ def _exact(threshold: float):
 def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, threshold: float, keep=cut) -> DataFrame:
     """Of candidate pairs (a, b), those whose texts are as similar as `threshold`.
 
-    Complete fingerprints come first: pairs four standard deviations of the estimate under the threshold are dropped.
+    Complete fingerprints come first: pairs six standard deviations of the estimate under the threshold are dropped.
     """
     sd = (threshold * (1 - threshold) / SYMBOLS) ** 0.5
     x, y = prints.toDF("a", "print_a"), prints.toDF("b", "print_b")
-    close = pairs.join(x, "a").join(y, "b").select("a", "b", "print_a", "print_b").mapInArrow(_close(threshold - 4 * sd), "a bigint, b bigint")
+    close = pairs.join(x, "a").join(y, "b").select("a", "b", "print_a", "print_b").mapInArrow(_close(threshold - 6 * sd), "a bigint, b bigint")
     close = keep(close, "close")
     ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
     used = texts.join(ids, "id", "left_semi")
@@ -201,6 +247,24 @@ def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, threshold: f
     return met.select("a", "b", "text_a", "text_b").mapInArrow(_exact(threshold), "a bigint, b bigint").distinct()
 
 
+def candidates(shared: DataFrame, labels: DataFrame | None, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, large): pairs (a, b) to verify from entries (key, rep), and the entries of more than `hot` texts.
+
+    An entry of up to `hot` texts gives all its pairs, a larger one those with one of its texts, drawn by key. Pairs within a
+    label (node, label) are left out.
+    """
+    sizes = shared.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "rep"), "rep"))["rep"].alias("hub"))
+    entries = shared.join(sizes.where("n > 1"), "key")
+    lists = entries.where(F.col("n") <= hot).groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct()
+    pairs = lists.select(F.explode(F.expr("flatten(transform(reps, (x, i) -> transform(slice(reps, i + 2, size(reps)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
+    spokes = entries.where((F.col("n") > hot) & (F.col("rep") != F.col("hub"))).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+    pairs = pairs.union(spokes).distinct()
+    if labels is not None:
+        x, y = (labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in ("a", "b"))
+        pairs = pairs.join(x, "a", "left").join(y, "b", "left").where("not coalesce(of_a, a) = coalesce(of_b, b)").select("a", "b")
+    return pairs, entries.where(F.col("n") > hot).select("key", "rep")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float = 0.6, hot: int = 32) -> DataFrame:
     """(doc_id, canonical) of each document that shares a group with another: texts of at least this similarity are linked,
     groups are what links connect, canonical is the smallest id of the group.
@@ -209,10 +273,11 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float =
     under 9 characters are in no group. Exact copies (after normalising) are collapsed first and carried by the smallest
     id. Repeated rows of a document count once.
 
-    A table entry of up to `hot` texts gives all its pairs. Of a larger one, all are first held against the smallest; what
-    links then connect needs no more pairs, and the texts outside the entry's largest group are held against all the
-    others not of their own group. So no link between groups is lost and no large family is spelled out in pairs.
-    The tables between the stages are deleted as soon as the result is written.
+    A table entry of up to `hot` texts gives all its pairs. Of a larger one, all are held against one of its texts; if that
+    and the other links leave it in several groups, its texts meet again in finer entries, whose key has a ball of a later
+    segment beside that of the entry, and so on until entries are small or of one group. So a large family is never spelled
+    out in pairs, and unlike texts that share a segment by common boilerplate part after few rounds. The tables between the
+    stages are deleted as soon as the result is written.
     """
     made: list[DataFrame] = []
 
@@ -222,45 +287,31 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float =
 
     rows = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null"))
     sketched = keep(rows.mapInArrow(_sketch, "doc_id bigint, digest binary, symbols binary"), "sketch")
-    reps = keep(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("copied")), "reps")
-    own = sketched.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "symbols")
-    own = keep(own, "prints")
-    keys = own.select("rep", "symbols").mapInArrow(_keys(2048), "place bigint, key bigint, rep bigint, company boolean")
-    shared = keep(keys.repartition("place").sortWithinPartitions("key").mapInArrow(_shared, "key bigint, rep bigint"), "shared")
-    sizes = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"))
-    entries = keep(shared.join(sizes, "key"), "entries")
-    prints = keep(own.mapInArrow(_bytes, "id bigint, print binary"), "bytes")
-
-    lists = entries.where(F.col("n") <= hot).groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct()
-    pairs = lists.select(F.explode(F.expr("flatten(transform(reps, (x, i) -> transform(slice(reps, i + 2, size(reps)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    spokes = entries.where((F.col("n") > hot) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    edges = keep(verified(pairs.union(spokes).distinct(), prints, rows, threshold, keep), "links")
-    labels = keep(components(edges), "labels")
-
-    big = entries.where(F.col("n") > hot).select("key", "rep")
-    if not big.isEmpty():
-        big = keep(big.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "big")
-        main = big.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-        few = big.join(main, "key").where("label <> main").select("key", F.col("rep").alias("x"), F.col("label").alias("of"))
-        rest = big.join(few, "key").where("label <> of").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-        more = verified(rest, prints, rows, threshold, keep)
-        labels = keep(components(more.union(labels.where("node <> label").toDF("a", "b"))), "labels")
+    reps = keep(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("copied"), F.max("symbols").alias("symbols")), "reps")
+    prints = reps.select("rep", "symbols")
+    found: DataFrame | None = None
+    labels: DataFrame | None = None
+    entries = prints.mapInArrow(_keys(2048), "key bigint, rep bigint, company boolean, again boolean")
+    for _ in range(SEGMENTS):
+        shared = keep(_company(entries), "shared")
+        pairs, large = candidates(shared, labels, hot)
+        more = verified(pairs, prints, rows, threshold, keep)
+        found = keep(more if found is None else more.union(found), "links")
+        labels = keep(components(found), "labels")
+        of = large.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+        several = of.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+        large = keep(large.join(several, "key", "left_semi"), "large")
+        if large.isEmpty():
+            break
+        entries = prints.join(large, "rep").select("rep", "symbols", "key").mapInArrow(_finer(2048), "key bigint, rep bigint, company boolean, again boolean")
 
     classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("copied or label is not null").select("digest", F.coalesce("label", "rep").alias("canonical"))
-    found = sketched.select("doc_id", "digest").join(classes, "digest").select("doc_id", "canonical").distinct()
-    out = cut(found, "groups")
+    out = cut(sketched.select("doc_id", "digest").join(classes, "digest").select("doc_id", "canonical").distinct(), "groups")
     for t in made:
         drop(t)
     return out
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            small = ((_symbols(b.column(1)) * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in small], pa.binary())], ["id", "print"])
-
-
 def group_pairs(groups: DataFrame, block: int = 2000) -> DataFrame:
     """All pairs (doc_id_a < doc_id_b) of a group; the members of a large group are dealt into blocks that many tasks share."""
     sizes = groups.groupBy("canonical").count().where("count > 1").select("canonical", F.ceil(F.col("count") / block).cast("int").alias("blocks"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from clicklake.llm.bpe import Encoder, tokenizer_path
 from clicklake.llm.elias_fano import EliasFano, SeenSet
-from clicklake.llm.near_duplicates import group_pairs, near_duplicates
+import clicklake.llm.near_duplicates as near_duplicates_module
+from clicklake.llm.near_duplicates import fingerprints, group_pairs, near_duplicates
 from clicklake.llm.packing import make_plan, pack_items, step_of, tiers_of
 from clicklake.llm.line_model import LABEL_OF, estimate
 from clicklake.llm.lines import BINS, measure, word_hashes
@@ -96,6 +97,40 @@ def test_no_documents(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
 
+def test_fingerprints_tell_similarity():
+    rng = random.Random(15)
+    base = text_of(rng, 150)
+    for text in (base, text_of(rng, 12)):
+        for share in (0.02, 0.1, 0.3):
+            got, want = [], []
+            for _ in range(20):
+                other = edited(rng, text, share)
+                a, b = ({t[k : k + 9] for k in range(len(t) - 8)} for t in (text, other))
+                want.append(len(a & b) / len(a | b))
+                x, y = fingerprints([text, other])
+                got.append((x == y).mean())
+            assert abs(np.mean(got) - np.mean(want)) < 0.05
+    assert (fingerprints(["abcdefghi"]) == fingerprints(["abcdefghi", base])[0]).all()
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_unlike_texts_with_common_boilerplate_give_few_candidates(spark, monkeypatch, n):
+    rng = random.Random(16)
+    common = text_of(rng, 85)
+    docs = [(i, common + " " + text_of(rng, 60)) for i in range(n)]
+    docs += [(n + i, edited(rng, docs[i * 7][1], 0.05)) for i in range(20)]
+    counted, plain = [], near_duplicates_module.verified
+
+    def counting(pairs, *rest, **named):
+        counted.append(pairs.count())
+        return plain(pairs, *rest, **named)
+
+    monkeypatch.setattr(near_duplicates_module, "verified", counting)
+    got = rows(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"))
+    assert got == sorted([(i * 7, i * 7) for i in range(20)] + [(n + i, i * 7) for i in range(20)])
+    assert len(counted) > 1 and sum(counted) < 160 * n  # all pairs: n / 2 times n
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = rows(components(spark.createDataFrame(edges, "a long, b long")))
