@@ -128,29 +128,38 @@ def table_keys(symbols: np.ndarray) -> np.ndarray:
     return (keys | np.arange(SEGMENTS, dtype=U)[:, None]).reshape(len(symbols), SYMBOLS)
 
 
-def _entries(keys: np.ndarray, reps: np.ndarray) -> pa.RecordBatch:
-    """Table entries (key, rep) sorted by key. Of those that share a key here, all are sure to have `company`, and all but the
-    first may be sent anywhere (`again`), so that a hot key fills no partition."""
+def _entries(keys: np.ndarray, reps: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Table entries packed by the part their key belongs to: (part, keys, reps, company), a row a part.
+
+    Of entries that share a key here, all are sure to have company, and all but the first may lie in any part, so that a hot
+    key fills none.
+    """
     order = np.argsort(keys, kind="stable")
     keys, reps = keys[order], reps[order]
     again = np.concatenate([[False], keys[1:] == keys[:-1]])
     company = again | np.concatenate([again[1:], [False]])
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(reps), pa.array(company), pa.array(again)], ["key", "rep", "company", "again"])
+    part = (_mix(np.where(again, keys ^ _mix(reps.view(U)), keys)) % U(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, keys, reps, company = part[order], keys[order], reps[order], company[order]
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
+    ends = np.append(at[1:], len(part))
+    packed = [pa.array([x[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()) for x in (keys, reps, company)]
+    return pa.RecordBatch.from_arrays([pa.array(part[at]), *packed], ["part", "keys", "reps", "company"])
 
 
-def _keys(chunk: int):
+def _keys(parts: int, chunk: int = 4096):
     """The entries of each fingerprint (rep, symbols), `chunk` of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, chunk):
                 part = b.slice(i, chunk)
-                yield _entries(table_keys(_symbols(part.column(1))).reshape(-1), np.repeat(part.column(0).to_numpy(), SYMBOLS))
+                yield _entries(table_keys(_symbols(part.column(1))).reshape(-1), np.repeat(part.column(0).to_numpy(), SYMBOLS), parts)
 
     return run
 
 
-def _finer(chunk: int):
+def _finer(parts: int, chunk: int = 4096):
     """The entries of (rep, symbols, key) with each ball of a later segment than the key's own beside that key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,37 +169,42 @@ def _finer(chunk: int):
                 balls, key = table_keys(_symbols(part.column(1))), part.column(2).to_numpy().view(U)
                 later = (balls & U(31)) > (key & U(31))[:, None]
                 both = _mix(_mix(key)[:, None] ^ balls) & ~U(31) | balls & U(31)
-                yield _entries(both[later], np.repeat(part.column(0).to_numpy(), later.sum(axis=1)))
+                yield _entries(both[later], np.repeat(part.column(0).to_numpy(), later.sum(axis=1)), parts)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by key, those with company: within their chunk, or of a neighbour here."""
-    held: pa.RecordBatch | None = None
-    before: int | None = None
-    for b in _then_none(batches):
-        if b is not None and not b.num_rows:
-            continue
-        if held is not None:
-            keys = held.column(0).to_numpy()
-            after = b.column(0)[0].as_py() if b is not None else None
-            same = np.concatenate([[before == int(keys[0]) if before is not None else False], keys[1:] == keys[:-1], [after == int(keys[-1]) if after is not None else False]])
-            keep = held.column(2).to_numpy(zero_copy_only=False) | same[1:] | same[:-1]
-            before = int(keys[-1])
-            yield held.select([0, 1]).filter(pa.array(keep))
-        held = b
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, rep) of the entries with company, from packed entries whose parts stand together."""
+    held: list[tuple[bytes, bytes, bytes]] = []
+    of: int | None = None
 
+    def out() -> Iterator[pa.RecordBatch]:
+        keys, reps, company = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), (U, np.int64, bool)))
+        held.clear()
+        order = np.argsort(keys, kind="stable")
+        keys, company = keys[order], company[order]
+        same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
+        keep = np.flatnonzero(company | same[1:] | same[:-1])
+        for i in range(0, len(keep), 1 << 16):
+            k = keep[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k].view(np.int64)), pa.array(reps[order[k]])], ["key", "rep"])
 
-def _company(entries: DataFrame) -> DataFrame:
-    """(key, rep) of the entries that share their key."""
-    to = F.when(F.col("again"), F.xxhash64("rep", "key")).otherwise(F.col("key"))
-    return entries.repartition(to).sortWithinPartitions("key").mapInArrow(_shared, "key bigint, rep bigint")
+    for b in batches:
+        for part, *packed in zip(*(c.to_pylist() for c in b.columns)):
+            if held and part != of:
+                yield from out()
+            of = part
+            held.append(tuple(packed))
+    if held:
+        yield from out()
 
 
-def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+def _company(texts: DataFrame, entries, n: int, together: int = 2_000_000) -> DataFrame:
+    """(key, rep) of the entries that share their key; n texts make them, and a part holds about `together` of them."""
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, -(-n * SYMBOLS // together))
+    packed = texts.mapInArrow(entries(parts), "part int, keys binary, reps binary, company binary")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_met, "key bigint, rep bigint")
 
 
 def _close(least: float):
@@ -289,21 +303,22 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float =
     sketched = keep(rows.mapInArrow(_sketch, "doc_id bigint, digest binary, symbols binary"), "sketch")
     reps = keep(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("copied"), F.max("symbols").alias("symbols")), "reps")
     prints = reps.select("rep", "symbols")
-    found: DataFrame | None = None
     labels: DataFrame | None = None
-    entries = prints.mapInArrow(_keys(2048), "key bigint, rep bigint, company boolean, again boolean")
+    shared = keep(_company(prints, _keys, reps.count()), "shared")
     for _ in range(SEGMENTS):
-        shared = keep(_company(entries), "shared")
         pairs, large = candidates(shared, labels, hot)
-        more = verified(pairs, prints, rows, threshold, keep)
-        found = keep(more if found is None else more.union(found), "links")
-        labels = keep(components(found), "labels")
+        links = keep(verified(pairs, prints, rows, threshold, keep), "links")
+        if labels is None:
+            labels = keep(components(links), "labels")
+        elif not links.isEmpty():
+            labels = keep(components(links.union(labels.where("node <> label").toDF("a", "b"))), "labels")
         of = large.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
         several = of.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
         large = keep(large.join(several, "key", "left_semi"), "large")
-        if large.isEmpty():
+        n = large.count()
+        if not n:
             break
-        entries = prints.join(large, "rep").select("rep", "symbols", "key").mapInArrow(_finer(2048), "key bigint, rep bigint, company boolean, again boolean")
+        shared = keep(_company(prints.join(large, "rep").select("rep", "symbols", "key"), _finer, n), "shared")
 
     classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("copied or label is not null").select("digest", F.coalesce("label", "rep").alias("canonical"))
     out = cut(sketched.select("doc_id", "digest").join(classes, "digest").select("doc_id", "canonical").distinct(), "groups")
