@@ -33,17 +33,23 @@ def top_rows(scored: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def random_topk(users: DataFrame, universe: DataFrame, k: int, seed: int = 3, draws: int = 8) -> DataFrame:
-    """(user_idx, article_idx, rank): up to k distinct articles drawn for each user, by hashes of (user, draw) alone.
+    """(user_idx, article_idx, rank): k distinct articles for each user (all, if there are fewer), drawn by hashes of the ids alone.
 
-    The universe is numbered, and each of `draws` x k draws of a user names a number; the first k distinct ones stay. So
-    the work is users x k, never users x universe. Only a universe hardly larger than k can leave a user short.
+    The universe is numbered, and each of `draws` x k draws of a user names a number; the first k distinct ones stay. So the
+    work is users x k, never users x universe. Users left short, which only a universe hardly larger than k leaves, are filled
+    up: the universe, if under `draws` x k articles, is gone through in the order of its hashes with the user.
     """
     numbered = dense_ids(universe, "idx").select(F.col("key").cast("bigint").alias("article_idx"), F.col("id").alias("no"))
     size = numbered.agg(F.count("*").alias("n"))
-    rows = users.where("user_idx is not null").distinct().select("user_idx", F.explode(F.sequence(F.lit(0), F.lit(draws * k - 1))).alias("i"))
+    people = users.where("user_idx is not null").select("user_idx").distinct()
+    rows = people.select("user_idx", F.explode(F.sequence(F.lit(0), F.lit(draws * k - 1))).alias("i"))
     rows = rows.crossJoin(F.broadcast(size)).withColumn("no", F.floor(uniform(F.col("user_idx"), F.col("i"), seed) * F.col("n")))
-    met = rows.groupBy("user_idx", "no").agg(F.min("i").alias("i")).join(numbered, "no")
-    return top_rows(met, k, F.col("i")).select("user_idx", "article_idx", "rank")
+    met = rows.groupBy("user_idx", "no").agg(F.min("i").cast("double").alias("i")).join(numbered, "no").select("user_idx", "article_idx", "i")
+    short = people.join(met.groupBy("user_idx").agg(F.count("*").alias("got")), "user_idx", "left").where(F.coalesce("got", F.lit(0)) < k).select("user_idx")
+    few = numbered.crossJoin(F.broadcast(size)).where(F.col("n") < draws * k).agg(F.collect_list("article_idx").alias("every"))  # under draws x k ids, or none
+    rest = short.crossJoin(F.broadcast(few)).select("user_idx", F.explode("every").alias("article_idx")).join(met, ["user_idx", "article_idx"], "left_anti")
+    filled = met.unionByName(rest.withColumn("i", draws * k + uniform(F.col("user_idx"), F.col("article_idx"), seed + 1)))
+    return top_rows(filled, k, F.col("i"), F.col("article_idx")).select("user_idx", "article_idx", "rank")
 
 
 def global_ranking(scored: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -57,17 +63,32 @@ def drop_seen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     return candidates.join(seen.select("user_idx", "article_idx"), ["user_idx", "article_idx"], "left_anti")
 
 
-def rrf(lists: DataFrame, source: str, k: int, constant: int = RRF) -> DataFrame:
-    """(user_idx, article_idx, score, rank): sum over sources of 1 / (constant + rank there), the k best; equal ones by id.
+def rrf(lists: DataFrame, source: str, k: int | None, constant: int = RRF) -> DataFrame:
+    """(user_idx, article_idx, score, rank): sum over sources of 1 / (constant + rank there), the k best or, for None, all without
+    a rank; equal ones by id.
 
     `lists` has user_idx, article_idx, `source`, score; ranks within (user, source) run by score, then id. Rows with a null
     user, article, source or score, or a NaN score, are left out; the same article counts once per source, at its best.
     """
     rows = lists.where(f"user_idx is not null and article_idx is not null and {source} is not null and score is not null and not isnan(score)")
     rows = rows.groupBy("user_idx", source, "article_idx").agg(F.max(F.col("score") + 0.0).alias("score"))
-    ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("user_idx", source).orderBy(F.desc("score"), "article_idx")))
+    ranked = ranked_in_slices(rows, ("user_idx", source), "score", "article_idx", "r")
     fused = ranked.groupBy("user_idx", "article_idx").agg(F.round(F.sum(1 / (constant + F.col("r"))), 12).alias("score"))
-    return top_rows(fused, k, F.desc("score"), F.col("article_idx"))
+    return fused if k is None else top_rows(fused, k, F.desc("score"), F.col("article_idx"))
+
+
+def ranked_in_slices(rows: DataFrame, group: tuple[str, ...], score: str, tie: str, name: str, slices: int = 64) -> DataFrame:
+    """Adds `name`: the row's number in its group by falling score, then `tie`, without one task sorting a whole group.
+
+    Approximate quantiles of a group's scores cut it into slices; a slice's numbers start where the slices of higher scores
+    end. Any quantiles give the same numbers; good ones make the slices even. One score that fills several slices stays one.
+    """
+    edges = rows.groupBy(*group).agg(F.percentile_approx(score, F.array(*(F.lit(i / slices) for i in range(1, slices))), F.lit(1000)).alias("_edges"))
+    cut_ = rows.join(edges, list(group)).withColumn("_slice", F.size(F.filter("_edges", lambda e: e > F.col(score)))).drop("_edges")
+    sizes = cut_.groupBy(*group, "_slice").agg(F.count("*").alias("_n"))
+    before = sizes.select(*group, "_slice", F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*group, "_slice").orderBy(F.desc(score), tie))
+    return cut_.withColumn(name, inside).join(before, [*group, "_slice"]).withColumn(name, F.col(name) + F.col("_before")).drop("_slice", "_before")
 
 
 def recall_at(lists: DataFrame, imp: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
@@ -124,7 +145,7 @@ def _test(spark, folder):
     return impressions(spark, folder, F.col("time") >= at(CUTOFF))
 
 
-def _lists(spark, folder, k=20):
+def _lists(spark, folder, k: int | None = 20):
     return rrf(table(spark, folder, "topk_scores"), "retriever", k)
 
 
@@ -165,7 +186,7 @@ def broadcast_ranking_q(spark, folder):
 
 def drop_seen_q(spark, folder):
     seen = history_clicks(histories(spark, folder)).select("user_idx", "article_idx").distinct()
-    return top_rows(drop_seen(_lists(spark, folder, 100).drop("rank"), seen), 10, F.desc("score"), F.col("article_idx")).select("user_idx", "article_idx", "rank")
+    return top_rows(drop_seen(_lists(spark, folder, None), seen), 10, F.desc("score"), F.col("article_idx")).select("user_idx", "article_idx", "rank")
 
 
 def rrf_q(spark, folder):
@@ -243,11 +264,13 @@ ORACLES = {
     "cold_start_mask": "SELECT user_idx, coalesce(max(n_hist), 0) < 5 AS is_cold FROM user_history GROUP BY 1",
     "random_topk": f"""WITH {ARTICLES}, {_uni('uu', 30)}, nb AS (SELECT idx, row_number() OVER (ORDER BY CAST(idx AS VARCHAR)) - 1 AS no, count(*) OVER () AS n FROM uu), us AS (SELECT DISTINCT user_idx FROM user_history WHERE user_idx IS NOT NULL),
         dr AS (SELECT user_idx, i, (SELECT max(n) FROM nb) AS n FROM us, range(40) t(i)), dd AS (SELECT user_idx, i, CAST(floor({UNIFORM_SQL.format(a='user_idx', b='i', seed=3)} * n) AS BIGINT) AS no FROM dr),
-        f AS (SELECT user_idx, no, min(i) AS i FROM dd GROUP BY 1, 2), r AS (SELECT user_idx, idx AS article_idx, row_number() OVER (PARTITION BY user_idx ORDER BY i) AS rank FROM f JOIN nb ON nb.no = f.no) SELECT user_idx, article_idx, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""",
+        f AS (SELECT user_idx, idx AS article_idx, CAST(min(i) AS DOUBLE) AS i FROM dd JOIN nb ON nb.no = dd.no GROUP BY 1, 2), sh AS (SELECT user_idx FROM us WHERE (SELECT count(*) FROM f WHERE f.user_idx = us.user_idx) < 5),
+        fill AS (SELECT user_idx, idx AS article_idx FROM sh, nb WHERE n < 40 EXCEPT SELECT user_idx, article_idx FROM f), al AS (SELECT * FROM f UNION ALL SELECT user_idx, article_idx, 40 + {UNIFORM_SQL.format(a='user_idx', b='article_idx', seed=4)} FROM fill),
+        r AS (SELECT user_idx, article_idx, row_number() OVER (PARTITION BY user_idx ORDER BY i, article_idx) AS rank FROM al) SELECT user_idx, article_idx, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""",
     "popularity_ranking": _POPR + " SELECT article_idx, CAST(rank AS INT) AS rank FROM pop WHERE rank <= 50",
     "recency_ranking": f"WITH {ARTICLES}, {_uni('u', 30)}, d AS (SELECT idx AS article_idx, coalesce(published_time, first_seen_time) AS t FROM u) SELECT article_idx, CAST(row_number() OVER (ORDER BY t DESC, article_idx) AS INT) AS rank FROM d WHERE t < {_T0} QUALIFY rank <= 50",
     "broadcast_ranking": _POPR + " SELECT user_idx, article_idx, CAST(rank AS INT) AS rank FROM (SELECT DISTINCT user_idx FROM user_history), pop WHERE rank <= 10",
-    "drop_seen": f"WITH {_BEST}, {HISTORY}, k AS (SELECT * FROM fr WHERE rank <= 100 AND NOT EXISTS (SELECT 1 FROM hist_clicks h WHERE h.user_idx = fr.user_idx AND h.article_idx = fr.article_idx)) SELECT user_idx, article_idx, CAST(row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, article_idx) AS INT) AS rank FROM k QUALIFY row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, article_idx) <= 10",
+    "drop_seen": f"WITH {_BEST}, {HISTORY}, k AS (SELECT * FROM fr WHERE NOT EXISTS (SELECT 1 FROM hist_clicks h WHERE h.user_idx = fr.user_idx AND h.article_idx = fr.article_idx)) SELECT user_idx, article_idx, CAST(row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, article_idx) AS INT) AS rank FROM k QUALIFY row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, article_idx) <= 10",
     "rrf": f"WITH {_BEST} SELECT user_idx, article_idx, round(score, 9) AS score, CAST(rank AS INT) AS rank FROM fr WHERE rank <= 20",
     "recall_at_k": f"WITH {_BEST}, {_TEST}, {_CL} SELECT imp, count(*) AS clicked, round(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_5, round(count(*) FILTER (rank <= 10) / count(*), 6) AS recall_10 FROM cl LEFT JOIN fr ON fr.user_idx = cl.user_idx AND fr.article_idx = cl.article_idx AND rank <= 20 WHERE cl.article_idx IS NOT NULL GROUP BY 1",
     "lift_vs_random": f"WITH {_BEST}, {_TEST}, {_CL}, g AS (SELECT imp, count(*) FILTER (rank <= 20) / count(*) AS r FROM cl LEFT JOIN fr ON fr.user_idx = cl.user_idx AND fr.article_idx = cl.article_idx WHERE cl.article_idx IS NOT NULL GROUP BY 1) SELECT round(avg(r), 6) AS recall, round(avg(r) / greatest(20.0 / (SELECT count(DISTINCT idx) FROM articles), 1e-9), 4) AS lift FROM g",

@@ -215,11 +215,11 @@ ORACLES = {
     "bm25_weight": _INDEX + ", " + _weighted("wt") + " SELECT doc_id, term, tf, round(w, 6) AS w FROM wt",
     "bm25l": _INDEX + f", c AS (SELECT p.doc_id, p.term, tf, idf, tf / (1 - {B} + {B} * dl / greatest(avgdl, 1e-6)) AS c FROM post p JOIN dls ON dls.doc_id = p.doc_id JOIN voc ON voc.term = p.term, cp) SELECT doc_id, term, tf, round(idf * ({K1} + 1) * (c + 0.5) / ({K1} + c + 0.5), 6) AS w FROM c",
     "query_from_history": _INDEX + _QUERY + " SELECT * FROM qq",
-    "decayed_query": _INDEX + _QUERY + ", ag AS (SELECT *, max(i) OVER (PARTITION BY user_idx) - i AS age FROM hist_clicks WHERE user_idx % 50 = 0) SELECT user_idx, term, round(sum(tf * pow(0.5, age / 5.0)), 6) AS q FROM ag JOIN post ON post.doc_id = ag.article_idx WHERE age < 20 GROUP BY 1, 2",
-    "query_saturation": _INDEX + _QUERY + " SELECT user_idx, term, round(3.0 * q / (2 + q), 6) AS q2, CAST(1 AS DOUBLE) AS q0 FROM q50",
+    "decayed_query": _INDEX + _QUERY + ", ag AS (SELECT *, max(i) OVER (PARTITION BY user_idx) - i AS age FROM hist_clicks) SELECT user_idx, term, round(sum(tf * pow(0.5, age / 5.0)), 6) AS q FROM ag JOIN post ON post.doc_id = ag.article_idx WHERE age < 20 GROUP BY 1, 2",
+    "query_saturation": _INDEX + _QUERY + " SELECT user_idx, term, round(3.0 * q / (2 + q), 6) AS q2, CAST(1 AS DOUBLE) AS q0 FROM qq",
     "bm25_search": _INDEX + _QUERY + ", " + _weighted("wt") + _SEARCH + " SELECT user_idx, doc_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10",
-    "score_pairs": _INDEX + _QUERY + ", " + _weighted("wt") + """, sh AS (SELECT DISTINCT user_idx, unnest(candidates) AS doc_id FROM impressions WHERE user_idx % 50 = 0), ps AS (SELECT DISTINCT sh.user_idx, sh.doc_id FROM sh)
-        SELECT ps.user_idx, ps.doc_id, round(coalesce(sum(q * w), 0), 5) AS score FROM ps LEFT JOIN wt ON wt.doc_id = ps.doc_id LEFT JOIN q50 ON q50.user_idx = ps.user_idx AND q50.term = wt.term GROUP BY 1, 2""",
+    "score_pairs": _INDEX + _QUERY + ", " + _weighted("wt") + """, sh AS (SELECT DISTINCT user_idx, unnest(candidates) AS doc_id FROM impressions WHERE user_idx IS NOT NULL), ps AS (SELECT DISTINCT sh.user_idx, sh.doc_id FROM sh)
+        SELECT ps.user_idx, ps.doc_id, round(coalesce(sum(q * w), 0), 5) AS score FROM ps LEFT JOIN wt ON wt.doc_id = ps.doc_id LEFT JOIN qq ON qq.user_idx = ps.user_idx AND qq.term = wt.term GROUP BY 1, 2""",
     "explain": _INDEX + _QUERY + ", " + _weighted("wt") + _SEARCH + """, pt AS (SELECT r.user_idx, r.doc_id, q50.term, round(q * w, 6) AS part FROM ranked r JOIN wt ON wt.doc_id = r.doc_id JOIN q50 ON q50.user_idx = r.user_idx AND q50.term = wt.term WHERE rank <= 3)
         SELECT user_idx, doc_id, term, part, CAST(row_number() OVER (PARTITION BY user_idx, doc_id ORDER BY part DESC, term) AS INT) AS rank FROM pt QUALIFY rank <= 5""",
     "grid": _INDEX + _QUERY + "".join(f", {_weighted(f'w{i}', k1, b)}, s{i} AS (SELECT user_idx, doc_id, round(sum(q * w), 9) AS s FROM q50 JOIN w{i} ON w{i}.term = q50.term GROUP BY 1, 2)" for i, (k1, b) in enumerate([(0.9, 0.3), (0.9, 0.75), (1.5, 0.3), (1.5, 0.75)]))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,22 +31,46 @@ def dense_ids(df: DataFrame, key: str) -> DataFrame:
     return ranged.withColumn("inside", inside).join(shift, "part").select("key", (F.col("inside") + F.col("shift")).alias("id"))
 
 
-def remap_list(df: DataFrame, row_id: str, values: str, ids: DataFrame) -> DataFrame:
+def remap_list(df: DataFrame, row_id: str, values: str, ids: DataFrame, most: int = 2_000_000) -> DataFrame:
     """(row_id, mapped): list elements replaced by the ids of `ids` (key, id), order kept, unknown and null ones dropped.
 
-    Rows of null or empty lists, or of unknown elements only, keep an empty list. The join is by element; a hot element is
-    split by adaptive execution, and the lists are gathered again by row id.
+    Rows of null or empty lists, or of unknown elements only, keep an empty list. A dictionary of at most `most` keys, which
+    is counted first, goes to every task as two sorted arrays and lists are mapped where they lie. A larger one is joined by
+    element; a hot element is split by adaptive execution, and the lists are gathered again by row id.
     """
     rows = df.select(F.col(row_id).alias("row"), F.col(values).alias("list"))
+    ids = cut(ids.where("key is not null").select(F.col("key").cast("bigint").alias("key"), F.col("id").cast("bigint").alias("id")), "dictionary")
+    if ids.count() <= most:
+        known = ids.orderBy("key").toArrow()
+        keys, to = known["key"].to_numpy(), known["id"].to_numpy()
+        kind = dict(rows.dtypes)["row"]
+        return rows.select("row", F.col("list").cast("array<bigint>").alias("list")).mapInArrow(_remapped(keys, to, row_id), f"{row_id} {kind}, mapped array<bigint>")
     opened = rows.select("row", F.posexplode("list").alias("pos", "key"))
-    found = opened.join(ids.select("key", "id"), "key").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("mapped"))
+    found = opened.join(ids, "key").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("mapped"))
     return rows.select("row").join(found, "row", "left").select(F.col("row").alias(row_id), F.coalesce("mapped", F.array().cast("array<bigint>")).alias("mapped"))
 
 
+def _remapped(keys: np.ndarray, to: np.ndarray, row_id: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            flat = lists.flatten()
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            v, there = flat.fill_null(0).to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(keys, v), max(len(keys) - 1, 0))
+            keep = there & (keys[at] == v) if len(keys) else np.zeros(len(v), bool)
+            kept = np.concatenate([[0], np.cumsum(keep)])
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            offsets = kept[ends].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(to[at[keep]] if len(keys) else np.zeros(0, np.int64)))], [row_id, "mapped"])
+
+    return run
+
+
 def list_rank(scores: Column) -> Column:
-    """Rank of each element of a list, 1 for the highest; equal scores rank by position."""
-    order = F.transform(F.array_sort(F.transform(scores, lambda x, i: F.struct((-x).alias("s"), i.alias("i")))), lambda x: x["i"])
-    return F.transform(F.sequence(F.lit(0), F.size(scores) - 1), lambda i: F.array_position(order, i).cast("int"))
+    """Rank of each element of a list, 1 for the highest; equal scores rank by position. Two sorts: by score, and back by position."""
+    order = F.array_sort(F.transform(scores, lambda x, i: F.struct((-x).alias("s"), i.alias("i"))))
+    return F.transform(F.array_sort(F.transform(order, lambda x, r: F.struct(x["i"].alias("i"), (r + 1).cast("int").alias("r")))), lambda x: x["r"])
 
 
 def list_lookup(df: DataFrame, row_id: str, values: str, scores: DataFrame, default: float = 0.0) -> DataFrame:

@@ -170,7 +170,7 @@ rm AS (SELECT user_idx, d, sum(wgt * x) / sum(wgt) AS x FROM ro GROUP BY 1, 2),
 _WORD_COUNT = _LEXICAL["tokenize"]
 
 ORACLES = {
-    "matching_features": f"""WITH sh AS (SELECT DISTINCT user_idx, unnest(candidates) AS article_idx FROM impressions WHERE user_idx % 50 = 0), bm AS ({_LEXICAL["score_pairs"].replace("round(coalesce(sum(q * w), 0), 5)", "round(coalesce(sum(q * w), 0), 4)")}),
+    "matching_features": f"""WITH sh AS (SELECT DISTINCT user_idx, unnest(candidates) AS article_idx FROM impressions WHERE user_idx IS NOT NULL), bm AS ({_LEXICAL["score_pairs"].replace("round(coalesce(sum(q * w), 0), 5)", "round(coalesce(sum(q * w), 0), 4)")}),
         uv AS (WITH {_UV} SELECT * FROM uv), rv AS (WITH {_RECENT} SELECT * FROM rv), vv AS (WITH {_V} SELECT * FROM v), hc AS (WITH {HISTORY} SELECT DISTINCT user_idx, article_idx FROM hist_clicks),
         mx AS (SELECT sh.user_idx, sh.article_idx, max(list_cosine_similarity(a.e, b.e)) AS best FROM sh JOIN vv a ON a.vec_id = sh.article_idx JOIN hc ON hc.user_idx = sh.user_idx JOIN vv b ON b.vec_id = hc.article_idx GROUP BY 1, 2)
         SELECT sh.user_idx, sh.article_idx, coalesce(bm.score, 0) AS bm25, round(coalesce(list_cosine_similarity(uv.u, e), 0), 4) AS emb_cos, round(coalesce(list_cosine_similarity(rv.u, e), 0), 4) AS emb_recent, round(coalesce(best, 0), 4) AS emb_max FROM sh

@@ -143,8 +143,6 @@ def set_operations_q(spark, folder):
 
 def article_timing_q(spark, folder):
     """Freshness of every shown row: hours since publication, whole seconds; null where no date is known."""
-
-
     born = articles(spark, folder).select(F.col("idx").alias("article_idx"), F.coalesce("published_time", "first_seen_time").alias("born"))
     return pair_table(impressions(spark, folder)).join(born, "article_idx", "left").select("imp", "position", F.round(hours(F.col("born"), F.col("time")), 6).alias("age_hours"))
 
@@ -153,7 +151,7 @@ def stage1_q(spark, folder):
     """The hybrid first stage: fused retrievers less what was read, 50 a user."""
     seen = history_clicks(histories(spark, folder)).select("user_idx", "article_idx").distinct()
     lists = table(spark, folder, "topk_scores").where("retriever in ('bm25', 'dense')")
-    got = drop_seen(rrf(lists, "retriever", 1000).drop("rank"), seen)
+    got = drop_seen(rrf(lists, "retriever", None), seen)
     return top_rows(got, 50, F.desc("score"), F.col("article_idx")).withColumn("score", F.round("score", 9))
 
 
@@ -198,7 +196,7 @@ ORACLES = {
     "article_timing": f"WITH {PAIRS}, {ARTICLES} SELECT imp, CAST(position AS INT) AS position, round(date_sub('second', coalesce(published_time, first_seen_time), time) / 3600.0, 6) AS age_hours FROM pairs LEFT JOIN art ON idx = article_idx",
     "stage1": f"""WITH {HISTORY}, b AS (SELECT user_idx, retriever, article_idx, max(score + 0.0) AS s FROM topk_scores WHERE user_idx IS NOT NULL AND article_idx IS NOT NULL AND retriever IN ('bm25', 'dense') AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2, 3),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_idx, retriever ORDER BY s DESC, article_idx) AS r FROM b), f AS (SELECT user_idx, article_idx, round(sum(1.0 / (60 + r)), 12) AS score FROM r GROUP BY 1, 2),
-        t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, article_idx) <= 1000), k AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM hist_clicks h WHERE h.user_idx = t.user_idx AND h.article_idx = t.article_idx))
+        k AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM hist_clicks h WHERE h.user_idx = f.user_idx AND h.article_idx = f.article_idx))
         SELECT user_idx, article_idx, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, article_idx) AS INT) AS rank FROM k QUALIFY row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, article_idx) <= 50""",
     "service_demand": f"""WITH {IMP}, g AS (SELECT device_type, avg(CAST(read_time AS DOUBLE)) AS s, count(*) / date_sub('second', min(time), max(time)) AS l FROM imp WHERE read_time IS NOT NULL AND NOT isnan(read_time) AND time IS NOT NULL AND device_type IS NOT NULL GROUP BY 1)
         SELECT device_type, round(l * s, 6) AS load, round(CASE WHEN l * s < 1 THEN s * l * s / (1 - l * s) END, 5) AS mm1_wait, round(CASE WHEN l * s < 1 THEN s * l * s / (1 - l * s) / 2 END, 5) AS md1_wait FROM g""",

@@ -14,9 +14,19 @@ from clicklake.sources.logs import CLICKS, IMP, PAIRS, articles, clicks, impress
 from clicklake.sources.tables import table
 
 
-def strictly_before(key: str, time: str):
-    """The window of all instants before this row's, for tables with one row per (key, instant)."""
-    return W.partitionBy(key).orderBy(time).rowsBetween(W.unboundedPreceding, -1)
+def running(rows: DataFrame, key: str, time: str, sums: Sequence[str], strict: bool, bucket_seconds: int = 86_400) -> DataFrame:
+    """(key, time, *sums): the sums of each column over all instants of the key up to this one, or before it if `strict`.
+
+    `rows` has one row per (key, instant). Sums run within (key, time bucket), and what earlier buckets add up to is one row
+    per (key, bucket), so a hot key is split over its buckets. An empty sum is 0.
+    """
+    bucketed = rows.select(key, time, *sums, F.floor(micros(F.col(time)) / (bucket_seconds * 1_000_000)).alias("_bucket"))
+    inside = W.partitionBy(key, "_bucket").orderBy(time).rowsBetween(W.unboundedPreceding, -1 if strict else 0)
+    earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = bucketed.groupBy(key, "_bucket").agg(*(F.sum(c).alias(c) for c in sums))
+    before = totals.select(key, "_bucket", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in sums))
+    own = bucketed.select(key, time, "_bucket", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in sums))
+    return own.join(before, [key, "_bucket"]).select(key, time, *((F.col(c) + F.col(f"_{c}")).alias(c) for c in sums))
 
 
 def session_features(imp: DataFrame) -> DataFrame:
@@ -39,9 +49,8 @@ def dwell_features(imp: DataFrame) -> DataFrame:
     clean = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
     rows = imp.where("user_idx is not null and time is not null").select(F.col("src_row").alias("imp"), "user_idx", "time", clean("read_time").alias("read_time"), clean("scroll_percentage").alias("scroll"))
     once = rows.groupBy("user_idx", "time").agg(F.sum(F.coalesce("read_time", F.lit(0.0))).alias("rt"), F.count("*").alias("n"), F.sum("scroll").alias("sc"), F.count("scroll").alias("scn"))
-    w = strictly_before("user_idx", "time")
-    before = once.select("user_idx", "time", *(F.sum(c).over(w).alias(c) for c in ("rt", "n", "sc", "scn")))
-    return rows.join(before, ["user_idx", "time"]).select("imp", F.try_divide("rt", "n").alias("prior_read_time"), F.try_divide("sc", "scn").alias("prior_scroll"), F.coalesce("n", F.lit(0)).alias("prior_impressions"))
+    before = running(once.withColumn("sc", F.coalesce("sc", F.lit(0.0))), "user_idx", "time", ("rt", "n", "sc", "scn"), True)
+    return rows.select("imp", "user_idx", "time").join(before, ["user_idx", "time"]).select("imp", F.try_divide("rt", "n").alias("prior_read_time"), F.try_divide("sc", "scn").alias("prior_scroll"), F.col("n").alias("prior_impressions"))
 
 
 def article_dwell(imp: DataFrame) -> DataFrame:
@@ -49,8 +58,7 @@ def article_dwell(imp: DataFrame) -> DataFrame:
     read = F.coalesce(F.nanvl(F.col("read_time").cast("double"), F.lit(None)), F.lit(0.0))
     rows = imp.select(F.explode("clicked").alias("article_idx"), "time", read.alias("rt")).where("article_idx is not null and time is not null")
     once = rows.groupBy("article_idx", "time").agg(F.sum("rt").alias("rt"), F.count("*").alias("n"))
-    w = W.partitionBy("article_idx").orderBy("time").rowsBetween(W.unboundedPreceding, 0)
-    return once.select("article_idx", "time", (F.sum("rt").over(w) / F.sum("n").over(w)).alias("art_read_time"), F.sum("n").over(w).alias("art_dwell_n"))
+    return running(once, "article_idx", "time", ("rt", "n"), False).select("article_idx", "time", (F.col("rt") / F.col("n")).alias("art_read_time"), F.col("n").alias("art_dwell_n"))
 
 
 def rolling_article_stats(pairs: DataFrame, article: DataFrame, smoothing: float = 20.0) -> DataFrame:
@@ -59,36 +67,42 @@ def rolling_article_stats(pairs: DataFrame, article: DataFrame, smoothing: float
     Counters include the instant; a reader joins strictly before. The age is that at the counters' instant.
     """
     once = pairs.where("article_idx is not null and time is not null").groupBy("article_idx", "time").agg(F.count("*").alias("n"), F.count_if("label").alias("c"))
-    w = W.partitionBy("article_idx").orderBy("time").rowsBetween(W.unboundedPreceding, 0)
-    rows = once.select("article_idx", "time", F.sum("n").over(w).alias("roll_inview"), F.sum("c").over(w).alias("roll_clicks"))
+    rows = running(once, "article_idx", "time", ("n", "c"), False).withColumnsRenamed({"n": "roll_inview", "c": "roll_clicks"})
     born = article.select(F.col("idx").alias("article_idx"), F.coalesce("published_time", "first_seen_time").alias("born"))
     return rows.join(born, "article_idx", "left").select("article_idx", "time", "roll_inview", "roll_clicks", (F.col("roll_clicks") / (F.col("roll_inview") + smoothing)).alias("roll_ctr"), hours(F.col("born"), F.col("time")).alias("roll_age_hours"))
 
 
 def asof_before(left: DataFrame, right: DataFrame, by: str, on: str, values: Sequence[str], bucket_seconds: int = 86_400) -> DataFrame:
-    """Left rows with the `values` of the last right row of the same key strictly before them; null where there is none.
+    """Left rows with the `values` of the last right row of the same key strictly before them; null where there is none."""
+    return asof_before_all(left, [(right, values)], by, on, bucket_seconds)
+
+
+def asof_before_all(left: DataFrame, rights: Sequence[tuple[DataFrame, Sequence[str]]], by: str, on: str, bucket_seconds: int = 86_400) -> DataFrame:
+    """`asof_before` of several right tables at once, whose values have different names.
 
-    Both sides are stacked and one window per (key, time bucket) carries the last right values forward, a left row sorting
+    All sides are stacked and one window per (key, time bucket) carries the last right values forward, a left row sorting
     before right rows of its own instant. What earlier buckets leave to carry is one row per (key, bucket), so a hot key is
-    split over its buckets. `right` has one row per (key, instant). Left rows of null key or time keep nulls.
+    split over its buckets. Each right table has one row per (key, instant). Left rows of null key or time keep nulls. The
+    left columns travel through a sort: pass few, and join wide ones on later.
     """
     width = bucket_seconds * 1_000_000
-    payload = F.struct(*values)
-    kept = [c for c in left.columns]
+    kept, names = list(left.columns), [f"v{i}" for i in range(len(rights))]
     a = left.select(F.struct(*kept).alias("row"), F.col(by).alias("k"), micros(F.col(on)).alias("t"), F.lit(0).alias("side"))
-    b = right.where(f"{by} is not null and {on} is not null").select(F.col(by).alias("k"), micros(F.col(on)).alias("t"), payload.alias("v"))
-    bucket = F.floor(F.col("t") / width)
-    stacked = a.withColumn("v", F.lit(None).cast(b.schema["v"].dataType)).unionByName(b.withColumn("side", F.lit(1)), allowMissingColumns=True).withColumn("bucket", bucket)
-    # the last right value of each bucket, and the buckets left rows lie in, which carry what earlier buckets end with
-    ends = b.groupBy("k", bucket.alias("bucket")).agg(F.max_by("v", "t").alias("end")).withColumn("asks", F.lit(False))
-    asked = a.where("k is not null and t is not null").select("k", bucket.alias("bucket")).distinct().withColumn("asks", F.lit(True))
+    stacked, ends = a, a.where("k is not null and t is not null").select("k", F.floor(F.col("t") / width).alias("bucket")).distinct().withColumn("asks", F.lit(True))
+    for name, (right, values) in zip(names, rights):
+        b = right.where(f"{by} is not null and {on} is not null").select(F.col(by).alias("k"), micros(F.col(on)).alias("t"), F.struct(*values).alias(name), F.lit(1).alias("side"))
+        stacked = stacked.unionByName(b, allowMissingColumns=True)
+        # the last right value of each bucket; beside the buckets left rows lie in, which carry what earlier buckets end with
+        ends = ends.unionByName(b.groupBy("k", F.floor(F.col("t") / width).alias("bucket")).agg(F.max_by(name, "t").alias(name)).withColumn("asks", F.lit(False)), allowMissingColumns=True)
     earlier = W.partitionBy("k").orderBy("bucket").rangeBetween(W.unboundedPreceding, -1)
-    frame = ends.unionByName(asked, allowMissingColumns=True).withColumn("carry", F.last("end", ignorenulls=True).over(earlier))
-    carried = frame.where("asks").select("k", "bucket", "carry")
+    carried = ends.select("k", "bucket", "asks", *(F.last(n, ignorenulls=True).over(earlier).alias(f"c_{n}") for n in names)).where("asks").drop("asks")
     w = W.partitionBy("k", "bucket").orderBy("t", "side").rowsBetween(W.unboundedPreceding, -1)
-    inside = stacked.withColumn("near", F.last("v", ignorenulls=True).over(w)).where("side = 0").select("row", "k", "bucket", "near")
-    met = inside.join(carried, ["k", "bucket"], "left").select("row", F.when(F.col("k").isNotNull() & F.col("bucket").isNotNull(), F.coalesce("near", "carry")).alias("v"))
-    return met.select(*(F.col("row")[c].alias(c) for c in kept), *(F.col("v")[c].alias(c) for c in values))
+    stacked = stacked.withColumn("bucket", F.floor(F.col("t") / width))
+    inside = stacked.select("row", "k", "bucket", "side", *(F.last(n, ignorenulls=True).over(w).alias(n) for n in names)).where("side = 0")
+    met = inside.join(carried, ["k", "bucket"], "left")
+    known = F.col("k").isNotNull() & F.col("bucket").isNotNull()
+    values = [F.when(known, F.coalesce(n, f"c_{n}"))[c].alias(c) for n, (_, own) in zip(names, rights) for c in own]
+    return met.select(*(F.col("row")[c].alias(c) for c in kept), *values)
 
 
 def midrank(value: Column, *group: str) -> Column:

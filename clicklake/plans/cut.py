@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,18 +14,38 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; where that is unset (tests), a local one."""
+    """The folder all executors share: `spark.checkpoint.dir`. Where that is unset, a temporary one, and only if the executors
+    are threads of this process (tests, one machine); a cluster must name its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         found = tempfile.mkdtemp(prefix="clicklake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+@contextmanager
+def scoped() -> Iterator[None]:
+    """Deletes at its end every table that was cut within: for callers who have by then used up what their queries returned.
+
+    A query gives a lazy frame, so only its caller knows when the tables behind it have done their duty. Without a scope they
+    last until the session ends, but for those an operator can drop itself.
+    """
+    before = set(path for _, path in _written)
+    try:
+        yield
+    finally:
+        for spark, path in [x for x in _written if x[1] not in before]:
+            _delete(spark, path)
+        _written[:] = [x for x in _written if x[1] in before]
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write `df` once into the shared folder and read it back: the lineage ends there and lost executors cost nothing.
 
-    The files live until the session ends or `drop` is called with the returned frame.
+    The files live until the session ends, the enclosing `scoped` does, or `drop` is called with the returned frame.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
