@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 U = np.uint64
@@ -21,25 +23,45 @@ class EliasFano:
 
     def __init__(self, keys: np.ndarray, bits: int = 64):
         keys = np.asarray(keys, U)
-        self.n, self.bits = len(keys), bits
-        self.low_bits = max(0, bits - max(1, int(self.n).bit_length()))
-        high = (keys >> U(self.low_bits)).astype(np.int64) if self.low_bits < 64 else np.zeros(self.n, np.int64)
-        last = int(high[-1]) if self.n else 0
-        words = (self.n + last + 1 + 63) // 64 + 1
-        at = high + np.arange(self.n)
-        self.upper = np.zeros(words, U)
-        np.bitwise_or.at(self.upper, at >> 6, U(1) << (at & 63).astype(U))
-        zeros = 64 - np.bitwise_count(self.upper).astype(np.int64)
-        self.zeros = np.concatenate([[0], np.cumsum(zeros)[:-1]])
-        self.lower = np.zeros((self.n * self.low_bits) // 64 + 2, U)
+        self._room(len(keys), int(keys[-1]) if len(keys) else 0, bits)
+        self._write(keys, 0)
+        self._index()
+
+    @classmethod
+    def of(cls, blocks: Iterable[np.ndarray], n: int, last: int, bits: int = 64) -> EliasFano:
+        """The set of n keys that come in sorted blocks, the greatest being `last`; no more than a block is ever plain."""
+        self, at = cls.__new__(cls), 0
+        self._room(n, last, bits)
+        for keys in blocks:
+            self._write(keys, at)
+            at += len(keys)
+        self._index()
+        return self
+
+    def _room(self, n: int, last: int, bits: int) -> None:
+        self.n, self.bits, self.last = n, bits, last
+        self.low_bits = max(0, bits - max(1, int(n).bit_length()))
+        self.upper = np.zeros((n + (last >> self.low_bits) + 1 + 63) // 64 + 1, U)
+        self.lower = np.zeros((n * self.low_bits) // 64 + 2, U)
+
+    def _write(self, keys: np.ndarray, first: int) -> None:
+        """Keys number first, first + 1, ..."""
+        at = np.arange(first, first + len(keys), dtype=np.int64)
+        high = (keys >> U(self.low_bits)).astype(np.int64) if self.low_bits < 64 else np.zeros(len(keys), np.int64)
+        one = high + at
+        np.bitwise_or.at(self.upper, one >> 6, U(1) << (one & 63).astype(U))
         if self.low_bits:
             low = keys & self._mask()
-            at = np.arange(self.n, dtype=np.int64) * self.low_bits
+            at = at * self.low_bits
             word, off = at >> 6, (at & 63).astype(U)
             np.bitwise_or.at(self.lower, word, low << off)
             over = (at & 63) + self.low_bits > 64
             np.bitwise_or.at(self.lower, word[over] + 1, low[over] >> (U(64) - off[over]))
 
+    def _index(self) -> None:
+        zeros = 64 - np.bitwise_count(self.upper).astype(np.int64)
+        self.zeros = np.concatenate([[0], np.cumsum(zeros)[:-1]])
+
     def _mask(self) -> np.uint64:
         return U((1 << self.low_bits) - 1)
 
@@ -86,16 +108,39 @@ class EliasFano:
         high = (x >> U(self.low_bits)).astype(np.int64) if self.low_bits < 64 else np.zeros(len(x), np.int64)
         return (i < self._up_to(high)) & (self._low(np.minimum(i, self.n - 1)) == (x & self._mask()))
 
-    def keys(self) -> np.ndarray:
-        """All keys, sorted."""
-        ones = np.flatnonzero(_bits_of(self.upper).reshape(-1))[: self.n].astype(np.int64)
-        i = np.arange(self.n)
-        return ((ones - i).astype(U) << U(self.low_bits) if self.low_bits < 64 else np.zeros(self.n, U)) | self._low(i)
+    def keys(self, i: int = 0, j: int | None = None) -> np.ndarray:
+        """The keys from the i-th to before the j-th, sorted; only the words that hold them are opened."""
+        j = self.n if j is None else min(j, self.n)
+        if i >= j:
+            return np.zeros(0, U)
+        before = 64 * np.arange(len(self.upper)) - self.zeros  # ones in earlier words
+        w, e = np.searchsorted(before, [i, j - 1], side="right") - 1
+        ones = np.flatnonzero(_bits_of(self.upper[w : e + 1]).reshape(-1)) + 64 * int(w)
+        ones = ones[i - before[w] : j - before[w]]
+        at = np.arange(i, j)
+        return ((ones - at).astype(U) << U(self.low_bits) if self.low_bits < 64 else np.zeros(j - i, U)) | self._low(at)
 
     def nbytes(self) -> int:
         return self.upper.nbytes + self.lower.nbytes + self.zeros.nbytes
 
 
+def union(a: EliasFano, b: EliasFano, block: int = 1 << 16) -> EliasFano:
+    """Two sets without a common key as one, merged in sequence: about `block` keys of either are plain at a time."""
+
+    def blocks() -> Iterable[np.ndarray]:
+        i = j = 0
+        while i < a.n or j < b.n:
+            x, y = a.keys(i, i + block), b.keys(j, j + block)
+            # up to the lesser of the two blocks' ends nothing else can come between
+            if len(x) and len(y):
+                end = min(x[-1], y[-1])
+                x, y = x[: np.searchsorted(x, end, side="right")], y[: np.searchsorted(y, end, side="right")]
+            i, j = i + len(x), j + len(y)
+            yield np.sort(np.concatenate([x, y]), kind="stable")
+
+    return EliasFano.of(blocks(), a.n + b.n, max(a.last, b.last), a.bits)
+
+
 class SeenSet:
     """Keys met so far, in few Elias-Fano runs; a new run is merged with its elders while they are not twice its size."""
 
@@ -108,13 +153,14 @@ class SeenSet:
             out |= run.contains(x)
         return out
 
-    def add(self, new: np.ndarray) -> None:
+    def add(self, new: np.ndarray, block: int = 1 << 16) -> None:
         """Sorted distinct keys, none of them met before."""
-        while self.runs and self.runs[-1].n < 2 * len(new):
-            old = self.runs.pop().keys()
-            new = np.insert(old, np.searchsorted(old, new), new)
-        if len(new):
-            self.runs.append(EliasFano(new, self.bits))
+        if not len(new):
+            return
+        run = EliasFano(new, self.bits)
+        while self.runs and self.runs[-1].n < 2 * run.n:
+            run = union(self.runs.pop(), run, block)
+        self.runs.append(run)
 
     def __len__(self) -> int:
         return sum(run.n for run in self.runs)

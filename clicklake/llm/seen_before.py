@@ -82,7 +82,7 @@ def _probe(width: int, chunk_rows: int):
     return run
 
 
-def seen_before(records: DataFrame, record_id: str, keys: list[str], earlier: DataFrame | None = None, width: int = 64, parts: int | None = None, chunk_rows: int = 1 << 17) -> DataFrame:
+def seen_before(records: DataFrame, record_id: str, keys: list[str], earlier: DataFrame | None = None, width: int = 64, parts: int | None = None, chunk_rows: int = 1 << 17, keys_a_part: int = 1 << 22) -> DataFrame:
     """(id, seen) of every record: does its key occur in `earlier` (columns `keys`) or in a record with a smaller id?
 
     A record with a null in its key is never seen and never counts as earlier; ids are integers, in order of arrival; of
@@ -90,20 +90,22 @@ def seen_before(records: DataFrame, record_id: str, keys: list[str], earlier: Da
     bits are kept: an answer "seen" is wrong with a probability of about parts' keys / 2^width, an answer "new" never is
     (with the same hash for equal keys). A null id is treated as the smallest.
 
-    Keys are spread by hash into `parts` (default: four a shuffle partition), each read in order of arrival and answered
-    against an Elias-Fano set of what came before; a chunk's new keys are merged in before the next is read. Memory is one
-    chunk and one part's encoded keys. Records whose key an earlier record of the same input chunk has are answered there
+    Keys are spread by hash into `parts` (default: four a shuffle partition, or more, so that a part has about `keys_a_part`
+    rows), each read in order of arrival and answered against an Elias-Fano set of what came before; a chunk's new keys are
+    merged in, block by block, before the next is read. Memory is one chunk, a block, and one part's encoded keys. Records whose key an earlier record of the same input chunk has are answered there
     and spread at random, so a key that a third of all records share fills no part.
     """
     spark = records.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts or 4 * tasks
+    if not parts:
+        rows = records.count() + (earlier.count() if earlier is not None else 0)
+        parts = max(4 * tasks, -(-rows // keys_a_part))
     keyed = lambda: F.forall(F.array(*(F.col(k).isNotNull() for k in keys)), lambda x: x)
     rows = records.select(F.coalesce(F.col(record_id).cast("long"), F.lit(-(2**63))).alias("id"), F.lit(True).alias("stream"), keyed().alias("keyed"), F.xxhash64(*keys).alias("h"))
     if earlier is not None:
         rows = rows.unionByName(earlier.where(keyed()).select(F.lit(0).cast("long").alias("id"), F.lit(False).alias("stream"), F.lit(True).alias("keyed"), F.xxhash64(*keys).alias("h")))
     rows = rows.mapInArrow(_repeats(parts, chunk_rows, width), _ROWS)
-    rows = rows.repartition(tasks, "part").sortWithinPartitions("part", "stream", "id")
+    rows = rows.repartition(max(tasks, parts // 4), "part").sortWithinPartitions("part", "stream", "id")
     return rows.mapInArrow(_probe(width, chunk_rows), "id bigint, seen boolean")
 
 

@@ -16,7 +16,7 @@ from clicklake.sources.tables import table
 
 
 def _local(n: int, chunk_rows: int):
-    """Of each chunk of a partition: the rows among the N best of their group there, and the N-th best score as bound."""
+    """Of each chunk of a partition: the rows among the N best of their group there; the N-th is a bound."""
 
     def best(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(batches).group_by(["g", "item"]).aggregate([("score", "max")]).rename_columns(["g", "item", "score"])
@@ -25,8 +25,7 @@ def _local(n: int, chunk_rows: int):
         new = np.concatenate([[True], pc.not_equal(g[1:], g[:-1]).to_numpy(zero_copy_only=False)])
         first = np.flatnonzero(new)
         rank = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
-        scores = rows["score"].to_numpy()
-        rows = rows.append_column("bound", pa.array(scores, mask=rank != n - 1)).filter(pa.array(rank < n)).combine_chunks()
+        rows = rows.append_column("bound", pa.array(rank == n - 1)).filter(pa.array(rank < n)).combine_chunks()
         return rows.to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,15 +49,17 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, chunk_r
     An item counts once per group, with its highest score. Rows with a null group, null item or null or NaN score don't
     count; -0.0 equals 0.0; an empty table gives an empty result.
 
-    Each partition ranks its own rows, in chunks of bounded size; the score of its n-th item is a valid lower bound of the
+    Each partition ranks its own rows, in chunks of bounded size; its n-th (score, item) is a valid lower bound of the
     group's n-th best, so lower rows end there, which leaves at most n rows a chunk of even the largest group to shuffle.
-    The largest bound of each group is joined to the survivors, rows under it are dropped, and the rest are ranked.
+    The best bound of each group is joined to the survivors, rows that rank under it are dropped, and the rest are ranked.
+    The bound holds the item too, so where most scores are equal the ties under it are dropped like lower scores.
     """
     rows = df.select(F.col(group).alias("g"), F.col(item).alias("item"), (F.col(score).cast("double") + F.lit(0.0)).alias("score")).where("g is not null and item is not null and score is not null and not isnan(score)")
-    schema = "g {}, item {}, score double, bound double".format(*(dict(rows.dtypes)[c] for c in ("g", "item")))
+    schema = "g {}, item {}, score double, bound boolean".format(*(dict(rows.dtypes)[c] for c in ("g", "item")))
     local = cut(rows.mapInArrow(_local(n, chunk_rows), schema), "topn")
-    bounds = local.where("bound is not null").groupBy("g").agg(F.max("bound").alias("least"))
-    left = local.join(bounds, "g", "left").where("least is null or score >= least")
+    place = F.struct((-F.col("score")).alias("s"), "item")
+    bounds = local.where("bound").groupBy("g").agg(F.min(place).alias("least"))
+    left = local.join(bounds, "g", "left").where(F.col("least").isNull() | (place <= F.col("least")))
     left = left.groupBy("g", "item").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("g").orderBy(F.desc("score"), "item"))
     return left.withColumn("rank", rank).where(F.col("rank") <= n).select(F.col("g").alias("group"), "item", "score", "rank")

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import functions as F
 
 from clicklake.llm.bpe import Encoder, tokenizer_path
-from clicklake.llm.elias_fano import EliasFano, SeenSet
+from clicklake.llm.elias_fano import EliasFano, SeenSet, union
 import clicklake.llm.near_duplicates as near_duplicates_module
 from clicklake.llm.near_duplicates import fingerprints, group_pairs, near_duplicates
 from clicklake.llm.packing import make_plan, pack_items, step_of, tiers_of
@@ -156,6 +156,8 @@ def test_top_n_with_ties_nulls_and_a_hot_group(spark):
     for chunk in (10, 1 << 18):
         assert rows(top_n(df.repartition(5), "u", "i", "s", 10, chunk)) == sorted(want)
     assert top_n(df.limit(0), "u", "i", "s").count() == 0
+    flat = spark.range(20000).selectExpr("1 as u", "id as i", "0.5 as s").repartition(8)
+    assert rows(top_n(flat, "u", "i", "s", 10, 500)) == [(1, i, 0.5, i + 1) for i in range(10)]
     assert rows(top_n(df.select(F.col("u").cast("string"), F.col("i").cast("string"), "s"), "u", "i", "s", 1).select("group")) == [("1",), ("2",), ("3",), ("9",)]
 
 
@@ -172,6 +174,18 @@ def test_elias_fano_round_trip_and_successor(bits):
         assert (e.keys() == k).all() and (e.contains(q) == np.isin(q, k)).all() and (e.successor(q) == np.searchsorted(k, q)).all()
 
 
+def test_sets_merge_block_by_block():
+    rng = np.random.default_rng(5)
+    for n, m, top in ((0, 5, 100), (5, 0, 100), (300, 700, 5000), (1000, 10, 1 << 63), (257, 256, 600)):
+        k = rng.permutation(np.unique(rng.integers(0, top, 3 * (n + m), dtype=np.uint64)))[: n + m]
+        x, y = np.sort(k[:n]), np.sort(k[n:])
+        for block in (1, 7, 64, 1 << 16):
+            got = union(EliasFano(x), EliasFano(y), block)
+            assert (got.keys() == np.sort(k)).all() and got.contains(k).all() and got.n == len(k)
+        e = EliasFano(np.sort(k))
+        assert all((e.keys(i, i + 13) == np.sort(k)[i : i + 13]).all() for i in range(0, len(k), 13))
+
+
 def test_runs_merge():
     s, met = SeenSet(), set()
     rng = np.random.default_rng(2)
