@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clicklake.functions.times import iso_to_utc, micros
+from clicklake.plans.cut import cut
 from clicklake.sources.tables import table
 
 
@@ -28,25 +29,26 @@ def validity(versions: DataFrame, entity: str, known: Column, order: Column) ->
 def as_known(events: DataFrame, entity: str, time: str, event_id: str, intervals: DataFrame, bucket_seconds: int = 86_400, salts: int = 16, hot_share: float = 0.005) -> DataFrame:
     """(event_id, best) of each distinct event (id, entity, time) that has a version in `intervals` at its time.
 
-    Intervals are cut at bucket edges between the first and last event; events meet them by (entity, bucket, salt) and
-    lie in one half-open interval at most. Entities with more than `hot_share` of the events (there are at most
-    1/hot_share of them, so their list may go to the driver) are salted by event id and their intervals repeated.
-    Events delivered again are dropped in the shuffle that the join needs anyway. Null ids count as one id.
+    Events are first counted by (entity, time bucket). Intervals are cut at bucket edges, but only the buckets in which their
+    entity has events come out; events meet them by (entity, bucket, salt) and lie in one half-open interval at most.
+    Entities with more than `hot_share` of the events (there are at most 1/hot_share of them, so their list may go to the
+    driver) are salted by event id and their intervals repeated. Events delivered again are dropped in the shuffle that the
+    join needs anyway. Null ids count as one id.
     """
     width = bucket_seconds * 1_000_000
-    bounds = events.agg(F.count(entity).alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi"))
-    bounds = bounds.select("n", micros(F.col("lo")).alias("lo"), micros(F.col("hi")).alias("hi")).first()
-    rows = events.select(F.col(event_id).alias("id"), F.col(entity).alias("entity"), micros(F.col(time)).alias("t")).where("entity is not null and t is not null")
-    hot = [r[0] for r in rows.groupBy("entity").count().where(F.col("count") > F.lit(max(1.0, hot_share * bounds["n"]))).select("entity").collect()]
-    is_hot = F.col("entity").isin(hot) if hot else F.lit(False)
     bucket = lambda c: F.floor(c / width)
-    rows = rows.withColumns({"bucket": bucket(F.col("t")), "salt": F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).otherwise(0)})
+    rows = events.select(F.col(event_id).alias("id"), F.col(entity).alias("entity"), micros(F.col(time)).alias("t")).where("entity is not null and t is not null").withColumn("bucket", bucket(F.col("t")))
+    counts = cut(rows.groupBy("entity", "bucket").agg(F.count("*").alias("n")), "buckets")
+    least = F.lit(max(1.0, hot_share * (counts.agg(F.sum("n")).first()[0] or 0)))
+    hot = [r[0] for r in counts.groupBy("entity").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("entity").collect()]
+    is_hot = F.col("entity").isin(hot) if hot else F.lit(False)
+    rows = rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).otherwise(0))
     rows = rows.repartition("entity", "bucket", "salt").dropDuplicates(["entity", "bucket", "salt", "id", "t"])
-    lo, hi = (F.lit(bounds[x]).cast("long") for x in ("lo", "hi"))
-    spans = intervals.withColumn("until", F.least(F.coalesce("until", hi + 1), hi + 1)).where((F.col("until") > lo) & (F.col("since") < F.col("until")))
-    spans = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.greatest("since", lo)), bucket(F.col("until") - 1))))
+    asked = counts.groupBy("entity").agg(F.collect_list("bucket").alias("asked"))  # as many as the log has buckets
+    first, last = bucket(F.col("since")), F.coalesce(bucket(F.col("until") - 1), F.lit(2**62))
+    spans = intervals.join(asked, "entity").withColumn("bucket", F.explode(F.filter("asked", lambda b: (b >= first) & (b <= last)))).drop("asked")
     spans = spans.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    met = rows.join(spans, ["entity", "bucket", "salt"]).where("t >= since and t < until")
+    met = rows.join(spans, ["entity", "bucket", "salt"]).where("t >= since and (until is null or t < until)")
     return met.select(F.col("id").alias("event_id"), "best")
 
 
