@@ -13,7 +13,7 @@ from clicklake.operators.evaluation import _SCORED, popular_scores, rank_metrics
 from clicklake.operators.lexical import article_index, history_queries, score_pairs, tokens
 from clicklake.operators.lexical import ORACLES as _LEXICAL
 from clicklake.operators.lists import UNIFORM_SQL, uniform
-from clicklake.operators.vectors import _UV, _V, _article_vectors, dot, knn_exact, norm, unit, user_vectors
+from clicklake.operators.vectors import _UV, _V, _article_vectors, best_read, dot, knn_exact, norm, unit, user_vectors
 from clicklake.operators.vectors import ORACLES as _VECTORS
 from clicklake.plans.cut import cut
 from clicklake.sources.logs import ARTICLES, HISTORY, PAIRS, articles, histories, history_clicks, impressions, pair_table
@@ -22,16 +22,14 @@ from clicklake.sources.logs import ARTICLES, HISTORY, PAIRS, articles, histories
 def matching_features(pairs: DataFrame, history: DataFrame, vectors: DataFrame, queries: DataFrame, weights: DataFrame, halflife: float = 10.0) -> DataFrame:
     """(user_idx, article_idx, bm25, emb_cos, emb_recent, emb_max) of the distinct pairs; 0 where user or article is unknown.
 
-    Vectors travel with pairs of known articles only, once for all three cosines, raw with their length beside them.
+    Vectors travel with pairs of known articles only, raw with their length beside them.
     """
     pairs = pairs.select("user_idx", "article_idx").where("user_idx is not null and article_idx is not null").distinct()
-    v = vectors.select("article_idx", unit(F.col("vector")).alias("v"))
     known = pairs.join(vectors.select("article_idx", "vector", F.greatest(norm(F.col("vector")), F.lit(1e-12)).alias("n")), "article_idx").select("user_idx", "article_idx", "vector", "n")
     cosine = lambda c: dot(F.col("vector"), F.col(c)) / F.col("n")
     mean = user_vectors(history, vectors).withColumnRenamed("vector", "mean")
     recent = user_vectors(history, vectors, halflife).withColumnRenamed("vector", "recent")
-    read = history_clicks(history).select("user_idx", "article_idx").distinct().join(v, "article_idx").select("user_idx", F.col("v").alias("h"))
-    best = known.join(read, "user_idx").groupBy("user_idx", "article_idx").agg(F.max(cosine("h")).alias("emb_max"))
+    best = best_read(pairs, history, vectors).withColumnRenamed("best", "emb_max")
     users = mean.join(recent, "user_idx", "full")
     cosines = known.join(users, "user_idx").select("user_idx", "article_idx", cosine("mean").alias("emb_cos"), cosine("recent").alias("emb_recent"))
     bm25 = score_pairs(pairs.select("user_idx", F.col("article_idx").alias("doc_id")), queries, weights).select("user_idx", F.col("doc_id").alias("article_idx"), F.col("score").alias("bm25"))

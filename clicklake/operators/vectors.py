@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,9 +58,9 @@ def _top(k: int, size: int):
                 qid, did = np.frombuffer(qi, np.int64), np.frombuffer(di, np.int64)
                 s = (q @ d.T).astype(np.float64)
                 n = min(k, len(did))
-                # ties at the edge are all kept; the global ranking settles them by id
+                # what rounds to the edge's five decimals is kept; the global ranking settles such ties by id
                 edge = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                i, j = np.nonzero(s >= edge - 1e-6)
+                i, j = np.nonzero(s >= edge - 1.1e-5)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(did[j]), pa.array(s[i, j])], ["query", "item", "score"])
 
     return run
@@ -102,32 +102,233 @@ def _ranked(met: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 10, size: int = 64, block: int = 2048) -> DataFrame:
-    """(query, item, score, rank): the k vectors of greatest cosine for every query; equal ones, to five decimals, by id.
+def _clean(df: DataFrame) -> DataFrame:
+    return df.where("id is not null and vector is not null").select("id", F.col("vector").cast("array<float>").alias("vector"))
+
+
+def _met_blocks(queries: DataFrame, vectors: DataFrame, size: int, block: int, vectors_packed=None) -> DataFrame:
+    """Each block of queries beside each block of vectors: (qi, qv, di, dv), packed ids and values.
 
-    `queries` and `vectors` have (id, vector). Both are packed into blocks of bounded size; each block of vectors meets each
-    block of queries by an equi-join on the query block's number, one matrix product gives a block's best, and the bests
-    are ranked. Null vectors and ids are left out.
+    A block of vectors is copied to so many tasks as there are blocks of queries: the number of every query block, which one
+    row holds, is opened beside it, and the pair is met by an equi-join on that number and a salt by block, so that neither
+    the blocks of one query block nor those of one vector block fill a single task.
     """
-    clean = lambda df: df.where("id is not null and vector is not null")
     tasks = queries.sparkSession.sparkContext.defaultParallelism
-    q = clean(queries).select("id", "vector", F.lit(0).alias("g")).repartition(1 if queries.isEmpty() else tasks).mapInArrow(_blocks(size, block, 1), "cell int, ids binary, vectors binary")
+    q = _clean(queries).withColumn("g", F.lit(0)).repartition(1 if queries.isEmpty() else tasks).mapInArrow(_blocks(size, block, 1), "cell int, ids binary, vectors binary")
     q = cut(q.select(F.monotonically_increasing_id().alias("qb"), F.col("ids").alias("qi"), F.col("vectors").alias("qv")), "queries")
-    d = clean(vectors).select("id", "vector", F.lit(0).alias("g")).repartition(tasks).mapInArrow(_blocks(size, block, 1), "cell int, ids binary, vectors binary")
+    d = _clean(vectors).withColumn("g", F.lit(0)).repartition(tasks).mapInArrow(vectors_packed or _blocks(size, block, 1), "cell int, ids binary, vectors binary")
     numbers = q.agg(F.collect_list("qb").alias("all"))  # one number a query block
-    met = d.crossJoin(F.broadcast(numbers)).select(F.explode("all").alias("qb"), F.col("ids").alias("di"), F.col("vectors").alias("dv")).join(q, "qb").select("qi", "qv", "di", "dv")
-    return _ranked(met.mapInArrow(_top(k, size), "query bigint, item bigint, score double"), k)
+    salts = 8
+    d = d.crossJoin(F.broadcast(numbers)).select(F.explode("all").alias("qb"), F.pmod(F.xxhash64("ids"), F.lit(salts)).alias("salt"), F.col("ids").alias("di"), F.col("vectors").alias("dv"))
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return d.join(q, ["qb", "salt"]).select("qi", "qv", "di", "dv")
+
+
+def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 10, size: int = 64, block: int = 2048) -> DataFrame:
+    """(query, item, score, rank): the k vectors of greatest cosine for every query; equal ones, to five decimals, by id.
+
+    `queries` and `vectors` have (id, vector). Both are packed into blocks of bounded size; one matrix product gives the best
+    of a pair of blocks, and the bests are ranked. Null vectors and ids are left out.
+    """
+    return _ranked(_met_blocks(queries, vectors, size, block).mapInArrow(_top(k, size), "query bigint, item bigint, score double"), k)
+
+
+def _rescored(near: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k best of (query, item) by exact cosine."""
+    v = _clean(vectors).select(F.col("id").alias("item"), F.col("vector").alias("iv"))
+    q = _clean(queries).select(F.col("id").alias("query"), F.col("vector").alias("qv"))
+    met = near.select("query", "item").distinct().join(v, "item").join(q, "query")
+
+    @F.pandas_udf("double")
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = np.stack(a.to_list()).astype(np.float64), np.stack(b.to_list()).astype(np.float64)
+        return pd.Series((x * y).sum(axis=1) / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1), 1e-12))
+
+    return _ranked(met.select("query", "item", cosine("iv", "qv").alias("score")), k)
+
+
+def _best_of(k: int, approximate) -> Callable:
+    """The `k` best of each query in a block, by approximate scores from packed codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qi, qv, di, dv in zip(*(b.column(c).to_pylist() for c in range(4))):
+                qid, did = np.frombuffer(qi, np.int64), np.frombuffer(di, np.int64)
+                s = approximate(np.frombuffer(qv, np.float32).reshape(len(qid), -1), dv, len(did))
+                n = min(k, len(did))
+                j = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(did[j].reshape(-1)), pa.array(np.take_along_axis(s, j, 1).reshape(-1).astype(np.float64))], ["query", "item", "score"])
+
+    return run
+
+
+def _nearest(met: DataFrame, again: int) -> DataFrame:
+    """The `again` best of each query over all blocks."""
+    w = W.partitionBy("query").orderBy(F.desc("score"), "item")
+    return met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= again)
+
+
+def knn_int8(queries: DataFrame, vectors: DataFrame, k: int = 10, again: int = 40, size: int = 64, block: int = 4096) -> DataFrame:
+    """The same by way of vectors scaled to 8-bit integers: a byte a dimension is moved and scanned, the `again` best are scored exactly."""
+    pack = _blocks(size, block, 1)
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pack(batches):
+            out = []
+            for v in b.column(2).to_pylist():
+                x = np.frombuffer(v, np.float32).reshape(-1, size)
+                top = np.maximum(np.abs(x).max(axis=1), 1e-12).astype(np.float32)
+                out.append(top.tobytes() + np.round(x / top[:, None] * 127).astype(np.int8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["cell", "ids", "vectors"])
 
-def fit_cells(vectors: DataFrame, cells: int = 32, sample: int = 20_000, rounds: int = 12, size: int = 64) -> np.ndarray:
-    """Centres of spherical k-means over at most `sample` vectors, those of the smallest hashes of their ids."""
-    rows = vectors.where("id is not null and vector is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toPandas()
+    def score(q: np.ndarray, codes: bytes, n: int) -> np.ndarray:
+        top = np.frombuffer(codes, np.float32, n)
+        return q @ np.frombuffer(codes, np.int8, offset=4 * n).reshape(n, size).astype(np.float32).T * top / 127
+
+    met = _met_blocks(queries, vectors, size, block, packed).mapInArrow(_best_of(again, score), "query bigint, item bigint, score double")
+    return _rescored(_nearest(met, again), queries, vectors, k)
+
+
+def fit_codes(vectors: DataFrame, parts: int = 16, words: int = 64, sample: int = 20_000, rounds: int = 10, size: int = 64) -> np.ndarray:
+    """(parts, words, size / parts): code words of each part of a unit vector, by k-means over at most `sample` vectors, those of the smallest hashes of their ids."""
+    x = _sample(vectors, sample, size)
+    wide, rng, out = size // parts, np.random.default_rng(7), np.zeros((parts, words, size // parts), np.float32)
+    for j in range(parts if len(x) else 0):
+        y = x[:, j * wide : (j + 1) * wide]
+        c = y[rng.choice(len(y), words, replace=len(y) < words)].copy()
+        for _ in range(rounds):
+            near = _nearest_word(y, c)
+            sums = np.stack([np.bincount(near, y[:, d], words) for d in range(wide)], axis=1)
+            n = np.bincount(near, minlength=words)[:, None]
+            c = np.where(n > 0, sums / np.maximum(n, 1), c).astype(np.float32)
+        out[j] = c
+    return out
+
+
+def _nearest_word(y: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c * c).sum(axis=1) - 2 * y @ c.T).argmin(axis=1)
+
+
+def knn_codes(queries: DataFrame, vectors: DataFrame, k: int = 10, again: int = 200, parts: int = 16, words: int = 64, size: int = 64, block: int = 16_384) -> DataFrame:
+    """The same by way of product codes, a byte for each of `parts` parts of a vector; the `again` best are scored exactly.
+
+    Every vector is coded; the code words come from a bounded sample (see fit_codes). A query's products with all words make
+    a table, and a vector's score is the sum of the table's entries at its codes.
+    """
+    book, wide, pack = fit_codes(vectors, parts, words, size=size), size // parts, _blocks(size, block, 1)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pack(batches):
+            out = []
+            for v in b.column(2).to_pylist():
+                x = np.frombuffer(v, np.float32).reshape(-1, size)
+                out.append(np.column_stack([_nearest_word(x[:, j * wide : (j + 1) * wide], book[j]) for j in range(parts)]).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["cell", "ids", "vectors"])
+
+    def score(q: np.ndarray, codes: bytes, n: int) -> np.ndarray:
+        at = np.frombuffer(codes, np.uint8).reshape(n, parts)
+        return sum((q[:, j * wide : (j + 1) * wide] @ book[j].T)[:, at[:, j]] for j in range(parts))
+
+    met = _met_blocks(queries, vectors, size, block, packed).mapInArrow(_best_of(again, score), "query bigint, item bigint, score double")
+    return _rescored(_nearest(met, again), queries, vectors, k)
+
+
+def _graph(x: np.ndarray, links: int) -> np.ndarray:
+    """(n, 2 x links): the nearest of each vector, half of them passed over if nearer to one taken before, and who has it so."""
+    n = len(x)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    wide = min(n - 1, 4 * links)
+    near = np.argsort(-s, axis=1)[:, :wide]
+    out = np.repeat(np.arange(n)[:, None], 2 * links, axis=1)
+    for i in range(n):
+        taken: list[int] = []
+        for j in near[i]:
+            if len(taken) == links:
+                break
+            if all(s[j, t] < s[i, j] for t in taken):
+                taken.append(int(j))
+        taken += [int(j) for j in near[i] if j not in taken][: links - len(taken)]
+        out[i, : len(taken)] = taken
+    held = np.full(n, links)
+    for i in range(n):
+        for j in out[i, :links]:
+            if held[j] < 2 * links and i not in out[j, : held[j]]:
+                out[j, held[j]] = i
+                held[j] += 1
+    return out
+
+
+def _walk(q: np.ndarray, x: np.ndarray, graph: np.ndarray, beam: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the `beam` best vectors met on walks over the graph, all queries a step at a time, with their scores."""
+    rows = np.arange(len(q))[:, None]
+    at = np.unique(np.linspace(0, len(x) - 1, min(beam, len(x))).astype(int))
+    found = np.repeat(at[None, :], len(q), axis=0)
+    score = q @ x[at].T
+    seen = np.zeros((len(q), len(x)), bool)
+    seen[:, at] = True
+    opened = np.zeros(found.shape, bool)
+    for _ in range(steps):
+        open_score = np.where(opened, -np.inf, score)
+        pick = np.argpartition(-open_score, min(3, found.shape[1] - 1), axis=1)[:, :4]
+        if not np.isfinite(np.take_along_axis(open_score, pick, 1)).any():
+            break
+        fresh = np.isfinite(np.take_along_axis(open_score, pick, 1))
+        opened[rows, pick] = True
+        next_ = graph[found[rows, pick]]
+        next_ = np.where(fresh[:, :, None], next_, found[rows, pick][:, :, None]).reshape(len(q), -1)
+        new = ~seen[rows, next_]
+        order = np.sort(next_, axis=1)
+        first = np.zeros_like(new)
+        idx = np.argsort(next_, axis=1, kind="stable")
+        np.put_along_axis(first, idx, np.concatenate([np.ones((len(q), 1), bool), order[:, 1:] != order[:, :-1]], axis=1), 1)
+        new &= first
+        seen[rows, next_] = True
+        s = np.where(new, np.einsum("qd,qnd->qn", q, x[next_]), -np.inf)
+        every, scores, done = np.hstack([found, next_]), np.hstack([score, s]), np.hstack([opened, ~new])
+        best = np.argpartition(-scores, beam - 1, axis=1)[:, :beam] if scores.shape[1] > beam else np.repeat(np.arange(scores.shape[1])[None], len(q), 0)
+        found, score, opened = every[rows, best], scores[rows, best], done[rows, best]
+    return found, score
+
+
+def knn_graph(queries: DataFrame, vectors: DataFrame, k: int = 10, links: int = 12, beam: int = 64, steps: int = 40, size: int = 64, block: int = 2048) -> DataFrame:
+    """The same by walks over navigable graphs, one a block of vectors: a node links to near ones in different directions."""
+    pack = _blocks(size, block, 1)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pack(batches):
+            out = [v + _graph(x, links).astype(np.int32).tobytes() for v in b.column(2).to_pylist() for x in [np.frombuffer(v, np.float32).reshape(-1, size)]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["cell", "ids", "vectors"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qi, qv, di, dv in zip(*(b.column(c).to_pylist() for c in range(4))):
+                qid, did = np.frombuffer(qi, np.int64), np.frombuffer(di, np.int64)
+                x, graph = np.frombuffer(dv, np.float32, len(did) * size).reshape(-1, size), np.frombuffer(dv, np.int32, offset=4 * len(did) * size).reshape(len(did), -1)
+                for i in range(0, len(qid), 256):
+                    found, score = _walk(np.frombuffer(qv, np.float32).reshape(-1, size)[i : i + 256], x, graph, max(beam, k), steps)
+                    i_, j = np.nonzero(np.isfinite(score))
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[i : i + 256][i_]), pa.array(did[found[i_, j]]), pa.array(score[i_, j].astype(np.float64))], ["query", "item", "score"])
+
+    return _ranked(_met_blocks(queries, vectors, size, block, packed).mapInArrow(run, "query bigint, item bigint, score double"), k)
+
+
+def _sample(vectors: DataFrame, most: int, size: int) -> np.ndarray:
+    """Unit vectors of at most `most` rows, those of the smallest hashes of their ids."""
+    rows = vectors.where("id is not null and vector is not null").orderBy(F.xxhash64("id"), "id").limit(most).select("vector").toPandas()
     x = np.array(rows["vector"].tolist(), np.float32).reshape(-1, size)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def fit_cells(vectors: DataFrame, cells: int | None = None, sample: int = 20_000, rounds: int = 12, size: int = 64) -> np.ndarray:
+    """Centres of spherical k-means over at most `sample` vectors; about the square root of all vectors in number, unless given."""
+    x = _sample(vectors, sample, size)
+    cells = cells or max(1, round(vectors.count() ** 0.5))
     c = x[np.linspace(0, max(len(x) - 1, 0), min(cells, len(x))).astype(int)] if len(x) else np.zeros((1, size), np.float32)
     for _ in range(rounds if len(x) else 0):
         near = (x @ c.T).argmax(axis=1)
-        c = np.array([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))], np.float32)
+        sums = np.stack([np.bincount(near, x[:, d], len(c)) for d in range(size)], axis=1)
+        c = np.where(np.bincount(near, minlength=len(c))[:, None] > 0, sums, c).astype(np.float32)
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c
 
@@ -144,16 +345,17 @@ def _cells(centres: np.ndarray, probe: int):
     return run
 
 
-def knn_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int = 32, probe: int = 24, size: int = 64, block: int = 1024) -> DataFrame:
-    """The same from the `probe` cells nearest to each query; every vector is indexed in the cell of its nearest centre.
+def knn_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int | None = None, share: float = 0.75, size: int = 64, block: int = 1024) -> DataFrame:
+    """The same from the nearest cells of each query, this share of them; every vector is indexed in the cell of its nearest centre.
 
-    Centres come from a bounded sample (see fit_cells). A crowded cell is many blocks, so no task holds a whole cell.
+    Centres come from a bounded sample (see fit_cells). A crowded cell is many blocks, so no task holds a whole cell. The
+    default share suits vectors without clusters, where neighbours lie in any cell; clustered ones need far less.
     """
     centres = fit_cells(vectors, cells, size=size)
+    probe = max(1, round(share * len(centres)))
     schema = "id bigint, vector array<float>, cell int"
-    clean = lambda df: df.where("id is not null and vector is not null").select("id", F.col("vector").cast("array<float>").alias("vector"))
-    q = clean(queries).mapInArrow(_cells(centres, probe), schema).repartition("cell").mapInArrow(_blocks(size, block, cells), "cell int, ids binary, vectors binary")
-    d = clean(vectors).mapInArrow(_cells(centres, 1), schema).mapInArrow(_blocks(size, block, cells), "cell int, ids binary, vectors binary")
+    q = _clean(queries).mapInArrow(_cells(centres, probe), schema).repartition("cell").mapInArrow(_blocks(size, block, len(centres)), "cell int, ids binary, vectors binary")
+    d = _clean(vectors).mapInArrow(_cells(centres, 1), schema).mapInArrow(_blocks(size, block, len(centres)), "cell int, ids binary, vectors binary")
     met = q.toDF("cell", "qi", "qv").join(d.toDF("cell", "di", "dv"), "cell").select("qi", "qv", "di", "dv")
     return _ranked(met.mapInArrow(_top(k, size), "query bigint, item bigint, score double"), k)
 
@@ -219,19 +421,20 @@ def user_vectors_q(spark, folder):
     return got.select("user_idx", F.round(F.col("vector")[0], 5).alias("first"), F.round(F.col("vector")[63], 5).alias("last"), F.round(norm(F.col("vector")), 5).alias("length"))
 
 
-def knn_exact_q(spark, folder):
-    return knn_exact(_queries(spark, folder), _vectors(spark, folder)).withColumn("score", F.round("score", 4))
-
+def _searched(search):
+    def query(spark, folder):
+        return search(_queries(spark, folder), _vectors(spark, folder)).withColumn("score", F.round("score", 4))
 
-def knn_cells_q(spark, folder):
-    return knn_cells(_queries(spark, folder), _vectors(spark, folder)).withColumn("score", F.round("score", 4))
+    return query
 
 
 def ann_recall_q(spark, folder):
-    exact = cut(knn_exact(_queries(spark, folder), _vectors(spark, folder)), "exact")
-    every = None
-    for probe in (8, 16, 24):
-        one = recall_by_score(knn_cells(_queries(spark, folder), _vectors(spark, folder), probe=probe), exact).select(F.lit(probe).alias("probe"), F.round("recall", 6).alias("recall"), "queries")
+    """Recall at ten of every kind of approximate search against the exact one, by score, with what a vector takes in bytes."""
+    q, v = _queries(spark, folder), _vectors(spark, folder)
+    exact, every = cut(knn_exact(q, v), "exact"), None
+    kinds = (("cells, a quarter", 256, lambda: knn_cells(q, v, share=0.25)), ("cells, three quarters", 256, lambda: knn_cells(q, v)), ("8-bit integers", 64, lambda: knn_int8(q, v)), ("product codes", 16, lambda: knn_codes(q, v)), ("graph", 352, lambda: knn_graph(q, v)))
+    for kind, size, search in kinds:
+        one = recall_by_score(search(), exact).select(F.lit(kind).alias("kind"), F.lit(size).alias("bytes"), F.round("recall", 6).alias("recall"), "queries")
         every = one if every is None else every.unionByName(one)
     return every
 
@@ -244,13 +447,39 @@ def emb_cos_q(spark, folder):
     return met.select("user_idx", "article_idx", F.round(F.coalesce(dot(F.col("uv"), unit(F.col("vector"))), F.lit(0.0)), 5).alias("cos"))
 
 
+def best_read(shown: DataFrame, history: DataFrame, vectors: DataFrame, size: int = 64, block: int = 512) -> DataFrame:
+    """(user_idx, article_idx, best): of each shown pair of known articles the greatest cosine to an article the user read.
+
+    A user's reads are packed into matrices of at most `block` vectors beside which that user's shown articles are packed
+    likewise; a product of two matrices gives all cosines of a pair of blocks, and only the best ones are shuffled on.
+    """
+    v = _clean(vectors.select(F.col("article_idx").alias("id"), "vector")).withColumnRenamed("id", "article_idx")
+    read = history_clicks(history).select("user_idx", "article_idx").distinct().join(v, "article_idx")
+    asked = shown.join(v, "article_idx").join(read.select("user_idx").distinct(), "user_idx", "left_semi")
+    part = lambda df: df.withColumn("b", F.floor((F.row_number().over(W.partitionBy("user_idx").orderBy("article_idx")) - 1) / block))
+    packed = lambda df, i, m: part(df).groupBy("user_idx", "b").agg(F.collect_list("article_idx").alias(i), F.flatten(F.collect_list("vector")).alias(m)).drop("b")
+    met = packed(asked, "ids", "x").join(packed(read, "own", "y").drop("own"), "user_idx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x_at, y_at, i_at = (b.column(b.schema.get_field_index(c)) for c in ("x", "y", "ids"))
+            users, ids, best = [], [], []
+            for r, user in enumerate(b.column(0).to_pylist()):
+                x, y = (c[r].values.to_numpy().astype(np.float64).reshape(-1, size) for c in (x_at, y_at))
+                x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+                best.append((x @ y.T).max(axis=1))
+                ids.append(i_at[r].values.to_numpy())
+                users.append(np.full(len(x), user, np.int64))
+            if users:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (users, ids, best)], ["user_idx", "article_idx", "best"])
+
+    return met.mapInArrow(run, "user_idx bigint, article_idx bigint, best double").groupBy("user_idx", "article_idx").agg(F.max("best").alias("best"))
+
+
 def emb_max_q(spark, folder):
     """The greatest cosine of each shown article to an article of the user's history."""
-    v = _article_vectors(spark, folder).select("article_idx", unit(F.col("vector")).alias("v"))
     shown = pair_table(impressions(spark, folder)).select("user_idx", "article_idx").where("user_idx is not null").distinct()
-    read = history_clicks(histories(spark, folder)).select("user_idx", "article_idx").distinct().join(v, "article_idx").select("user_idx", F.col("v").alias("h"))
-    met = shown.join(v, "article_idx").join(read, "user_idx")
-    return met.groupBy("user_idx", "article_idx").agg(F.round(F.max(dot(F.col("v"), F.col("h"))), 5).alias("best"))
+    return best_read(shown, histories(spark, folder), _article_vectors(spark, folder)).withColumn("best", F.round("best", 5))
 
 
 def multi_interest_q(spark, folder):
@@ -264,11 +493,13 @@ def multi_interest_q(spark, folder):
 
 
 def threshold_cut_q(spark, folder):
-    """Hits kept under a global threshold and under a share of each query's best."""
-    got = knn_exact(_queries(spark, folder), _vectors(spark, folder), 20)
+    """Hits kept under a global threshold and under a share of each query's best; beside it the control, a fixed number of hits
+    for every query that keeps as many in all as the threshold does."""
+    got = cut(knn_exact(_queries(spark, folder), _vectors(spark, folder), 20), "hits")
     top = F.first("score").over(W.partitionBy("query").orderBy("rank"))
     rows = got.withColumn("relative", F.col("score") >= 0.8 * top)
-    return rows.groupBy("query").agg(F.count_if(F.col("score") >= 0.3).alias("over_tau"), F.count_if("relative").alias("over_share"))
+    fixed = got.agg(F.round(F.count_if(F.col("score") >= 0.3) / F.count_distinct("query")).cast("int").alias("fixed"))
+    return rows.crossJoin(F.broadcast(fixed)).groupBy("query").agg(F.count_if(F.col("score") >= 0.3).alias("over_tau"), F.count_if("relative").alias("over_share"), F.count_if(F.col("rank") <= F.col("fixed")).alias("fixed"))
 
 
 def quantise_q(spark, folder):
@@ -292,7 +523,7 @@ def align_embeddings_q(spark, folder):
 
 
 QUERIES = {
-    "l2_normalise": l2_normalise_q, "user_vectors": user_vectors_q, "knn_exact": knn_exact_q, "knn_cells": knn_cells_q, "ann_recall": ann_recall_q, "emb_cos": emb_cos_q, "emb_max": emb_max_q, "multi_interest": multi_interest_q,
+    "l2_normalise": l2_normalise_q, "user_vectors": user_vectors_q, "knn_exact": _searched(knn_exact), "knn_cells": _searched(knn_cells), "knn_int8": _searched(knn_int8), "knn_codes": _searched(knn_codes), "knn_graph": _searched(knn_graph), "ann_recall": ann_recall_q, "emb_cos": emb_cos_q, "emb_max": emb_max_q, "multi_interest": multi_interest_q,
     "threshold_cut": threshold_cut_q, "quantise": quantise_q, "jl_projection": jl_projection_q, "align_embeddings": align_embeddings_q,
 }
 
@@ -305,7 +536,7 @@ ORACLES = {
     "l2_normalise": f"WITH {_V} SELECT vec_id AS id, CAST(n > 0 AS DOUBLE) AS length, round(e[1] / greatest(n, 1e-12), 6) AS first, round(list_max(e) / greatest(n, 1e-12), 6) AS greatest FROM v",
     "user_vectors": f"WITH {_UV} SELECT user_idx, round(u[1] / ul, 5) AS first, round(u[64] / ul, 5) AS last, CAST(1 AS DOUBLE) AS length FROM uv",
     "knn_exact": _KNN + " SELECT query, item, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10",
-    "threshold_cut": _KNN + ", t AS (SELECT *, first_value(score) OVER (PARTITION BY query ORDER BY rank) AS top FROM k WHERE rank <= 20) SELECT query, count(*) FILTER (score >= 0.3) AS over_tau, count(*) FILTER (score >= 0.8 * top) AS over_share FROM t GROUP BY 1",
+    "threshold_cut": _KNN + ", t AS (SELECT *, first_value(score) OVER (PARTITION BY query ORDER BY rank) AS top FROM k WHERE rank <= 20) SELECT query, count(*) FILTER (score >= 0.3) AS over_tau, count(*) FILTER (score >= 0.8 * top) AS over_share, count(*) FILTER (rank <= (SELECT CAST(round(count(*) FILTER (score >= 0.3) / count(DISTINCT query)) AS INT) FROM t)) AS fixed FROM t GROUP BY 1",
     "emb_cos": f"WITH {_UV}, sh AS (SELECT DISTINCT user_idx, unnest(candidates) AS article_idx FROM impressions WHERE user_idx IS NOT NULL) SELECT sh.user_idx, sh.article_idx, round(coalesce(list_cosine_similarity(u, e), 0), 5) AS cos FROM sh LEFT JOIN uv ON uv.user_idx = sh.user_idx LEFT JOIN v ON vec_id = sh.article_idx",
     "emb_max": f"""WITH {HISTORY}, {_V}, sh AS (SELECT DISTINCT user_idx, unnest(candidates) AS article_idx FROM impressions WHERE user_idx IS NOT NULL), rd AS (SELECT DISTINCT user_idx, article_idx FROM hist_clicks)
         SELECT sh.user_idx, sh.article_idx, round(max(list_cosine_similarity(a.e, b.e)), 5) AS best FROM sh JOIN v a ON a.vec_id = sh.article_idx JOIN rd ON rd.user_idx = sh.user_idx JOIN v b ON b.vec_id = rd.article_idx GROUP BY 1, 2""",
