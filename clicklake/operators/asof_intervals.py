@@ -54,8 +54,9 @@ def as_known(events: DataFrame, entity: str, time: str, event_id: str, intervals
 
 def feature_intervals(features: DataFrame) -> DataFrame:
     """Validity of the article counters: known when both computed and loaded; best by computed, loaded, id."""
-    features = features.select("article_idx", "feat_id", iso_to_utc(F.col("computed_through")).alias("computed"), "loaded_time")
-    features = features.where("computed is not null").withColumn("loaded", F.coalesce("loaded_time", "computed"))
+    # a generated column: filters on it stay above the parse, which would else be repeated in each of them
+    computed = F.explode(F.array(iso_to_utc(F.col("computed_through")))).alias("computed")
+    features = features.select("article_idx", "feat_id", "loaded_time", computed).where("computed is not null").withColumn("loaded", F.coalesce("loaded_time", "computed"))
     return validity(features, "article_idx", F.greatest("computed", "loaded"), F.struct("computed", "loaded", "feat_id"))
 
 
