@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clicklake.functions.stems import danish, danish_sql
 from clicklake.plans.cut import cut
-from clicklake.sources.logs import ARTICLES, HISTORY, articles, histories, history_clicks, impressions, pair_table
+from clicklake.sources.logs import ARTICLES, HISTORY, IMP, TEST_FROM, VAL_FROM, articles, at, histories, history_clicks, impressions, pair_table
 
 #: The stop words by language; any other language takes the English ones.
 STOPWORDS = {
@@ -32,11 +34,30 @@ def tokens(docs: DataFrame, doc_id: str, text: Column, lang: Column, stop: bool
     return rows.select("doc_id", "term")
 
 
+def stems(terms: DataFrame) -> DataFrame:
+    """(term, stem) of each distinct Danish term, stemmed once."""
+
+    @F.pandas_udf("string")
+    def stem(words: pd.Series) -> pd.Series:
+        return words.map(danish)
+
+    return terms.select("term").distinct().withColumn("stem", stem("term"))
+
+
+def stemmed(rows: DataFrame, docs: DataFrame, doc_id: str, lang: Column) -> DataFrame:
+    """Postings (doc_id, term, tf) with the terms of Danish documents replaced by their stems, counts of one stem added up."""
+    danish_ = docs.select(F.col(doc_id).alias("doc_id"), (F.lower(lang) == "da").alias("da")).distinct()
+    rows = cut(rows.join(danish_, "doc_id").select("doc_id", "term", "tf", F.coalesce("da", F.lit(False)).alias("da")), "unstemmed")
+    met = rows.join(stems(rows.where("da")), "term", "left")
+    return met.groupBy("doc_id", F.when(F.col("da"), F.coalesce("stem", "term")).otherwise(F.col("term")).alias("term")).agg(F.sum("tf").alias("tf"))
+
+
 class Index:
     """Postings with everything BM25 asks of them; each table is one aggregation over the one before."""
 
-    def __init__(self, docs: DataFrame, doc_id: str, text: Column, lang: Column, stop: bool = True):
-        self.postings = cut(tokens(docs, doc_id, text, lang, stop).groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "postings")
+    def __init__(self, docs: DataFrame, doc_id: str, text: Column, lang: Column, stop: bool = True, stem: bool = False):
+        rows = tokens(docs, doc_id, text, lang, stop).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+        self.postings = cut(stemmed(rows, docs, doc_id, lang) if stem else rows, "postings")
         self.lengths = docs.select(F.col(doc_id).alias("doc_id")).distinct().join(self.postings.groupBy("doc_id").agg(F.sum("tf").alias("dl")), "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
         self.corpus = self.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
         self.vocabulary = self.postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.corpus)).select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
@@ -82,6 +103,42 @@ def search(queries: DataFrame, weights: DataFrame, k: int = 10, universe: DataFr
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def best_partial(queries: DataFrame, weights: DataFrame, bounds: DataFrame, k: int, seeds: int) -> DataFrame:
+    """(user_idx, edge): a score that k documents of each query reach by its `seeds` terms of greatest bound alone; less than k: no row."""
+    top = bounds.groupBy("term").agg(F.max("top").alias("top"))
+    order = F.row_number().over(W.partitionBy("user_idx").orderBy(F.desc(F.col("q") * F.col("top")), "term"))
+    few = queries.join(top, "term").withColumn("r", order).where(F.col("r") <= seeds).select("user_idx", "term", "q")
+    part = few.join(weights, "term").groupBy("user_idx", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("s"))
+    place = F.row_number().over(W.partitionBy("user_idx").orderBy(F.desc("s"), "doc_id"))
+    return part.withColumn("r", place).where(F.col("r") == k).select("user_idx", F.col("s").alias("edge"))
+
+
+def spans_to_open(queries: DataFrame, weights: DataFrame, k: int, span: int, seeds: int = 3) -> DataFrame:
+    """(user_idx, span, n): the spans of document ids that may hold one of a query's k best, and the postings they have for it.
+
+    The bound of a span is the sum over the query's terms of weight x the largest document weight there. A span is passed
+    over if that is under what k documents reach by a few terms alone.
+    """
+    bounds = cut(weights.groupBy("term", F.floor(F.col("doc_id") / span).alias("span")).agg(F.max("w").alias("top"), F.count("*").alias("n")), "bounds")
+    edge = best_partial(queries, weights, bounds, k, seeds)
+    most = queries.join(bounds, "term").groupBy("user_idx", "span").agg(F.sum(F.col("q") * F.col("top")).alias("bound"), F.sum("n").alias("n"))
+    return most.join(edge, "user_idx", "left").select("user_idx", "span", "n", (F.col("edge").isNull() | (F.col("bound") >= F.col("edge") - 1e-6)).alias("open"))
+
+
+def search_pruned(queries: DataFrame, weights: DataFrame, k: int = 10, span: int = 1 << 16, seeds: int = 3) -> DataFrame:
+    """The same as `search`, rank for rank, without the scores of documents in spans that can't reach the k best.
+
+    A frequent term is split by span, so its postings meet its queries in as many tasks as it has spans.
+    """
+    queries = cut(queries, "queries")
+    weights = cut(weights.select("doc_id", "term", "w", F.floor(F.col("doc_id") / span).alias("span")), "weights")
+    opened = spans_to_open(queries, weights, k, span, seeds).where("open").select("user_idx", "span")
+    asked = queries.join(opened, "user_idx")
+    scores = asked.join(weights, ["term", "span"]).groupBy("user_idx", "doc_id").agg(F.round(F.sum(F.col("q") * F.col("w")), 9).alias("score"))
+    rank = F.row_number().over(W.partitionBy("user_idx").orderBy(F.desc("score"), "doc_id"))
+    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def score_pairs(pairs: DataFrame, queries: DataFrame, weights: DataFrame) -> DataFrame:
     """(user_idx, doc_id, score) of given pairs only, 0 where no term is shared: the work follows the pairs, not the corpus.
 
@@ -162,15 +219,63 @@ def explain_q(spark, folder):
     return explain(search(queries, i.weights(), 3), queries, i.weights())
 
 
+K1S, BS = (0.6, 0.9, 1.2, 1.5), (0.3, 0.5, 0.75, 0.9)
+
+
 def grid_q(spark, folder):
-    """Mean score of each user's first hit over a grid of k1 and b: the parameters are rows, so one plan does it all."""
+    """Recall at 100 over a grid of k1 and b on the validation split, the best one marked, with its recall on test; queries are the impressions whose row is divisible by 50.
+
+    The parameters are rows beside the postings of the queries' terms, so one plan scores them all. Recall is that of the
+    clicked articles of an impression, averaged over impressions with a click.
+    """
     i = article_index(spark, folder)
-    queries = history_queries(_users(spark, folder), i.postings)
+    asked = impressions(spark, folder, "src_row % 50 = 0").where(F.col("time") >= at(VAL_FROM))
+    queries = history_queries(histories(spark, folder).join(asked.select("user_idx").distinct(), "user_idx", "left_semi"), i.postings)
+    rows = queries.join(i.postings, "term").join(i.lengths, "doc_id").join(i.vocabulary, "term").crossJoin(F.broadcast(i.corpus))
+    grid = F.explode(F.array(*(F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b")) for k1 in K1S for b in BS))).alias("p")
+    rows = rows.select("user_idx", "doc_id", "q", "tf", "idf", (F.col("dl") / F.greatest("avgdl", F.lit(1e-6))).alias("long"), grid).select("*", "p.*")
+    w = F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("long"))) * F.col("idf")
+    scores = rows.groupBy("k1", "b", "user_idx", "doc_id").agg(F.round(F.sum(F.col("q") * w), 9).alias("score"))
+    place = F.row_number().over(W.partitionBy("k1", "b", "user_idx").orderBy(F.desc("score"), "doc_id"))
+    top = scores.withColumn("r", place).where("r <= 100").select("k1", "b", "user_idx", F.col("doc_id").alias("article_idx"))
+    asked = asked.join(queries.select("user_idx").distinct(), "user_idx", "left_semi")
+    clicked = asked.select(F.col("src_row").alias("imp"), "user_idx", (F.col("time") >= at(TEST_FROM)).alias("test"), F.explode(F.array_distinct("clicked")).alias("article_idx")).where("article_idx is not null")
+    points = spark.createDataFrame([(k1, b) for k1 in K1S for b in BS], "k1 double, b double")
+    met = clicked.crossJoin(F.broadcast(points)).join(top.withColumn("hit", F.lit(1.0)), ["k1", "b", "user_idx", "article_idx"], "left")
+    each = met.groupBy("k1", "b", "imp", "test").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
+    got = each.groupBy("k1", "b").agg(F.round(F.avg(F.when(~F.col("test"), F.col("recall"))), 6).alias("recall_val"), F.round(F.avg(F.when(F.col("test"), F.col("recall"))), 6).alias("recall_test"))
+    first = F.row_number().over(W.orderBy(F.desc_nulls_last("recall_val"), "k1", "b")) == 1  # a row a point
+    return got.withColumn("best", first).select("k1", "b", "recall_val", "best", F.when(F.col("best"), F.col("recall_test")).alias("recall_test"))
+
+
+def stem_vocab_q(spark, folder):
+    """Each distinct token of Danish articles once, with its stem."""
+    rows = tokens(articles(spark, folder).where("lower(lang) = 'da'"), "idx", F.expr("concat_ws(' ', title, abstract)"), F.col("lang"))
+    return stems(rows)
+
+
+def stemmed_postings_q(spark, folder):
+    """Document frequency of every term when Danish words are stemmed."""
+    docs = articles(spark, folder)
+    return Index(docs, "idx", F.expr("concat_ws(' ', title, abstract)"), F.col("lang"), stem=True).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def wand_q(spark, folder):
+    """The ten best articles of the stated query set by bounds of spans of 256 ids."""
+    i = article_index(spark, folder)
+    return search_pruned(history_queries(_users(spark, folder), i.postings), i.weights(), 10, 256).withColumn("score", F.round("score", 4))
+
+
+def wand_work_q(spark, folder):
+    """Postings that a full search of the stated query set reads, and those in the spans the bounds leave, over the first quarter, half and all of the ids."""
+    i = article_index(spark, folder)
+    queries, weights = cut(history_queries(_users(spark, folder), i.postings), "queries"), cut(i.weights(), "weights")
+    top = weights.agg(F.max("doc_id")).first()[0] or 0
     every = None
-    for k1 in (0.9, 1.5):
-        for b in (0.3, 0.75):
-            one = search(queries, i.weights(k1, b), 1).agg(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.round(F.avg("score"), 4).alias("mean_top"), F.count("*").alias("users"))
-            every = one if every is None else every.unionByName(one)
+    for share in (0.25, 0.5, 1.0):
+        got = spans_to_open(queries, weights.where(F.col("doc_id") <= share * top), 10, 256)
+        one = got.agg(F.lit(share).alias("share"), F.sum("n").alias("touched"), F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("opened"), F.count("*").alias("spans"), F.count_if("open").alias("open_spans"))
+        every = one if every is None else every.unionByName(one)
     return every
 
 
@@ -186,6 +291,7 @@ def field_variants_q(spark, folder):
 QUERIES = {
     "tokenize": tokenize_q, "postings": postings_q, "df_idf": df_idf_q, "bm25_weight": bm25_weight_q, "bm25l": bm25l_q, "query_from_history": query_from_history_q, "decayed_query": decayed_query_q,
     "query_saturation": query_saturation_q, "bm25_search": bm25_search_q, "score_pairs": score_pairs_q, "explain": explain_q, "grid": grid_q, "field_variants": field_variants_q,
+    "stem_vocab": stem_vocab_q, "stemmed_postings": stemmed_postings_q, "wand": wand_q, "wand_scale": wand_work_q,
 }
 
 
@@ -222,8 +328,18 @@ ORACLES = {
         SELECT ps.user_idx, ps.doc_id, round(coalesce(sum(q * w), 0), 5) AS score FROM ps LEFT JOIN wt ON wt.doc_id = ps.doc_id LEFT JOIN qq ON qq.user_idx = ps.user_idx AND qq.term = wt.term GROUP BY 1, 2""",
     "explain": _INDEX + _QUERY + ", " + _weighted("wt") + _SEARCH + """, pt AS (SELECT r.user_idx, r.doc_id, q50.term, round(q * w, 6) AS part FROM ranked r JOIN wt ON wt.doc_id = r.doc_id JOIN q50 ON q50.user_idx = r.user_idx AND q50.term = wt.term WHERE rank <= 3)
         SELECT user_idx, doc_id, term, part, CAST(row_number() OVER (PARTITION BY user_idx, doc_id ORDER BY part DESC, term) AS INT) AS rank FROM pt QUALIFY rank <= 5""",
-    "grid": _INDEX + _QUERY + "".join(f", {_weighted(f'w{i}', k1, b)}, s{i} AS (SELECT user_idx, doc_id, round(sum(q * w), 9) AS s FROM q50 JOIN w{i} ON w{i}.term = q50.term GROUP BY 1, 2)" for i, (k1, b) in enumerate([(0.9, 0.3), (0.9, 0.75), (1.5, 0.3), (1.5, 0.75)]))
-    + " " + " UNION ALL ".join(f"SELECT CAST({k1} AS DOUBLE) AS k1, CAST({b} AS DOUBLE) AS b, round(avg(m), 4) AS mean_top, count(*) AS users FROM (SELECT max(s) AS m FROM s{i} GROUP BY user_idx)" for i, (k1, b) in enumerate([(0.9, 0.3), (0.9, 0.75), (1.5, 0.3), (1.5, 0.75)])),
+    "grid": _INDEX + _QUERY + f""", {IMP}, g(k1) AS (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in K1S)}])), h(b) AS (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in BS)}])),
+        ask AS (SELECT * FROM imp WHERE src_row % 50 = 0 AND time >= TIMESTAMP '{VAL_FROM}'), qa AS (SELECT * FROM qq WHERE user_idx IN (SELECT user_idx FROM ask)),
+        sc AS (SELECT k1, b, user_idx, p.doc_id, round(sum(q * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / greatest(avgdl, 1e-6))) * idf)), 9) AS s FROM qa JOIN post p ON p.term = qa.term JOIN dls ON dls.doc_id = p.doc_id JOIN voc ON voc.term = p.term, cp, g, h GROUP BY ALL),
+        tp AS (SELECT k1, b, user_idx, doc_id FROM sc QUALIFY row_number() OVER (PARTITION BY k1, b, user_idx ORDER BY s DESC, doc_id) <= 100),
+        cl AS (SELECT DISTINCT src_row, user_idx, time >= TIMESTAMP '{TEST_FROM}' AS test, unnest(clicked) AS a FROM ask WHERE user_idx IN (SELECT user_idx FROM qa)),
+        e AS (SELECT g.k1, h.b, src_row, test, avg(CAST(tp.doc_id IS NOT NULL AS INT)) AS r FROM cl CROSS JOIN g CROSS JOIN h LEFT JOIN tp ON tp.k1 = g.k1 AND tp.b = h.b AND tp.user_idx = cl.user_idx AND tp.doc_id = cl.a WHERE a IS NOT NULL GROUP BY ALL),
+        t AS (SELECT k1, b, round(avg(r) FILTER (NOT test), 6) AS recall_val, round(avg(r) FILTER (test), 6) AS recall_test FROM e GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (ORDER BY recall_val DESC NULLS LAST, k1, b) = 1 AS best FROM t)
+        SELECT k1, b, recall_val, best, CASE WHEN best THEN recall_test END AS recall_test FROM f""",
+    "stem_vocab": f"WITH {ARTICLES}, {_words('tok', "concat_ws(' ', title, abstract)")}, d AS (SELECT DISTINCT term FROM tok JOIN art ON idx = doc_id WHERE lower(lang) = 'da') SELECT term, {danish_sql('term')} AS stem FROM d",
+    "stemmed_postings": f"""WITH {ARTICLES}, {_words('tok', "concat_ws(' ', title, abstract)")}, d AS (SELECT DISTINCT term FROM tok JOIN art ON idx = doc_id WHERE lower(lang) = 'da'), st AS (SELECT term, {danish_sql('term')} AS stem FROM d),
+        s AS (SELECT doc_id, CASE WHEN lower(lang) = 'da' THEN stem ELSE tok.term END AS term FROM tok JOIN art ON idx = doc_id LEFT JOIN st ON st.term = tok.term) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM s GROUP BY 1""",
+    "wand": _INDEX + _QUERY + ", " + _weighted("wt") + _SEARCH + " SELECT user_idx, doc_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10",
     "field_variants": f"WITH {ARTICLES}, {_words('t1', 'title')}, " + ", ".join(_words(n, t, s) for n, t, s in (("t2", "concat_ws(' ', title, abstract)", True), ("t3", "concat_ws(' ', title, title, abstract)", True), ("t4", "concat_ws(' ', title, abstract, body)", False)))
     + " " + " UNION ALL ".join(f"SELECT '{v}' AS variant, count(DISTINCT (doc_id, term)) AS postings, count(*) AS occurrences, count(DISTINCT term) AS terms FROM {n}" for n, v in (("t1", "title"), ("t2", "title+abstract"), ("t3", "title x2 + abstract"), ("t4", "all, no stop words"))),
 }

@@ -151,15 +151,10 @@ def stopwords_q(spark, folder):
     return count(False).select(F.lit("all").alias("tokens"), "n").unionByName(count(True).select(F.lit("kept").alias("tokens"), "n"))
 
 
-def stem_vocab_q(spark, folder):
-    """Each distinct token once, with its stem: the token itself, as no stemmer is installed."""
-    return article_index(spark, folder).vocabulary.select("term", F.col("term").alias("stem"))
-
-
 QUERIES = {
     "matching_features": matching_features_q, "emb_recent": emb_recent_q, "dense_matmul": dense_matmul_q, "slates": slates_q, "interests": interests_q, "coverage_ci": coverage_ci_q, "tie_jitter": tie_jitter_q, "mrr": _metric("mrr"),
     "mrr_first": _metric("mrr_first"), "ndcg_at_k": _metric("ndcg_5", "ndcg_10"), "hit_at_k": _metric("hit_5", "hit_10"), "has_abstract": has_abstract_q, "position_frac": position_frac_q, "list_contains": list_contains_q,
-    "stopwords": stopwords_q, "stem_vocab": stem_vocab_q,
+    "stopwords": stopwords_q,
 }
 
 _RANKED = _EVALUATION["rank_metrics"]
@@ -185,5 +180,4 @@ ORACLES = {
     "position_frac": f"WITH {PAIRS} SELECT imp, CAST(position AS INT) AS position, round(position / greatest(n_candidates - 1, 1), 9) AS position_frac FROM pairs",
     "list_contains": f"WITH {PAIRS} SELECT imp, CAST(position AS INT) AS position, label FROM pairs",
     "stopwords": _WORD_COUNT.replace(" SELECT term, count(*) AS n FROM tok GROUP BY 1", " SELECT 'kept' AS tokens, count(*) AS n FROM tok UNION ALL SELECT 'all', count(*) FROM tok_raw WHERE length(term) >= 2 AND NOT regexp_full_match(term, '[0-9]+')"),
-    "stem_vocab": _WORD_COUNT.replace(" SELECT term, count(*) AS n FROM tok GROUP BY 1", " SELECT DISTINCT term, term AS stem FROM tok"),
 }

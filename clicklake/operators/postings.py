@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clicklake.operators.lexical import article_index, history_queries, tokens
-from clicklake.plans.cut import cut
 from clicklake.sources.logs import ARTICLES, HISTORY, articles, clicks, histories, impressions
 from clicklake.operators.lexical import _words as words_sql
 
@@ -60,19 +63,45 @@ def traversal_work(queries: DataFrame, postings: DataFrame, vocabulary: DataFram
     return touched.join(scored, "user_idx")
 
 
-def pruned_terms(queries: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
-    """(user_idx, terms, essential, touched, touched_pruned): what a rank-safe skip of low-bound lists saves.
-
-    With terms by ascending bound (query weight x largest document weight), those whose running sum stays under the k-th
-    best score cannot lift a new document into the k best; only the other, essential lists have to be opened.
+def skip_steps(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(common, plain, skipping): what two sorted lists share, and the steps of a merge without and with skips of about the root of their length."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    if not len(a) or not len(b):
+        return both, 0, 0
+    # a plain merge steps once a posting until either list ends
+    end = min(a[-1], b[-1])
+    plain = int((a <= end).sum() + (b <= end).sum()) - both
+    steps = 0
+    i = j = 0
+    skip_a, skip_b = max(1, int(len(a) ** 0.5)), max(1, int(len(b) ** 0.5))
+    while i < len(a) and j < len(b):
+        steps += 1
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+        elif a[i] < b[j]:
+            i += skip_a if i % skip_a == 0 and i + skip_a < len(a) and a[i + skip_a] <= b[j] else 1
+        else:
+            j += skip_b if j % skip_b == 0 and j + skip_b < len(b) and b[j + skip_b] <= a[i] else 1
+    return both, plain, steps
+
+
+def conjunction(two: DataFrame, lists: DataFrame) -> DataFrame:
+    """(user_idx, docs, plain, skipping): documents that hold both of a user's terms, and the steps to find them.
+
+    `two` has (user_idx, term, df), two rows a user; `lists` has (term, span, docs). The lists of a pair of terms meet span by
+    span, so no list is longer than a span.
     """
-    scores = queries.join(weights, "term").groupBy("user_idx", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("s"))
-    edge = scores.withColumn("r", F.row_number().over(W.partitionBy("user_idx").orderBy(F.desc("s"), "doc_id"))).where(F.col("r") == k).select("user_idx", F.col("s").alias("edge"))
-    top = weights.groupBy("term").agg(F.max("w").alias("top"), F.count("*").alias("df"))
-    bounded = queries.join(top, "term").withColumn("bound", F.col("q") * F.col("top"))
-    summed = bounded.withColumn("sum", F.sum("bound").over(W.partitionBy("user_idx").orderBy("bound", "term").rowsBetween(W.unboundedPreceding, 0))).join(edge, "user_idx", "left")
-    must = F.col("edge").isNull() | (F.col("sum") >= F.col("edge") - 1e-9)
-    return summed.groupBy("user_idx").agg(F.count("*").alias("terms"), F.count_if(must).alias("essential"), F.sum("df").alias("touched"), F.sum(F.when(must, F.col("df")).otherwise(0)).alias("touched_pruned"))
+    order = F.row_number().over(W.partitionBy("user_idx").orderBy("df", "term"))
+    pair = two.withColumn("r", order).groupBy("user_idx").agg(F.max(F.when(F.col("r") == 1, F.col("term"))).alias("first"), F.max(F.when(F.col("r") == 2, F.col("term"))).alias("second")).where("second is not null")
+    x, y = lists.select(F.col("term").alias("first"), "span", F.col("docs").alias("x")), lists.select(F.col("term").alias("second"), "span", F.col("docs").alias("y"))
+    met = pair.join(x, "first").join(y, ["second", "span"]).select("user_idx", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = np.array([skip_steps(b.column(1)[i].values.to_numpy(), b.column(2)[i].values.to_numpy()) for i in range(b.num_rows)], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], ["user_idx", "docs", "plain", "skipping"])
+
+    return met.mapInArrow(run, "user_idx bigint, docs bigint, plain bigint, skipping bigint").groupBy("user_idx").agg(*(F.sum(c).alias(c) for c in ("docs", "plain", "skipping")))
 
 
 def static_cache(requests: DataFrame, sizes: DataFrame, budget: int) -> DataFrame:
@@ -101,6 +130,7 @@ def tiering(click: DataFrame, article: DataFrame, shares: tuple[float, ...] = (0
 
 
 def _users(spark, folder):
+    """The stated query set of searches: users whose id is divisible by 50."""
     return histories(spark, folder).where("user_idx % 50 = 0")
 
 
@@ -122,18 +152,21 @@ def traversal_work_q(spark, folder):
     return traversal_work(history_queries(_users(spark, folder), i.postings), i.postings, i.vocabulary)
 
 
-def wand_q(spark, folder):
-    i = article_index(spark, folder)
-    return pruned_terms(cut(history_queries(_users(spark, folder), i.postings), "queries"), i.weights())
+def conj_order_q(spark, folder):
+    """Documents that hold both of a user's two rarest query terms, the rarer list first, for the users of whom there are any."""
+    return _conjunction(spark, folder).where("docs > 0").select("user_idx", "docs")
 
 
-def conj_order_q(spark, folder):
-    """Documents that hold both of a user's two rarest query terms, the rarer list being read first."""
+def skip_list_q(spark, folder):
+    """The steps of those intersections, merged plainly and with skips."""
+    return _conjunction(spark, folder)
+
+
+def _conjunction(spark, folder):
     i = article_index(spark, folder)
-    q = history_queries(_users(spark, folder), i.postings).join(i.vocabulary, "term")
-    two = q.withColumn("r", F.row_number().over(W.partitionBy("user_idx").orderBy("df", "term"))).where("r <= 2")
-    met = two.join(i.postings, "term").groupBy("user_idx", "doc_id").agg(F.count("*").alias("n")).where("n = 2")
-    return met.groupBy("user_idx").agg(F.count("*").alias("docs"))
+    q = history_queries(histories(spark, folder), i.postings).join(i.vocabulary, "term")
+    two = q.withColumn("r", F.row_number().over(W.partitionBy("user_idx").orderBy("df", "term"))).where("r <= 2").select("user_idx", "term", "df")
+    return conjunction(two, transposed(i.postings))
 
 
 def static_cache_q(spark, folder):
@@ -156,7 +189,7 @@ def spimi_q(spark, folder):
 
 
 QUERIES = {
-    "postings_transpose": postings_transpose_q, "d_gaps": d_gaps_q, "code_sizes": code_sizes_q, "traversal_work": traversal_work_q, "wand": wand_q, "conj_order": conj_order_q, "static_cache": static_cache_q, "tiering": tiering_q, "spimi": spimi_q,
+    "postings_transpose": postings_transpose_q, "d_gaps": d_gaps_q, "code_sizes": code_sizes_q, "traversal_work": traversal_work_q, "conj_order": conj_order_q, "skip_list": skip_list_q, "static_cache": static_cache_q, "tiering": tiering_q, "spimi": spimi_q,
 }
 
 _P = f"WITH {ARTICLES}, " + words_sql("tok", "concat_ws(' ', title, abstract)") + ", post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), voc AS (SELECT term, count(*) AS df FROM post GROUP BY 1)"
@@ -170,7 +203,7 @@ ORACLES = {
         pb AS (SELECT term, span, block, max(bits) * 128 AS packed FROM b GROUP BY 1, 2, 3), pk AS (SELECT term, sum(packed) AS packed FROM pb GROUP BY 1), ro AS (SELECT term, sum(CASE WHEN n > 4096 THEN 8192 ELSE 2 * n END) + 8 AS roaring FROM (SELECT term, span, count(*) AS n FROM b GROUP BY 1, 2) GROUP BY 1)
         SELECT b.term, count(*) AS df, CAST(sum(ceil(bits / 7)) AS BIGINT) AS vbyte, CAST(sum(2 * bits - 1) AS BIGINT) AS gamma_bits, CAST(any_value(packed) AS BIGINT) AS packed_bits, CAST(any_value(roaring) AS BIGINT) AS roaring FROM b JOIN pk ON pk.term = b.term JOIN ro ON ro.term = b.term GROUP BY 1""",
     "traversal_work": _P + _Q + " SELECT q50.user_idx, count(DISTINCT q50.term) AS terms, count(*) AS touched, count(DISTINCT doc_id) AS scored FROM q50 JOIN post ON post.term = q50.term GROUP BY 1",
-    "conj_order": _P + _Q + ", tw AS (SELECT user_idx, q50.term FROM q50 JOIN voc ON voc.term = q50.term QUALIFY row_number() OVER (PARTITION BY user_idx ORDER BY df, q50.term) <= 2) SELECT user_idx, count(*) AS docs FROM (SELECT user_idx, doc_id FROM tw JOIN post ON post.term = tw.term GROUP BY 1, 2 HAVING count(*) = 2) GROUP BY 1",
+    "conj_order": _P + _Q + ", tw AS (SELECT user_idx, qq.term FROM qq JOIN voc ON voc.term = qq.term QUALIFY row_number() OVER (PARTITION BY user_idx ORDER BY df, qq.term) <= 2) SELECT user_idx, count(*) AS docs FROM (SELECT user_idx, doc_id FROM tw JOIN post ON post.term = tw.term GROUP BY 1, 2 HAVING count(*) = 2) GROUP BY 1",
     "static_cache": _P + _Q + ", rq AS (SELECT term, count(*) AS requests FROM qq GROUP BY 1), lv AS (SELECT requests, count(*) AS lists, sum(df * 8) AS bytes FROM rq JOIN voc ON voc.term = rq.term GROUP BY 1), f AS (SELECT *, sum(bytes) OVER (ORDER BY requests DESC) <= 16000 AS held FROM lv) SELECT CAST(coalesce(sum(lists) FILTER (held), 0) AS BIGINT) AS lists, CAST(coalesce(sum(bytes) FILTER (held), 0) AS BIGINT) AS bytes, round(coalesce(sum(requests * lists) FILTER (held), 0) / sum(requests * lists), 6) AS hit_rate FROM f",
     "tiering": f"""WITH {ARTICLES}, imp AS (SELECT DISTINCT ON (src_row) * FROM impressions), rc AS (SELECT user_idx, unnest(clicked) AS article_idx, time AS ts FROM imp), cl AS (SELECT DISTINCT * FROM rc WHERE user_idx IS NOT NULL AND article_idx IS NOT NULL AND ts IS NOT NULL),
         n AS (SELECT idx, count(cl.article_idx) AS n FROM art LEFT JOIN cl ON cl.article_idx = idx GROUP BY 1), s(share) AS (VALUES (CAST(0.05 AS DOUBLE)), (0.2), (0.5)), c AS (SELECT share, (SELECT quantile_cont(n, 1 - 0.05) FROM n) AS c1, (SELECT quantile_cont(n, 1 - 0.2) FROM n) AS c2, (SELECT quantile_cont(n, 1 - 0.5) FROM n) AS c3 FROM s)

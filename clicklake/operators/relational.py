@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clicklake.operators.candidates import drop_seen, rrf, top_rows
 from clicklake.operators.features import hours
 from clicklake.operators.lexical import article_index, history_queries
+from clicklake.operators.lists import UNIFORM_SQL, uniform
 from clicklake.operators.postings import _P as _POSTINGS
 from clicklake.sources.logs import ARTICLES, HISTORY, IMP, PAIRS, articles, clicks, histories, history_clicks, impressions, pair_table
 from clicklake.sources.tables import table
@@ -35,6 +36,18 @@ def topk_merge(scored: DataFrame, shard: str, k: int) -> DataFrame:
     return top_rows(local, k, F.desc("score"), F.col("article_idx"))
 
 
+def shard_bounds(shards: int, skew: float) -> list[float]:
+    """Upper ends in (0, 1] of shards whose sizes fall as 1 / rank^skew; equal ones for 0."""
+    sizes = [1 / (i + 1) ** skew for i in range(shards)]
+    return [round(sum(sizes[: i + 1]) / sum(sizes), 12) for i in range(shards)]
+
+
+def shard_of(key: Column, bounds: list[float], seed: int = 41) -> Column:
+    """The shard of an integer key by a hash of it alone."""
+    u = uniform(key, F.lit(0), seed)
+    return sum((F.when(u >= b, 1).otherwise(0) for b in bounds[:-1]), F.lit(0)).alias("shard")
+
+
 def _best(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "topk_scores").where("user_idx is not null and article_idx is not null and score is not null and not isnan(score)")
     return rows.groupBy("user_idx", "article_idx").agg(F.max(F.col("score") + 0.0).alias("score"))
@@ -116,6 +129,35 @@ def topk_merge_q(spark, folder):
     return topk_merge(_best(spark, folder).withColumn("shard", F.col("article_idx") % 4), "shard", 5).select("user_idx", "article_idx", "score", "rank")
 
 
+SKEWS, SHARDS = (0.0, 0.5, 1.0), 8
+
+
+def doc_sharding_q(spark, folder):
+    """Top five of every user from the top fives of eight shards whose sizes fall as 1 / rank: what an unsharded ranking gives."""
+    sharded = _best(spark, folder).withColumn("shard", shard_of(F.col("article_idx"), shard_bounds(SHARDS, 1.0)))
+    return topk_merge(sharded, "shard", 5).select("user_idx", "article_idx", "score", "rank")
+
+
+def shard_skew_q(spark, folder):
+    """Candidates in the largest of eight shards against an even share, as shard sizes grow more uneven: the time of a scatter and gather is that of its largest shard."""
+    best, every = _best(spark, folder), None
+    for skew in SKEWS:
+        sizes = best.groupBy(shard_of(F.col("article_idx"), shard_bounds(SHARDS, skew))).agg(F.count("*").alias("n"))
+        one = sizes.agg(F.lit(skew).alias("skew"), F.max("n").alias("largest"), F.round(F.max("n") * SHARDS / F.sum("n"), 6).alias("slowdown"))
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
+def fan_out_q(spark, folder):
+    """Share of requests slower than a budget when each asks n servers and waits for all, plainly and with a second copy of each request; the share of one server is that of read times over the budget."""
+    rows = impressions(spark, folder, "read_time is not null and not isnan(read_time)")
+    budgets = F.explode(F.array(*(F.lit(float(x)) for x in (30, 60, 120)))).alias("budget")
+    p = rows.select("read_time", budgets).groupBy("budget").agg(F.avg((F.col("read_time").cast("double") > F.col("budget")).cast("double")).alias("p"))
+    n = F.explode(F.array(*map(F.lit, (1, 4, 16, 64)))).alias("servers")
+    slow = lambda x: F.round(1 - F.pow(1 - x, F.col("servers")), 6)
+    return p.select("budget", "p", n).select("budget", "servers", slow(F.col("p")).alias("slow"), slow(F.col("p") * F.col("p")).alias("slow_hedged"))
+
+
 def slot_chunks_q(spark, folder):
     return slot_chunks(impressions(spark, folder).select("src_row", F.greatest(F.coalesce(F.size("candidates"), F.lit(0)), F.lit(0)).alias("slots")), "src_row", "slots", 1000)
 
@@ -167,7 +209,7 @@ def queueing_q(spark, folder):
 
 QUERIES = {
     "join_left_ordered": join_left_ordered_q, "join_left": join_left_q, "join_inner": join_inner_q, "join_full_coalesce": join_full_q, "join_cross_scalar": join_scalar_q, "join_semi": join_semi_q, "join_anti": join_anti_q,
-    "join_map_bounds": join_map_bounds_q, "theta_join": theta_join_q, "sparse_matmul": sparse_matmul_q, "sort_multi": sort_multi_q, "limit_slice": limit_slice_q, "topk_partial": topk_partial_q, "topk_merge": topk_merge_q,
+    "join_map_bounds": join_map_bounds_q, "theta_join": theta_join_q, "sparse_matmul": sparse_matmul_q, "sort_multi": sort_multi_q, "limit_slice": limit_slice_q, "topk_partial": topk_partial_q, "topk_merge": topk_merge_q, "doc_sharding": doc_sharding_q, "shard_skew": shard_skew_q, "fan_out": fan_out_q,
     "slot_bounded_chunks": slot_chunks_q, "union_all": union_all_q, "distinct_on": distinct_on_q, "intersect_except": set_operations_q, "article_timing": article_timing_q, "stage1": stage1_q, "service_demand": queueing_q,
 }
 
@@ -189,6 +231,12 @@ ORACLES = {
     "limit_slice": f"WITH {IMP} SELECT src_row, impression_id, n_candidates FROM imp ORDER BY src_row LIMIT 50 OFFSET 100",
     "topk_partial": f"WITH {_BESTS} SELECT user_idx, article_idx, score, rank FROM rk WHERE rank <= 5",
     "topk_merge": f"WITH {_BESTS} SELECT user_idx, article_idx, score, rank FROM rk WHERE rank <= 5",
+    "doc_sharding": f"WITH {_BESTS} SELECT user_idx, article_idx, score, rank FROM rk WHERE rank <= 5",
+    "shard_skew": f"WITH {_BESTS}, u AS (SELECT {UNIFORM_SQL.format(a='article_idx', b='0', seed=41)} AS u FROM best), "
+    + ", ".join(f"s{i} AS (SELECT count(*) AS n FROM u GROUP BY {' + '.join(f'CAST(u >= {b} AS INT)' for b in shard_bounds(SHARDS, skew)[:-1])})" for i, skew in enumerate(SKEWS))
+    + " " + " UNION ALL ".join(f"SELECT CAST({skew} AS DOUBLE) AS skew, max(n) AS largest, round(max(n) * {SHARDS} / sum(n), 6) AS slowdown FROM s{i}" for i, skew in enumerate(SKEWS)),
+    "fan_out": f"""WITH {IMP}, p AS (SELECT budget, avg(CAST(read_time::DOUBLE > budget AS INT)) AS p FROM imp, (VALUES (30::DOUBLE), (60), (120)) v(budget) WHERE read_time IS NOT NULL AND NOT isnan(read_time) GROUP BY 1)
+        SELECT budget, CAST(s AS INT) AS servers, round(1 - pow(1 - p, s), 6) AS slow, round(1 - pow(1 - p * p, s), 6) AS slow_hedged FROM p, (VALUES (1), (4), (16), (64)) n(s)""",
     "slot_bounded_chunks": f"WITH {IMP}, s AS (SELECT src_row, CAST(coalesce(len(candidates), 0) AS INT) AS slots FROM imp) SELECT src_row, slots, CAST(floor(coalesce(sum(slots) OVER (ORDER BY src_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000) AS BIGINT) AS chunk FROM s",
     "union_all": f"WITH {IMP}, e AS (SELECT user_idx, unnest(clicked) AS article_idx, time FROM imp), u AS (SELECT DISTINCT * FROM e WHERE user_idx IS NOT NULL AND article_idx IS NOT NULL AND time IS NOT NULL) SELECT true AS from_log, count(*) AS n, count(DISTINCT article_idx) AS articles FROM u UNION ALL SELECT false, count(*), count(DISTINCT article_idx) FROM clickstream",
     "distinct_on": "SELECT DISTINCT ON (user_idx, article_idx) user_idx, article_idx, click_id FROM clickstream WHERE user_idx IS NOT NULL AND article_idx IS NOT NULL ORDER BY user_idx, article_idx, ts NULLS LAST, click_id",
