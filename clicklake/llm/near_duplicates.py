@@ -349,4 +349,17 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
-ORACLES: dict[str, str] = {}
+
+#: All pairs of texts that share a stretch are counted: for small tables only, as the driver's.
+_GROUPS = """
+WITH RECURSIVE nt AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+dt AS (SELECT min(doc_id) AS id, t FROM nt WHERE length(t) >= 9 GROUP BY t), op AS (SELECT id, t, unnest(range(1, length(t) - 7)) AS i FROM dt), sh AS (SELECT DISTINCT id, hash(substr(t, i, 9)) AS s FROM op), ns AS (SELECT id, count(*) AS n FROM sh GROUP BY 1),
+co AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2), jac AS (SELECT a, b FROM co JOIN ns x ON x.id = a JOIN ns y ON y.id = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9),
+ed AS (SELECT a AS x, b AS y FROM jac UNION ALL SELECT b, a FROM jac), reach(x, y) AS (SELECT x, x FROM ed UNION SELECT reach.x, ed.y FROM reach JOIN ed ON ed.x = reach.y), lb AS (SELECT x AS id, min(y) AS label FROM reach GROUP BY 1),
+gr AS (SELECT nt.doc_id, coalesce(label, dt.id) AS canonical FROM nt JOIN dt ON dt.t = nt.t LEFT JOIN lb ON lb.id = dt.id)
+"""
+
+ORACLES = {
+    "p1_found": _GROUPS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM gr a JOIN gr b ON a.canonical = b.canonical AND a.doc_id < b.doc_id",
+    "p1_groups": _GROUPS + ", g AS (SELECT DISTINCT * FROM gr) SELECT doc_id, canonical, count(*) OVER (PARTITION BY canonical) AS members FROM g QUALIFY count(*) OVER (PARTITION BY canonical) > 1",
+}
