@@ -353,6 +353,8 @@ ORACLES = {
     "minhash": _HASH + " SELECT id, " + ", ".join(f"min((h * {a} + {b}) % {P}) AS m{i}" for i, (a, b) in enumerate(seeds(8))) + " FROM hh GROUP BY 1",
     "lsh_banding": _HASH + ", mh AS (SELECT id, " + ", ".join(f"min((h * {a} + {b}) % {P}) AS m{i}" for i, (a, b) in enumerate(seeds(BANDS * ROWS))) + " FROM hh GROUP BY 1), bk AS ("
     + " UNION ALL ".join(f"SELECT id, {i} AS band, concat_ws('-', {', '.join(f'm{i * ROWS + j}' for j in range(ROWS))}) AS bucket FROM mh" for i in range(BANDS)) + ") SELECT band, bucket, count(*) AS docs, min(id) AS least FROM bk GROUP BY 1, 2 HAVING count(*) > 1",
+    "lsh_verify": _JAC + ", hh AS (SELECT id, CAST(concat('0x', substr(md5(s), 1, 7)) AS BIGINT) AS h FROM sh), mh AS (SELECT id, " + ", ".join(f"min((h * {a} + {b}) % {P}) AS m{i}" for i, (a, b) in enumerate(seeds(BANDS * ROWS))) + " FROM hh GROUP BY 1), v AS (SELECT j, "
+    + " OR ".join("(" + " AND ".join(f"x.m{i * ROWS + j} = y.m{i * ROWS + j}" for j in range(ROWS)) + ")" for i in range(BANDS)) + " AS same FROM jac JOIN mh x ON x.id = a JOIN mh y ON y.id = b) SELECT least(floor(j * 20) / 20, 0.95::DOUBLE) AS bin, count(*) AS pairs, count(*) FILTER (same) AS found FROM v GROUP BY 1",
     "simhash": _SIM + " SELECT id, printf('%08x%08x', hi, lo) AS simhash FROM sim",
     "hamming": _SIM.replace(", h2 AS", _JAC[len(_TEXTS):] + ", h2 AS") + " SELECT a, b, CAST(bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS INT) AS distance FROM jac JOIN sim x ON x.id = a JOIN sim y ON y.id = b",
     "dup_clusters": _GROUPS + " SELECT cn.id, canonical, links FROM cn JOIN (SELECT x, count(*) AS links FROM ed GROUP BY 1) l ON l.x = cn.id",

@@ -537,6 +537,8 @@ ORACLES = {
     "user_vectors": f"WITH {_UV} SELECT user_idx, round(u[1] / ul, 5) AS first, round(u[64] / ul, 5) AS last, CAST(1 AS DOUBLE) AS length FROM uv",
     "knn_exact": _KNN + " SELECT query, item, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10",
     "threshold_cut": _KNN + ", t AS (SELECT *, first_value(score) OVER (PARTITION BY query ORDER BY rank) AS top FROM k WHERE rank <= 20) SELECT query, count(*) FILTER (score >= 0.3) AS over_tau, count(*) FILTER (score >= 0.8 * top) AS over_share, count(*) FILTER (rank <= (SELECT CAST(round(count(*) FILTER (score >= 0.3) / count(DISTINCT query)) AS INT) FROM t)) AS fixed FROM t GROUP BY 1",
+    "quantise": f"WITH {_V}, t AS (SELECT e, n, list_max(list_transform(e, lambda x: abs(x))) AS top FROM v WHERE e IS NOT NULL), q AS (SELECT n, top, "
+    + ", ".join(f"sqrt(list_sum(list_transform(e, lambda x: pow(round(x / greatest(top, 1e-12) * {m}), 2)))) / {m} * top AS l{m}" for m in (127, 7)) + " FROM t) SELECT count(*) AS n, round(avg(abs(l127 - n) / n), 5) AS error_8, round(avg(abs(l7 - n) / n), 5) AS error_4 FROM q",
     "emb_cos": f"WITH {_UV}, sh AS (SELECT DISTINCT user_idx, unnest(candidates) AS article_idx FROM impressions WHERE user_idx IS NOT NULL) SELECT sh.user_idx, sh.article_idx, round(coalesce(list_cosine_similarity(u, e), 0), 5) AS cos FROM sh LEFT JOIN uv ON uv.user_idx = sh.user_idx LEFT JOIN v ON vec_id = sh.article_idx",
     "emb_max": f"""WITH {HISTORY}, {_V}, sh AS (SELECT DISTINCT user_idx, unnest(candidates) AS article_idx FROM impressions WHERE user_idx IS NOT NULL), rd AS (SELECT DISTINCT user_idx, article_idx FROM hist_clicks)
         SELECT sh.user_idx, sh.article_idx, round(max(list_cosine_similarity(a.e, b.e)), 5) AS best FROM sh JOIN v a ON a.vec_id = sh.article_idx JOIN rd ON rd.user_idx = sh.user_idx JOIN v b ON b.vec_id = rd.article_idx GROUP BY 1, 2""",
