@@ -72,8 +72,8 @@ def rrf(lists: DataFrame, source: str, k: int | None, constant: int = RRF) -> Da
     """
     rows = lists.where(f"user_idx is not null and article_idx is not null and {source} is not null and score is not null and not isnan(score)")
     rows = rows.groupBy("user_idx", source, "article_idx").agg(F.max(F.col("score") + 0.0).alias("score"))
-    ranked = ranked_in_slices(rows, ("user_idx", source), "score", "article_idx", "r")
-    fused = ranked.groupBy("user_idx", "article_idx").agg(F.round(F.sum(1 / (constant + F.col("r"))), 12).alias("score"))
+    ranked = ranked_in_slices(rows, ("user_idx", source), "score", "article_idx", "_rank")
+    fused = ranked.groupBy("user_idx", "article_idx").agg(F.round(F.sum(1 / (constant + F.col("_rank"))), 12).alias("score"))
     return fused if k is None else top_rows(fused, k, F.desc("score"), F.col("article_idx"))
 
 

@@ -35,34 +35,31 @@ def remap_list(df: DataFrame, row_id: str, values: str, ids: DataFrame, most: in
     """(row_id, mapped): list elements replaced by the ids of `ids` (key, id), order kept, unknown and null ones dropped.
 
     Rows of null or empty lists, or of unknown elements only, keep an empty list. A dictionary of at most `most` keys, which
-    is counted first, goes to every task as two sorted arrays and lists are mapped where they lie. A larger one is joined by
+    is counted first, goes to every task and lists are mapped where they lie. A larger one is joined by
     element; a hot element is split by adaptive execution, and the lists are gathered again by row id.
     """
     rows = df.select(F.col(row_id).alias("row"), F.col(values).alias("list"))
-    ids = cut(ids.where("key is not null").select(F.col("key").cast("bigint").alias("key"), F.col("id").cast("bigint").alias("id")), "dictionary")
+    kind = dict(df.select(F.col(values).alias("list")).dtypes)["list"]
+    ids = cut(ids.where("key is not null").select(F.col("key").cast(kind.removeprefix("array<").removesuffix(">")).alias("key"), F.col("id").cast("bigint").alias("id")), "dictionary")
     if ids.count() <= most:
-        known = ids.orderBy("key").toArrow()
-        keys, to = known["key"].to_numpy(), known["id"].to_numpy()
-        kind = dict(rows.dtypes)["row"]
-        return rows.select("row", F.col("list").cast("array<bigint>").alias("list")).mapInArrow(_remapped(keys, to, row_id), f"{row_id} {kind}, mapped array<bigint>")
+        known = ids.orderBy("key").toArrow().combine_chunks()
+        return rows.mapInArrow(_remapped(known["key"], known["id"].to_numpy(), row_id), f"{row_id} {dict(rows.dtypes)['row']}, mapped array<bigint>")
     opened = rows.select("row", F.posexplode("list").alias("pos", "key"))
     found = opened.join(ids, "key").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("mapped"))
     return rows.select("row").join(found, "row", "left").select(F.col("row").alias(row_id), F.coalesce("mapped", F.array().cast("array<bigint>")).alias("mapped"))
 
 
-def _remapped(keys: np.ndarray, to: np.ndarray, row_id: str):
+def _remapped(keys: pa.ChunkedArray, to: np.ndarray, row_id: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(1)
-            flat = lists.flatten()
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            v, there = flat.fill_null(0).to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(keys, v), max(len(keys) - 1, 0))
-            keep = there & (keys[at] == v) if len(keys) else np.zeros(len(v), bool)
+            at = pc.index_in(lists.flatten(), value_set=keys, skip_nulls=True)
+            keep = at.is_valid().to_numpy(zero_copy_only=False)
             kept = np.concatenate([[0], np.cumsum(keep)])
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            offsets = kept[ends].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(to[at[keep]] if len(keys) else np.zeros(0, np.int64)))], [row_id, "mapped"])
+            offsets = kept[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+            found = pc.drop_null(at).to_numpy().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(to[found] if len(to) else np.zeros(0, np.int64)))], [row_id, "mapped"])
 
     return run
 

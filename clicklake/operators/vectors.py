@@ -345,14 +345,14 @@ def _cells(centres: np.ndarray, probe: int):
     return run
 
 
-def knn_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int | None = None, share: float = 0.75, size: int = 64, block: int = 1024) -> DataFrame:
-    """The same from the nearest cells of each query, this share of them; every vector is indexed in the cell of its nearest centre.
+def knn_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int | None = None, share: float = 0.75, probe: int | None = None, size: int = 64, block: int = 1024) -> DataFrame:
+    """The same from the nearest cells of each query, this share of them or `probe`; every vector is indexed in the cell of its nearest centre.
 
     Centres come from a bounded sample (see fit_cells). A crowded cell is many blocks, so no task holds a whole cell. The
     default share suits vectors without clusters, where neighbours lie in any cell; clustered ones need far less.
     """
     centres = fit_cells(vectors, cells, size=size)
-    probe = max(1, round(share * len(centres)))
+    probe = probe or max(1, round(share * len(centres)))
     schema = "id bigint, vector array<float>, cell int"
     q = _clean(queries).mapInArrow(_cells(centres, probe), schema).repartition("cell").mapInArrow(_blocks(size, block, len(centres)), "cell int, ids binary, vectors binary")
     d = _clean(vectors).mapInArrow(_cells(centres, 1), schema).mapInArrow(_blocks(size, block, len(centres)), "cell int, ids binary, vectors binary")

@@ -21,11 +21,15 @@ def running(rows: DataFrame, key: str, time: str, sums: Sequence[str], strict: b
     per (key, bucket), so a hot key is split over its buckets. An empty sum is 0.
     """
     bucketed = rows.select(key, time, *sums, F.floor(micros(F.col(time)) / (bucket_seconds * 1_000_000)).alias("_bucket"))
-    inside = W.partitionBy(key, "_bucket").orderBy(time).rowsBetween(W.unboundedPreceding, -1 if strict else 0)
+    inside = W.partitionBy(key, "_bucket").orderBy(time).rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = bucketed.groupBy(key, "_bucket").agg(*(F.sum(c).alias(c) for c in sums))
+    own = bucketed.select(key, time, "_bucket", *(F.sum(c).over(inside).alias(c) for c in sums))
+    # a bucket's total is its last running sum, so sums of fractions are added in order of time and rows may lie anywhere
+    totals = own.groupBy(key, "_bucket").agg(F.max_by(F.struct(*sums), time).alias("t")).select(key, "_bucket", *(F.col("t")[c].alias(c) for c in sums))
     before = totals.select(key, "_bucket", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in sums))
-    own = bucketed.select(key, time, "_bucket", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in sums))
+    if strict:
+        last = W.partitionBy(key, "_bucket").orderBy(time)
+        own = own.select(key, time, "_bucket", *(F.coalesce(F.lag(c).over(last), F.lit(0)).alias(c) for c in sums))
     return own.join(before, [key, "_bucket"]).select(key, time, *((F.col(c) + F.col(f"_{c}")).alias(c) for c in sums))
 
 
