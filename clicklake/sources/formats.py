@@ -264,6 +264,24 @@ def stage_cache_q(spark, folder):
     return spark.createDataFrame([(i, m["reused"], m["rows"]) for i, m in enumerate(stages.metrics)], "run int, reused boolean, rows bigint")
 
 
+def stage_metrics_q(spark, folder):
+    """What is noted of two stages and of one reused: rows, and that time and memory were measured."""
+    stages = Stages(spark, _scratch(spark))
+    for name, key in (("articles", "idx"), ("impressions", "src_row"), ("articles", "idx")):
+        stages.stage(name, "1" * 64, lambda: table(spark, folder, name).select(key).distinct())
+    return spark.createDataFrame([(i, m["stage"], m["reused"], m["rows"], m["seconds"] >= 0 and m["python_mb"] > 0 and m["heap_mb"] > 0) for i, m in enumerate(stages.metrics)], "run int, stage string, reused boolean, rows bigint, measured boolean")
+
+
+CONFIG = json.dumps({"dataset": "clicks", "halflife_hours": 12.0, "splits": [{"name": n, "time_from": a, "time_to": b} for n, a, b in (("train", "2024-01-01", "2024-10-01"), ("val", "2024-10-01", "2024-10-08"), ("test", "2024-10-08", "2025-01-01"))]})
+
+
+def scan_config_q(spark, folder):
+    """Impressions of each split of a configuration read from JSON."""
+    config, t = Config.load(CONFIG), F.col("time")
+    name = F.coalesce(*(F.when((t >= F.lit(s.time_from).cast("timestamp_ntz")) & (t < F.lit(s.time_to).cast("timestamp_ntz")), s.name) for s in config.splits))
+    return impressions(spark, folder, "time is not null").groupBy(name.alias("split")).agg(F.count("*").alias("n"))
+
+
 def segments_q(spark, folder):
     """Daily segments appended, then compacted: the same rows in fewer files."""
     root = _scratch(spark)
@@ -276,7 +294,7 @@ def segments_q(spark, folder):
 
 QUERIES = {
     "scan_parquet": scan_parquet_q, "scan_tsv": scan_tsv_q, "scan_npy": scan_npy_q, "row_index": row_index_q, "sink_parquet": sink_parquet_q, "sink_ranked_text": sink_ranked_text_q, "sink_checks": sink_checks_q, "sink_zip": sink_zip_q, "raw_fingerprint": raw_fingerprint_q, "codec_sweep": codec_sweep_q,
-    "stage_cache": stage_cache_q, "segments": segments_q,
+    "stage_cache": stage_cache_q, "stage_metrics": stage_metrics_q, "scan_config": scan_config_q, "segments": segments_q,
 }
 
 ORACLES = {
@@ -290,5 +308,7 @@ ORACLES = {
     "raw_fingerprint": "SELECT true AS same, false AS other",
     "sink_checks": f"WITH {IMP}, n AS (SELECT src_row AS s FROM imp WHERE len(candidates) > 0) SELECT count(*) FILTER (s % 7 = 0) AS missing, count(*) FILTER (s % 17 = 3) AS unexpected, count(*) FILTER (s % 7 <> 0 AND s % 11 = 2) AS twice, count(*) FILTER (s % 7 <> 0 AND s % 13 = 1) AS wrong_size FROM n",
     "stage_cache": "SELECT CAST(run AS INT) AS run, run = 1 AS reused, (SELECT count(DISTINCT idx) FROM articles) AS rows FROM range(3) t(run)",
+    "stage_metrics": "SELECT CAST(run AS INT) AS run, CASE WHEN run = 1 THEN 'impressions' ELSE 'articles' END AS stage, run = 2 AS reused, CASE WHEN run = 1 THEN (SELECT count(*) FROM (SELECT DISTINCT src_row FROM impressions)) ELSE (SELECT count(*) FROM (SELECT DISTINCT idx FROM articles)) END AS rows, true AS measured FROM range(3) t(run)",
+    "scan_config": f"WITH {IMP} SELECT CASE WHEN time < '2024-01-01' THEN NULL WHEN time < '2024-10-01' THEN 'train' WHEN time < '2024-10-08' THEN 'val' WHEN time < '2025-01-01' THEN 'test' END AS split, count(*) AS n FROM imp WHERE time IS NOT NULL GROUP BY 1",
     "segments": f"WITH {IMP} SELECT strftime(time, '%Y-%m') AS month, count(*) AS n, max(src_row) AS last FROM imp WHERE time IS NOT NULL GROUP BY 1",
 }
