@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clicklake.llm.line_model import LABELS, LineModel, estimate
 from clicklake.llm.lines import BINS, Lines, measure, word_hashes
-from clicklake.plans.cut import spread
+from clicklake.plans.cut import cut, drop, spread
 from clicklake.sources.tables import table
 
 #: Frequent function words of English, Danish, Swedish and German. Fixed values.
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, is_prose: st
     labels = labels.select(F.col(doc_id).alias("id"), F.col(is_prose).cast("double").alias("y")).where("id is not null and y is not null")
     labels = labels.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "y")
     rows = _rows(docs, doc_id, text).where("text is not null")
-    judged = rows.join(F.broadcast(labels), "id").select("id", "text", "y")  # at most `sample` ids
+    judged = cut(rows.join(F.broadcast(labels), "id").select("id", "text", "y"), "judged")  # at most `sample` ids; the corpus is read once
     prose = judged.where("y = 1")
     seen = prose.select("id", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '(\\p{L}[\\p{L}\\p{M}\'’\\-]*)', 1)"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     found = seen.orderBy(F.desc("n"), "word").limit(words).collect()
@@ -136,8 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, is_prose: st
     schema = f"id {dict(rows.dtypes)['id']}, y double, codes binary, weights binary"
     coded = judged.mapInArrow(_coded(familiar), schema).toArrow()
     if not coded.num_rows:
-        judged = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "text", F.lit(None).cast("double").alias("y"))
+        some = rows.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
+        drop(judged)
+        judged = cut(rows.join(F.broadcast(some), "id").select("id", "text", F.lit(None).cast("double").alias("y")), "judged")
         coded = judged.mapInArrow(_coded(familiar), schema).toArrow()
+    drop(judged)
     coded = coded.sort_by([("id", "ascending"), ("codes", "ascending")]).to_pydict()
     weights = [np.frombuffer(w, np.int64) for w in coded["weights"]]
     sizes = [len(w) for w in weights]
