@@ -279,19 +279,34 @@ def candidates(shared: DataFrame, labels: DataFrame | None, hot: int) -> tuple[D
     return pairs, entries.where(F.col("n") > hot).select("key", "rep")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float = 0.6, hot: int = 32) -> DataFrame:
+def unresolved(large: DataFrame, labels: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rest): what entries (key, rep) of several labels still leave open.
+
+    An entry with at most `few` texts outside its largest label gives each of them with every text of another label: pairs
+    (a, b), after which it is settled. The other entries are the rest.
+    """
+    of = large.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    by = of.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("out")).where("out > 0")
+    met = of.join(by, "key")
+    outside = met.where((F.col("out") <= few) & (F.col("label") != F.col("main"))).select("key", F.col("rep").alias("x"), F.col("label").alias("of_x"))
+    pairs = outside.join(of, "key").where("label <> of_x").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    return pairs, met.where(F.col("out") > few).select("key", "rep")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float = 0.6, hot: int = 32, few: int = 64) -> DataFrame:
     """(doc_id, canonical) of each document that shares a group with another: texts of at least this similarity are linked,
     groups are what links connect, canonical is the smallest id of the group.
 
     Similarity is the Jaccard of the sets of 9-character stretches of the normalised texts. Null ids, null texts and texts
     under 9 characters are in no group. Exact copies (after normalising) are collapsed first and carried by the smallest
-    id. Repeated rows of a document count once.
-
-    A table entry of up to `hot` texts gives all its pairs. Of a larger one, all are held against one of its texts; if that
-    and the other links leave it in several groups, its texts meet again in finer entries, whose key has a ball of a later
-    segment beside that of the entry, and so on until entries are small or of one group. So a large family is never spelled
-    out in pairs, and unlike texts that share a segment by common boilerplate part after few rounds. The tables between the
-    stages are deleted as soon as the result is written.
+    id. Repeated rows of a document count once; a document of several texts is in the group of any of them.
+
+    A table entry of up to `hot` texts gives all its pairs. Of a larger one, all are held against one of its texts. What that
+    and the other links leave in several groups goes on: up to `few` texts outside the entry's largest group are held against
+    all the others not of their own; else its texts meet again in finer entries, whose key has a ball of a later segment
+    beside that of the entry, and so on until entries are small or settled. So a large family is never spelled out in pairs,
+    and unlike texts that share a segment by common boilerplate part after few rounds. The tables between the stages are
+    deleted as soon as the result is written.
     """
     made: list[DataFrame] = []
 
@@ -303,22 +318,23 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float =
     sketched = keep(rows.mapInArrow(_sketch, "doc_id bigint, digest binary, symbols binary"), "sketch")
     reps = keep(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("copied"), F.max("symbols").alias("symbols")), "reps")
     prints = reps.select("rep", "symbols")
-    labels: DataFrame | None = None
     shared = keep(_company(prints, _keys, reps.count()), "shared")
+    pairs, large = candidates(shared, None, hot)
+    labels = keep(components(keep(verified(pairs, prints, rows, threshold, keep), "links")), "labels")
     for _ in range(SEGMENTS):
-        pairs, large = candidates(shared, labels, hot)
+        pairs, rest = (keep(x, "open") for x in unresolved(large, labels, few))
+        n = rest.count()
+        if n:
+            shared = keep(_company(prints.join(rest, "rep").select("rep", "symbols", "key"), _finer, n), "shared")
+            finer, large = candidates(shared, labels, hot)
+            pairs = pairs.union(finer).distinct()
+        elif pairs.isEmpty():
+            break
         links = keep(verified(pairs, prints, rows, threshold, keep), "links")
-        if labels is None:
-            labels = keep(components(links), "labels")
-        elif not links.isEmpty():
+        if not links.isEmpty():
             labels = keep(components(links.union(labels.where("node <> label").toDF("a", "b"))), "labels")
-        of = large.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-        several = of.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        large = keep(large.join(several, "key", "left_semi"), "large")
-        n = large.count()
         if not n:
             break
-        shared = keep(_company(prints.join(large, "rep").select("rep", "symbols", "key"), _finer, n), "shared")
 
     classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("copied or label is not null").select("digest", F.coalesce("label", "rep").alias("canonical"))
     out = cut(sketched.select("doc_id", "digest").join(classes, "digest").select("doc_id", "canonical").distinct(), "groups")

@@ -80,10 +80,10 @@ def news():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("hot", [4, 32, 1000])
-def test_groups_match_all_pairs(spark, news, hot):
+@pytest.mark.parametrize(("hot", "few"), [(4, 0), (4, 3), (32, 64), (1000, 64)])
+def test_groups_match_all_pairs(spark, news, hot, few):
     df = spark.createDataFrame([*news, (None, "abcdefghi"), news[3]], "doc_id long, text string").withColumn("label", F.lit(1))
-    groups = near_duplicates(df, "doc_id", "text", hot=hot)
+    groups = near_duplicates(df, "doc_id", "text", hot=hot, few=few)
     want = brute_groups(news)
     assert rows(groups) == want
     by = defaultdict(list)
@@ -131,6 +131,24 @@ def test_unlike_texts_with_common_boilerplate_give_few_candidates(spark, monkeyp
     assert len(counted) > 1 and sum(counted) < 160 * n  # all pairs: n / 2 times n
 
 
+def test_a_large_family_with_outsiders_is_not_spelled_out(spark, monkeypatch):
+    rng = random.Random(17)
+    hub = text_of(rng, 60)
+    docs = [(i, edited(rng, hub, 0.03)) for i in range(600)]
+    words = hub.split(" ")
+    docs += [(1000 + i, " ".join(words[:30]) + " " + text_of(rng, 40)) for i in range(20)]  # share half, alike to none
+    counted, plain = [], near_duplicates_module.verified
+
+    def counting(pairs, *rest, **named):
+        counted.append(pairs.count())
+        return plain(pairs, *rest, **named)
+
+    monkeypatch.setattr(near_duplicates_module, "verified", counting)
+    got = rows(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"))
+    assert got == brute_groups(docs)
+    assert sum(counted) < 600 * 100  # all pairs: 600 times 300
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = rows(components(spark.createDataFrame(edges, "a long, b long")))
