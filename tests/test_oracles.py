@@ -13,7 +13,8 @@ QUERIES, ORACLES = registered("QUERIES"), registered("ORACLES")
 CHOSEN = """p2_found p2_rolling p4_found p6_found p6_sessions id_map remap_list explode_with_pos list_setops list_rank list_lookup format_line stable_uniform zscore_within subsample_groups json_entities parse_datetime
     prior_exposures article_features user_features augmented_history category_recency session_features dwell_features article_dwell join_asof_strict rank_average propensity position_report rank_metrics slices calibration_summary ild
     tokenize df_idf bm25_search explain user_vectors knn_exact emb_max candidate_universe random_topk drop_seen rrf recall_at_k retrieved_pairs exact_jaccard minhash dup_clusters heaps count_sketch d_gaps code_sizes conj_order
-    slot_bounded_chunks intersect_except stage1 scan_tsv row_index sink_checks stage_cache stream_tumbling""".split()
+    slot_bounded_chunks intersect_except stage1 scan_tsv row_index sink_checks stage_cache stream_tumbling
+    train_features feature_families stem_vocab stemmed_postings wand doc_sharding shard_skew fan_out threshold_cut quantise simhash recall_canonical sketch_sweep scan_config stage_metrics stream_dedup stream_rolling_counters""".split()
 
 
 @pytest.fixture(scope="module")
