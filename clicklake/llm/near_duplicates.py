@@ -174,37 +174,65 @@ def _finer(parts: int, chunk: int = 4096):
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, rep) of the entries with company, from packed entries whose parts stand together."""
-    held: list[tuple[bytes, bytes, bytes]] = []
-    of: int | None = None
-
-    def out() -> Iterator[pa.RecordBatch]:
+def _pairs(reps: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (a < b) within runs of `reps` that start at `first` and have these sizes."""
+    a, b = [], []
+    for n in np.unique(sizes):
+        members = reps[first[sizes == n][:, None] + np.arange(n)]
+        i, j = np.triu_indices(n, 1)
+        a.append(np.minimum(members[:, i], members[:, j]).reshape(-1))
+        b.append(np.maximum(members[:, i], members[:, j]).reshape(-1))
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y = np.concatenate(a), np.concatenate(b)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    keep = (x != y) & np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    return x[keep], y[keep]
+
+
+def _met(hot: int):
+    """From packed entries whose parts stand together, those with company: as pairs (rep, mate) where all texts of a key are
+    here and at most `hot`, else as (key, rep)."""
+
+    def out(held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         keys, reps, company = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), (U, np.int64, bool)))
-        held.clear()
         order = np.argsort(keys, kind="stable")
-        keys, company = keys[order], company[order]
-        same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
-        keep = np.flatnonzero(company | same[1:] | same[:-1])
-        for i in range(0, len(keep), 1 << 16):
-            k = keep[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k].view(np.int64)), pa.array(reps[order[k]])], ["key", "rep"])
+        keys, reps, company = keys[order], reps[order], company[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+        sizes = np.diff(np.append(first, len(keys)))
+        some = np.add.reduceat(company, first, dtype=np.int64) > 0 if len(keys) else sizes > 0
+        whole = ~some & (sizes > 1) & (sizes <= hot)
+        a, b = _pairs(reps, first[whole], sizes[whole])
+        rest = np.flatnonzero(np.repeat(some | (sizes > hot), sizes))
+        for x, y, z in ((None, a, b), (keys[rest].view(np.int64), reps[rest], None)):
+            for i in range(0, len(y), 1 << 16):
+                k = slice(i, i + (1 << 16))
+                none = pa.nulls(len(y[k]), pa.int64())
+                yield pa.RecordBatch.from_arrays([none if x is None else pa.array(x[k]), pa.array(y[k]), none if z is None else pa.array(z[k])], ["key", "rep", "mate"])
 
-    for b in batches:
-        for part, *packed in zip(*(c.to_pylist() for c in b.columns)):
-            if held and part != of:
-                yield from out()
-            of = part
-            held.append(tuple(packed))
-    if held:
-        yield from out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes, bytes]] = []
+        of: int | None = None
+        for b in batches:
+            for part, *packed in zip(*(c.to_pylist() for c in b.columns)):
+                if held and part != of:
+                    yield from out(held)
+                    held = []
+                of = part
+                held.append(tuple(packed))
+        if held:
+            yield from out(held)
+
+    return run
 
 
-def _company(texts: DataFrame, entries, n: int, together: int = 2_000_000) -> DataFrame:
-    """(key, rep) of the entries that share their key; n texts make them, and a part holds about `together` of them."""
+def _company(texts: DataFrame, entries, n: int, hot: int, together: int = 2_000_000) -> DataFrame:
+    """(key, rep, mate): pairs of texts that share an entry, or where not all of a key meet in one part or they are more than
+    `hot`, the entries. n texts make them, and a part holds about `together` of them."""
     parts = max(texts.sparkSession.sparkContext.defaultParallelism, -(-n * SYMBOLS // together))
     packed = texts.mapInArrow(entries(parts), "part int, keys binary, reps binary, company binary")
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_met, "key bigint, rep bigint")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_met(hot), "key bigint, rep bigint, mate bigint")
 
 
 def _close(least: float):
@@ -262,17 +290,19 @@ def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, threshold: f
 
 
 def candidates(shared: DataFrame, labels: DataFrame | None, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, large): pairs (a, b) to verify from entries (key, rep), and the entries of more than `hot` texts.
+    """(pairs, large): pairs (a, b) to verify from what `_company` gives, and the entries (key, rep) of more than `hot` texts.
 
     An entry of up to `hot` texts gives all its pairs, a larger one those with one of its texts, drawn by key. Pairs within a
     label (node, label) are left out.
     """
+    direct = shared.where("mate is not null").select(F.col("rep").alias("a"), F.col("mate").alias("b"))
+    shared = shared.where("mate is null").select("key", "rep")
     sizes = shared.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "rep"), "rep"))["rep"].alias("hub"))
     entries = shared.join(sizes.where("n > 1"), "key")
     lists = entries.where(F.col("n") <= hot).groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct()
     pairs = lists.select(F.explode(F.expr("flatten(transform(reps, (x, i) -> transform(slice(reps, i + 2, size(reps)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
     spokes = entries.where((F.col("n") > hot) & (F.col("rep") != F.col("hub"))).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    pairs = pairs.union(spokes).distinct()
+    pairs = direct.union(pairs).union(spokes).distinct()
     if labels is not None:
         x, y = (labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in ("a", "b"))
         pairs = pairs.join(x, "a", "left").join(y, "b", "left").where("not coalesce(of_a, a) = coalesce(of_b, b)").select("a", "b")
@@ -318,14 +348,14 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float =
     sketched = keep(rows.mapInArrow(_sketch, "doc_id bigint, digest binary, symbols binary"), "sketch")
     reps = keep(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("copied"), F.max("symbols").alias("symbols")), "reps")
     prints = reps.select("rep", "symbols")
-    shared = keep(_company(prints, _keys, reps.count()), "shared")
+    shared = keep(_company(prints, _keys, reps.count(), hot), "shared")
     pairs, large = candidates(shared, None, hot)
     labels = keep(components(keep(verified(pairs, prints, rows, threshold, keep), "links")), "labels")
     for _ in range(SEGMENTS):
         pairs, rest = (keep(x, "open") for x in unresolved(large, labels, few))
         n = rest.count()
         if n:
-            shared = keep(_company(prints.join(rest, "rep").select("rep", "symbols", "key"), _finer, n), "shared")
+            shared = keep(_company(prints.join(rest, "rep").select("rep", "symbols", "key"), _finer, n, hot), "shared")
             finer, large = candidates(shared, labels, hot)
             pairs = pairs.union(finer).distinct()
         elif pairs.isEmpty():
