@@ -251,25 +251,25 @@ def _exact(threshold: float, hold: int = 2_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
         held = 0
-
-        def stretches(i: int, t: str) -> np.ndarray:
-            nonlocal held
-            if i not in sets:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                a, c, s, t = (x.to_pylist() for x in part.columns)
                 if held > hold:
                     sets.clear()
                     held = 0
-                sets[i] = np.unique(stretch_hashes([normal(t)])[0])
-                held += len(sets[i])
-            return sets[i]
-
-        for b in batches:
-            keep = []
-            for i, j, s, t in zip(*(c.to_pylist() for c in b.columns)):
-                x, y = stretches(i, s), stretches(j, t)
-                both = np.sort(np.concatenate([x, y]))
-                n = int((both[1:] == both[:-1]).sum())
-                keep.append(n >= threshold * (len(both) - n) - 1e-9)
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                new = {i: x for i, x in zip(a + c, s + t) if i not in sets}
+                if new:
+                    h, starts = stretch_hashes([normal(x) for x in new.values()])
+                    for i, own in zip(new, np.split(h, starts[1:])):
+                        sets[i] = np.unique(own)
+                        held += len(sets[i])
+                keep = []
+                for i, j in zip(a, c):
+                    both = np.sort(np.concatenate([sets[i], sets[j]]))
+                    n = int((both[1:] == both[:-1]).sum())
+                    keep.append(n >= threshold * (len(both) - n) - 1e-9)
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
