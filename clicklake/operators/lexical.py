@@ -103,29 +103,38 @@ def search(queries: DataFrame, weights: DataFrame, k: int = 10, universe: DataFr
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def best_partial(queries: DataFrame, weights: DataFrame, bounds: DataFrame, k: int, seeds: int) -> DataFrame:
-    """(user_idx, edge): a score that k documents of each query reach by its `seeds` terms of greatest bound alone; less than k: no row."""
+def sure_scores(queries: DataFrame, weights: DataFrame, bounds: DataFrame, k: int, seeds: int) -> DataFrame:
+    """(user_idx, edge): a score that k documents of each query are sure to reach; a query that fewer documents match has no row.
+
+    The `seeds` terms of greatest bound name 4 k documents, whose scores are then counted in full; the edge is the k-th.
+    """
     top = bounds.groupBy("term").agg(F.max("top").alias("top"))
     order = F.row_number().over(W.partitionBy("user_idx").orderBy(F.desc(F.col("q") * F.col("top")), "term"))
     few = queries.join(top, "term").withColumn("r", order).where(F.col("r") <= seeds).select("user_idx", "term", "q")
     part = few.join(weights, "term").groupBy("user_idx", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("s"))
-    place = F.row_number().over(W.partitionBy("user_idx").orderBy(F.desc("s"), "doc_id"))
-    return part.withColumn("r", place).where(F.col("r") == k).select("user_idx", F.col("s").alias("edge"))
+    named = top_of(part, "s", 4 * k).select("user_idx", "doc_id")
+    full = named.join(weights, "doc_id").join(queries, ["user_idx", "term"]).groupBy("user_idx", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("s"))
+    return top_of(full, "s", k).where(F.col("r") == k).select("user_idx", F.col("s").alias("edge"))
+
+
+def top_of(scored: DataFrame, score: str, k: int) -> DataFrame:
+    """The k best documents of each user, with their place `r`."""
+    return scored.withColumn("r", F.row_number().over(W.partitionBy("user_idx").orderBy(F.desc(score), "doc_id"))).where(F.col("r") <= k)
 
 
-def spans_to_open(queries: DataFrame, weights: DataFrame, k: int, span: int, seeds: int = 3) -> DataFrame:
+def spans_to_open(queries: DataFrame, weights: DataFrame, k: int, span: int, seeds: int = 10) -> DataFrame:
     """(user_idx, span, n): the spans of document ids that may hold one of a query's k best, and the postings they have for it.
 
     The bound of a span is the sum over the query's terms of weight x the largest document weight there. A span is passed
-    over if that is under what k documents reach by a few terms alone.
+    over if that is under what k documents are sure to reach.
     """
     bounds = cut(weights.groupBy("term", F.floor(F.col("doc_id") / span).alias("span")).agg(F.max("w").alias("top"), F.count("*").alias("n")), "bounds")
-    edge = best_partial(queries, weights, bounds, k, seeds)
+    edge = sure_scores(queries, weights, bounds, k, seeds)
     most = queries.join(bounds, "term").groupBy("user_idx", "span").agg(F.sum(F.col("q") * F.col("top")).alias("bound"), F.sum("n").alias("n"))
     return most.join(edge, "user_idx", "left").select("user_idx", "span", "n", (F.col("edge").isNull() | (F.col("bound") >= F.col("edge") - 1e-6)).alias("open"))
 
 
-def search_pruned(queries: DataFrame, weights: DataFrame, k: int = 10, span: int = 1 << 16, seeds: int = 3) -> DataFrame:
+def search_pruned(queries: DataFrame, weights: DataFrame, k: int = 10, span: int = 64, seeds: int = 10) -> DataFrame:
     """The same as `search`, rank for rank, without the scores of documents in spans that can't reach the k best.
 
     A frequent term is split by span, so its postings meet its queries in as many tasks as it has spans.
@@ -260,22 +269,27 @@ def stemmed_postings_q(spark, folder):
     return Index(docs, "idx", F.expr("concat_ws(' ', title, abstract)"), F.col("lang"), stem=True).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+SPAN = 4
+
+
 def wand_q(spark, folder):
-    """The ten best articles of the stated query set by bounds of spans of 256 ids."""
+    """The ten best articles of the stated query set by bounds of spans of four ids, as few articles as these tables have."""
     i = article_index(spark, folder)
-    return search_pruned(history_queries(_users(spark, folder), i.postings), i.weights(), 10, 256).withColumn("score", F.round("score", 4))
+    return search_pruned(history_queries(_users(spark, folder), i.postings), i.weights(), 10, SPAN).withColumn("score", F.round("score", 4))
 
 
-def wand_work_q(spark, folder):
-    """Postings that a full search of the stated query set reads, and those in the spans the bounds leave, over the first quarter, half and all of the ids."""
+def wand_scale_q(spark, folder):
+    """Postings that a full search of the stated query set reads, and those in the spans the bounds leave, over the first quarter,
+    half and all of the ids: for the terms of the article read last, and for those of all that was read."""
     i = article_index(spark, folder)
-    queries, weights = cut(history_queries(_users(spark, folder), i.postings), "queries"), cut(i.weights(), "weights")
+    weights, every = cut(i.weights(), "weights"), None
     top = weights.agg(F.max("doc_id")).first()[0] or 0
-    every = None
-    for share in (0.25, 0.5, 1.0):
-        got = spans_to_open(queries, weights.where(F.col("doc_id") <= share * top), 10, 256)
-        one = got.agg(F.lit(share).alias("share"), F.sum("n").alias("touched"), F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("opened"), F.count("*").alias("spans"), F.count_if("open").alias("open_spans"))
-        every = one if every is None else every.unionByName(one)
+    for name, last in (("last read", 1), ("all read", None)):
+        queries = cut(history_queries(_users(spark, folder), i.postings, last=last), "queries")
+        for share in (0.25, 0.5, 1.0):
+            got = spans_to_open(queries, weights.where(F.col("doc_id") <= share * top), 10, SPAN)
+            one = got.agg(F.lit(name).alias("terms"), F.lit(share).alias("share"), F.sum("n").alias("touched"), F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("opened"), F.count("*").alias("spans"), F.count_if("open").alias("open_spans"))
+            every = one if every is None else every.unionByName(one)
     return every
 
 
@@ -291,7 +305,7 @@ def field_variants_q(spark, folder):
 QUERIES = {
     "tokenize": tokenize_q, "postings": postings_q, "df_idf": df_idf_q, "bm25_weight": bm25_weight_q, "bm25l": bm25l_q, "query_from_history": query_from_history_q, "decayed_query": decayed_query_q,
     "query_saturation": query_saturation_q, "bm25_search": bm25_search_q, "score_pairs": score_pairs_q, "explain": explain_q, "grid": grid_q, "field_variants": field_variants_q,
-    "stem_vocab": stem_vocab_q, "stemmed_postings": stemmed_postings_q, "wand": wand_q, "wand_scale": wand_work_q,
+    "stem_vocab": stem_vocab_q, "stemmed_postings": stemmed_postings_q, "wand": wand_q, "wand_scale": wand_scale_q,
 }
 
 
