@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,65 +43,73 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2")
 
 
+def _containers(term: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(term, span, container, occurrences) of each term and span, from a row for each document of a term; ids may repeat."""
+    order = np.lexsort((ids, term))
+    term, ids, n = term[order], ids[order], n[order]
+    span = ids >> 16
+    new = np.concatenate([[True], (term[1:] != term[:-1]) | (span[1:] != span[:-1])])
+    first = np.flatnonzero(new)
+    own = np.concatenate([[True], new[1:] | (ids[1:] != ids[:-1])])  # the first row of each document
+    low = (ids[own] & 0xFFFF).astype("<u2")
+    at = np.append(np.cumsum(own)[first] - 1, len(low))
+    whole = low.tobytes()
+    data = [whole[2 * i : 2 * j] if j - i < DENSE else pack(low[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+    return term[first], span[first], data, np.add.reduceat(n, first)
+
+
 def _layout(chunk_chars: int):
     """Of each chunk of documents: per term and span of 65,536 ids a container and the occurrences in it."""
 
-    def emit(docs: dict[str, list[int]], counts: Counter) -> Iterator[pa.RecordBatch]:
-        names, spans, data, n = [], [], [], []
-        for term, ids in docs.items():
-            if len(ids) == 2:
-                names.append(term)
-                spans.append(ids[0] >> 16)
-                data.append((ids[0] & 0xFFFF).to_bytes(2, "little"))
-                n.append(ids[1])
-                continue
-            both = np.array(ids, np.int64).reshape(-1, 2)
-            both = both[np.argsort(both[:, 0], kind="stable")]
-            span = both[:, 0] >> 16
-            edges = [0, *(np.flatnonzero(span[1:] != span[:-1]) + 1), len(span)]
-            for i, j in zip(edges[:-1], edges[1:]):
-                names.append(term)
-                spans.append(int(span[i]))
-                data.append(pack(np.unique(both[i:j, 0] & 0xFFFF)))
-                n.append(int(both[i:j, 1].sum()))
-        for i in range(0, len(names), 1 << 15):
-            j = i + (1 << 15)
-            yield pa.RecordBatch.from_arrays([pa.array(names[i:j], pa.string()), pa.array(spans[i:j], pa.int64()), pa.array(data[i:j], pa.binary()), pa.array(n[i:j], pa.int64())], ["term", "span", "ids", "n"])
+    def emit(numbers: dict[str, int], rows: tuple[array, array, array]) -> Iterator[pa.RecordBatch]:
+        if not numbers:
+            return
+        names = list(numbers)
+        term, span, data, n = _containers(*(np.frombuffer(x, np.int64) for x in rows))
+        for i in range(0, len(term), 1 << 15):
+            k = slice(i, i + (1 << 15))
+            yield pa.RecordBatch.from_arrays([pa.array([names[t] for t in term[k].tolist()], pa.string()), pa.array(span[k]), pa.array(data[k], pa.binary()), pa.array(n[k])], ["term", "span", "ids", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: dict[str, list[int]] = {}
+        numbers: dict[str, int] = {}
+        rows = array("q"), array("q"), array("q")
         size = 0
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for term, n in Counter(terms(text)).items():
-                    held = docs.get(term)
-                    if held is None:
-                        docs[term] = [i, n]
-                    else:
-                        held += (i, n)
+                counts = Counter(terms(text))
+                rows[0].extend([numbers.setdefault(t, len(numbers)) for t in counts])
+                rows[1].extend([i] * len(counts))
+                rows[2].extend(counts.values())
                 size += len(text)
                 if size >= chunk_chars:
-                    yield from emit(docs, Counter())
-                    docs, size = {}, 0
-        yield from emit(docs, Counter())
+                    yield from emit(numbers, rows)
+                    numbers, rows, size = {}, (array("q"), array("q"), array("q")), 0
+        yield from emit(numbers, rows)
 
     return run
 
 
+def _cardinalities(data: list[bytes], group: np.ndarray, groups: int) -> np.ndarray:
+    """How many members the union of each group's containers has."""
+    dense = np.array([len(x) == SPAN // 8 for x in data], bool)
+    plain = [x for x, d in zip(data, dense) if not d]
+    keys = [np.repeat(group[~dense], [len(x) // 2 for x in plain]) << 16 | np.frombuffer(b"".join(plain), "<u2").astype(np.int64)]
+    for i in np.flatnonzero(dense):
+        keys.append(group[i] << 16 | unpack(data[i]).astype(np.int64))
+    return np.bincount(np.unique(np.concatenate(keys)) >> 16, minlength=groups)
+
+
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (term, span): containers of one term and span are united, counters added."""
 
     def merge(rows: pa.Table) -> pa.RecordBatch:
-        term, span = rows["term"].to_pylist(), rows["span"].to_numpy()
-        new = np.array([True, *(a != b for a, b in zip(term[1:], term[:-1]))]) if term else np.zeros(0, bool)
-        new[1:] |= span[1:] != span[:-1]
+        rows = rows.combine_chunks()
+        term, span = rows["term"].combine_chunks(), rows["span"].to_numpy()
+        new = np.ones(len(span), bool)
+        new[1:] = pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False) | (span[1:] != span[:-1])
         first = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        members = [unpack(x) for x in rows["ids"].to_pylist()]
-        pairs = np.repeat(group, [len(m) for m in members]).astype(np.int64) << 16 | np.concatenate(members).astype(np.int64)
-        df = np.bincount(np.unique(pairs) >> 16, minlength=len(first))
-        n = np.add.reduceat(rows["n"].to_numpy(), first)
-        return pa.RecordBatch.from_arrays([pa.array([term[i] for i in first], pa.string()), pa.array(n), pa.array(df)], ["term", "tf", "df"])
+        df = _cardinalities(rows["ids"].to_pylist(), np.cumsum(new, dtype=np.int64) - 1, len(first))
+        return pa.RecordBatch.from_arrays([term.take(pa.array(first)), pa.array(np.add.reduceat(rows["n"].to_numpy(), first)), pa.array(df)], ["term", "tf", "df"])
 
     held: pa.Table | None = None
     for b in batches:
