@@ -161,3 +161,24 @@ def test_a_cluster_must_name_its_folder():
     fake = types.SimpleNamespace(sparkContext=types.SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         cuts.shared_dir(fake)
+
+
+@pytest.mark.parametrize("find", [lambda q, w: search_pruned(q, w, 5, 16)])
+def test_searches_in_blocks_make_no_rows_of_touched_postings(spark, monkeypatch, find):
+    from clicklake.operators import lexical
+
+    monkeypatch.setattr(lexical, "QUERY_ROWS", 30)
+    monkeypatch.setattr(lexical, "POSTINGS", 300)
+    rng = random.Random(6)
+    weights = {(d, f"t{min(29, int(rng.expovariate(0.15)))}"): rng.choice([0.5, rng.random()]) for d in range(700) for _ in range(4)}  # equal scores too
+    queries = {(u, f"t{t}"): float(rng.randint(1, 2)) for u in range(20) for t in rng.sample(range(32), rng.choice([1, 3, 9]))}
+    scores = {}
+    for (u, t), q in queries.items():
+        for (d, own), w in weights.items():
+            if own == t:
+                scores[u, d] = scores.get((u, d), 0) + q * w
+    want = [(u, d, round(s, 6), r + 1) for u in range(20) for r, (s, d) in enumerate(sorted(((round(s, 9), d) for (v, d), s in scores.items() if v == u), key=lambda x: (-x[0], x[1]))[:5])]
+    q, w = spark.createDataFrame([(*k, v) for k, v in queries.items()], "user_idx long, term string, q double"), spark.createDataFrame([(*k, v) for k, v in weights.items()], "doc_id long, term string, w double")
+    got = find(q, w)
+    assert rows(got.withColumn("score", F.round("score", 6)).select("user_idx", "doc_id", "score", "rank")) == sorted(want)
+    assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()  # blocks, not postings, meet
