@@ -163,7 +163,7 @@ def test_a_cluster_must_name_its_folder():
         cuts.shared_dir(fake)
 
 
-@pytest.mark.parametrize("find", [lambda q, w: search_pruned(q, w, 5, 16)])
+@pytest.mark.parametrize("find", [lambda q, w: search_pruned(q, w, 5, 16), lambda q, w: search(q, w, 5)])
 def test_searches_in_blocks_make_no_rows_of_touched_postings(spark, monkeypatch, find):
     from clicklake.operators import lexical
 
