@@ -182,3 +182,22 @@ def test_searches_in_blocks_make_no_rows_of_touched_postings(spark, monkeypatch,
     got = find(q, w)
     assert rows(got.withColumn("score", F.round("score", 6)).select("user_idx", "doc_id", "score", "rank")) == sorted(want)
     assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()  # blocks, not postings, meet
+
+
+def _small_index(spark):
+    rng = random.Random(7)
+    lists = {(d, f"t{min(29, int(rng.expovariate(0.15)))}"): rng.random() for d in range(500) for _ in range(4)}
+    asked = {(u, f"t{t}"): float(rng.randint(1, 2)) for u in range(20) for t in rng.sample(range(32), rng.choice([1, 3, 9]))}
+    return lists, asked, spark.createDataFrame([(*k, v) for k, v in asked.items()], "user_idx long, term string, q double"), spark.createDataFrame([(*k, v) for k, v in lists.items()], "doc_id long, term string, w double")
+
+
+def test_work_of_a_traversal_is_counted_in_blocks(spark, monkeypatch):
+    from clicklake.operators import postings
+
+    monkeypatch.setattr(postings, "QUERY_ROWS", 30)
+    monkeypatch.setattr(postings, "POSTINGS", 300)
+    lists, asked, q, w = _small_index(spark)
+    want = {u: ([t for v, t in asked if v == u and any(t == own for _, own in lists)], [d for d, t in lists if (u, t) in asked]) for u in range(20)}
+    got = postings.traversal_work(q, w, w.groupBy("term").agg(F.count("*").alias("df")))
+    assert rows(got) == [(u, len(terms), len(docs), len(set(docs))) for u, (terms, docs) in want.items() if docs]
+    assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()  # blocks, not postings, meet
