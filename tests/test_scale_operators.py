@@ -201,3 +201,25 @@ def test_work_of_a_traversal_is_counted_in_blocks(spark, monkeypatch):
     got = postings.traversal_work(q, w, w.groupBy("term").agg(F.count("*").alias("df")))
     assert rows(got) == [(u, len(terms), len(docs), len(set(docs))) for u, (terms, docs) in want.items() if docs]
     assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()  # blocks, not postings, meet
+
+
+def test_spans_are_counted_in_blocks(spark, monkeypatch):
+    from clicklake.operators import lexical
+
+    monkeypatch.setattr(lexical, "QUERY_ROWS", 30)
+    monkeypatch.setattr(lexical, "POSTINGS", 300)
+    lists, asked, q, w = _small_index(spark)
+    want = {u: np.zeros(4, int) for u in range(20)}
+    for u in want:
+        scores, bounds, n = {}, {}, {}
+        for (d, t), x in lists.items():
+            if (u, t) in asked:
+                scores[d] = scores.get(d, 0) + asked[u, t] * x
+                bounds[d // 8, t] = max(bounds.get((d // 8, t), 0), asked[u, t] * x)
+                n[d // 8] = n.get(d // 8, 0) + 1
+        edge = sorted(scores.values())[-5] if len(scores) >= 5 else 0  # every term of a query is a seed
+        opened = [s for s in n if sum(x for (own, _), x in bounds.items() if own == s) >= edge - 1e-6]
+        want[u] += [sum(n.values()), sum(n[s] for s in opened), len(n), len(opened)]
+    got = lexical.span_work(q, w, 5, 8).groupBy("user_idx").agg(*(F.sum(c).alias(c) for c in ("touched", "opened", "spans", "open_spans")))
+    assert rows(got) == [(u, *x.tolist()) for u, x in want.items() if x[0]]
+    assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()  # blocks, not postings, meet
