@@ -223,3 +223,64 @@ def test_spans_are_counted_in_blocks(spark, monkeypatch):
     got = lexical.span_work(q, w, 5, 8).groupBy("user_idx").agg(*(F.sum(c).alias(c) for c in ("touched", "opened", "spans", "open_spans")))
     assert rows(got) == [(u, *x.tolist()) for u, x in want.items() if x[0]]
     assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()  # blocks, not postings, meet
+
+
+def test_spans_of_all_sets_and_ends_are_counted_in_two_meetings(spark, monkeypatch):
+    from clicklake.operators import lexical
+
+    monkeypatch.setattr(lexical, "QUERY_ROWS", 30)
+    monkeypatch.setattr(lexical, "POSTINGS", 150)
+    lists, asked, _, w = _small_index(spark)
+    few = {(u, t): q + 1 for i, ((u, t), q) in enumerate(asked.items()) if i % 3 and u != 4}  # of user 4 nothing
+    q = spark.createDataFrame([(*k, x, few.get(k)) for k, x in asked.items()], "user_idx long, term string, q double, q_newest double")
+    ends, want = (9.5, 249.75, 499.0), []  # 9.5 and 249.75 end inside a span
+    for u in range(20):
+        for v, (own, end) in enumerate((own, end) for own in (few, asked) for end in ends):
+            scores, bounds, n = {}, {}, {}
+            for (d, t), x in lists.items():
+                if (u, t) in own and d <= end:
+                    scores[d] = scores.get(d, 0) + own[u, t] * x
+                    bounds[d // 8, t] = max(bounds.get((d // 8, t), 0), own[u, t] * x)
+                    n[d // 8] = n.get(d // 8, 0) + 1
+            edge = sorted(scores.values())[-5] if len(scores) >= 5 else 0  # every term of a query is a seed
+            opened = [s for s in n if sum(x for (at, _), x in bounds.items() if at == s) >= edge - 1e-6]
+            if n:
+                want.append((u, v, sum(n.values()), sum(n[s] for s in opened), len(n), len(opened)))
+    got = lexical.span_work(q, w, 5, 8, sets=("q_newest", "q"), ends=ends)
+    assert rows(got.groupBy("user_idx", "v").agg(*(F.sum(c).alias(c) for c in ("touched", "opened", "spans", "open_spans")))) == want
+    assert got._jdf.queryExecution().executedPlan().toString().count("CartesianProduct") == 2
+
+
+def test_work_at_three_sizes_takes_two_meetings_of_blocks(spark):
+    from clicklake.operators import lexical
+
+    got = lexical.wand_scale_q(spark, "/root/testdata/sf0.001")
+    assert got._jdf.queryExecution().executedPlan().toString().count("CartesianProduct") == 2  # one pair of meetings for each size and set was twelve
+    assert [tuple(r)[:2] for r in got.collect()] == [(name, share) for name in ("last read", "all read") for share in (0.25, 0.5, 1.0)]
+    nothing = lexical.span_work(*(spark.createDataFrame([], s) for s in ("user_idx long, term string, q double", "doc_id long, term string, w double")), 5, 8)
+    assert nothing.count() == 0
+
+
+@pytest.mark.parametrize("alone", [0, 5, 10**9])
+def test_bounds_are_the_same_by_products_and_one_by_one(monkeypatch, alone):
+    import pyarrow as pa
+
+    from clicklake.operators import blocks
+
+    for name, value in (("ALONE", alone), ("CELLS", 40), ("OPENED", 7)):
+        monkeypatch.setattr(blocks, name, value)
+    rng = np.random.default_rng(8)
+    has = np.argwhere(rng.random((12, 60)) < np.linspace(0.02, 0.9, 12)[:, None])  # (term, doc) in order; common and rare terms
+    term = pa.DictionaryArray.from_arrays(pa.array(has[:, 0].astype(np.int32)), pa.array([f"t{i:02}" for i in range(12)]))
+    w = rng.random(len(has))
+    spans = blocks.Spans(blocks.Lists(pa.table({"doc_id": has[:, 1], "term": term})), w, 4)
+    asks = np.argwhere(rng.random((5, 12)) < 0.6)
+    q = rng.random(len(asks))
+    n, bound = spans.sums(asks[:, 0], 5, asks[:, 1], q)
+    want_n, want = np.zeros((5, 15)), np.zeros((5, 15))
+    for (u, t), x in zip(asks, q):
+        for s in range(15):
+            own = w[(has[:, 0] == t) & (has[:, 1] // 4 == s)]
+            want_n[u, s] += len(own)
+            want[u, s] += x * own.max(initial=0)
+    assert (n == want_n).all() and np.allclose(bound, want, atol=1e-12)
